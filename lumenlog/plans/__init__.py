@@ -2,6 +2,8 @@
 
 from lumenlog.plans import (  # noqa: F401
     event_source_queries,
+    pattern_queries,
     row_feature_queries,
+    segment_queries,
 )
 from lumenlog.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.functions.seq import SeqSpec, index_sequence
+from lumenlog.functions.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +22,7 @@ class Tables:
     """The given tables of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        configure(spark)
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
