@@ -27,7 +27,7 @@ from lumenlog.functions.seq import (
     with_halo,
 )
 from lumenlog.functions.stats import mode_by
-from lumenlog.operators.scans import follow_jumps
+from lumenlog.operators.scans import follow_jumps, map_cells
 
 
 def segment_by_time(df: DataFrame, spec: SeqSpec, size_minutes: float = 60, overlap_minutes: float = 0) -> DataFrame:
@@ -138,51 +138,46 @@ def adaptive_segments(
     us = F.unix_micros(spec.ts)
     slim = halo.select(*keys, CHUNK, POS, SIZE, HALO, F.col(spec.event).alias("_ev"), us.alias("_us"))
     schema = T.StructType(
-        [*[slim.schema[k] for k in keys], T.StructField(POS, T.LongType()), T.StructField("_size", T.LongType()),
+        [*[slim.schema[k] for k in keys], T.StructField(POS, T.LongType()), T.StructField(SIZE, T.LongType()), T.StructField("_size", T.LongType()),
          T.StructField("segment_complexity", T.DoubleType())]
     )
 
-    def best_sizes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(POS)
-        own = int((~pdf[HALO]).sum())
+    def best_sizes(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        m = len(pdf)
+        ends = np.repeat([*starts[1:], m], np.diff([*starts, m]))
+        cell = np.repeat(np.arange(len(starts)), np.diff([*starts, m]))
         codes = pd.factorize(pdf["_ev"])[0]
-        m = len(codes)
         t = pdf["_us"].to_numpy(dtype=np.int64)
         gaps = np.diff(t, prepend=t[0]) / 1e6
-        prior = pd.Series(np.arange(m)).groupby(codes).shift().fillna(-1).to_numpy(dtype=np.int64)
-        starts = np.arange(own)
-        left = pdf[SIZE].to_numpy()[:own] - pdf[POS].to_numpy()[:own]
-        distinct = np.zeros(own)
-        total, mean, m2 = np.zeros(own), np.zeros(own), np.zeros(own)
+        prior = pd.Series(np.arange(m)).groupby([cell, codes]).shift().fillna(-1).to_numpy(dtype=np.int64)
+        begin = np.flatnonzero(~pdf[HALO].to_numpy(dtype=bool))
+        left = (pdf[SIZE] - pdf[POS]).to_numpy()[begin]
+        own, limit = len(begin), ends[begin]
+        distinct, mean, m2 = np.zeros(own), np.zeros(own), np.zeros(own)
         best = np.full(own, np.inf)
-        size_of = np.full(own, -1, dtype=np.int64)
-        comp_of = np.full(own, np.nan)
+        size_of, comp_of = np.full(own, -1, dtype=np.int64), np.full(own, np.nan)
         for k in range(1, max_size + 1):
-            at = starts + k - 1
-            ok = at < m
+            at = begin + k - 1
+            ok = at < limit
             at = np.minimum(at, m - 1)
-            distinct += np.where(ok & (prior[at] < starts), 1, 0)
+            distinct += ok & (prior[at] < begin)
             if k > 1:
-                g, n = gaps[at], k - 1
-                delta = g - mean
-                mean = mean + delta / n
-                m2 = m2 + delta * (g - mean)
-                total = total + g
+                delta = gaps[at] - mean
+                mean = mean + delta / (k - 1)
+                m2 = m2 + delta * (gaps[at] - mean)
             if k < min_size:
                 continue
+            # A single gap has no variance: that size never wins, as NaN compares false.
             var = m2 / (k - 2) if k > 2 else np.full(own, np.nan)
-            spread = np.minimum(var / (mean + 1e-6) / 100, 1.0) if k > 1 else np.zeros(own)
-            complexity = np.zeros(own) if k <= 1 else (distinct / k + spread) / 2
-            diff = np.abs(complexity - target)
-            better = ok & (k < left) & (diff < best)
-            best = np.where(better, diff, best)
-            size_of = np.where(better, k, size_of)
-            comp_of = np.where(better, complexity, comp_of)
-        out = pdf.iloc[:own][[*keys, POS]].copy()
+            complexity = np.zeros(own) if k == 1 else (distinct / k + np.minimum(var / (mean + 1e-6) / 100, 1.0)) / 2
+            better = ok & (k < left) & (np.abs(complexity - target) < best)
+            best = np.where(better, np.abs(complexity - target), best)
+            size_of, comp_of = np.where(better, k, size_of), np.where(better, complexity, comp_of)
+        out = pdf.iloc[begin][[*keys, POS, SIZE]].copy()
         out["_size"], out["segment_complexity"] = size_of, comp_of
         return out
 
-    best = slim.groupBy(*keys, CHUNK).applyInPandas(best_sizes, schema)
+    best = map_cells(slim, [*keys, CHUNK], best_sizes, schema)
     nodes = best.withColumn("_next", F.when(F.col("_size") > 0, F.col(POS) + F.col("_size")))
     starts = follow_jumps(nodes, spec, max_size).filter(F.col("_size") > 0)
     rows = df.join(starts.select(*keys, POS, "_size", "segment_complexity"), [*keys, POS], "left")

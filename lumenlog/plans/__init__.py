@@ -3,6 +3,7 @@
 from lumenlog.plans import (  # noqa: F401
     event_source_queries,
     pattern_queries,
+    reconstruction_queries,
     row_feature_queries,
     segment_queries,
 )

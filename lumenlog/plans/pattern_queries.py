@@ -177,7 +177,7 @@ def _(t):
 
 @query(
     "m10_compare_patterns",
-    sql=f"""WITH {_M1}, a AS (SELECT DISTINCT pattern FROM fp), {US.replace('e AS', 'e2 AS').replace('FROM e\n', 'FROM e2\n').replace('s AS (SELECT', 's2 AS (SELECT')},
+    sql=f"""WITH {_M1}, a AS (SELECT DISTINCT pattern FROM fp), s2 AS (SELECT event, lead(event) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM e),
     b AS (SELECT event || '|' || nxt AS pattern FROM s2 WHERE nxt IS NOT NULL GROUP BY 1 HAVING count(*) >= 400),
     f AS (SELECT a.pattern AS pa, b.pattern AS pb FROM a FULL JOIN b ON a.pattern = b.pattern)
     SELECT count(pa) AS patterns1, count(pb) AS patterns2, count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) AS common,
