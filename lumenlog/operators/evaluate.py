@@ -206,14 +206,20 @@ def lcs_length(first: DataFrame, second: DataFrame, spec: SeqSpec) -> DataFrame:
     fields = [first.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("lcs", T.LongType()), T.StructField("n1", T.LongType()), T.StructField("n2", T.LongType())])
 
+    # Distinct column names per side keep a comparison of a log with itself resolvable.
+    def side(df: DataFrame, p: str) -> DataFrame:
+        named = {c: f"{p}{c}" for c in keys} | {spec.ts: f"{p}ts", spec.tiebreak: f"{p}id", spec.event: f"{p}ev"}
+        return df.select(*[F.col(c).alias(n) for c, n in named.items()]).groupBy(*[f"{p}{c}" for c in keys])
+
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = (a if len(a) else b).iloc[:1][keys].copy()
-        ea, eb = a.sort_values([spec.ts, spec.tiebreak])[spec.event], b.sort_values([spec.ts, spec.tiebreak])[spec.event]
+        p, some = ("a_", a) if len(a) else ("b_", b)
+        out = some.iloc[:1][[f"{p}{c}" for c in keys]].copy()
+        out.columns = keys
+        ea, eb = a.sort_values(["a_ts", "a_id"])["a_ev"], b.sort_values(["b_ts", "b_id"])["b_ev"]
         out["lcs"], out["n1"], out["n2"] = lcs_of(list(ea), list(eb)), len(ea), len(eb)
         return out
 
-    cols = [*keys, spec.ts, spec.tiebreak, spec.event]
-    return first.select(*cols).groupBy(*keys).cogroup(second.select(*cols).groupBy(*keys)).applyInPandas(compare, schema)
+    return side(first, "a_").cogroup(side(second, "b_")).applyInPandas(compare, schema)
 
 
 def completeness_metrics(original: DataFrame, reconstructed: DataFrame, spec: SeqSpec) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered queries and composite entry points."""
 
 from lumenlog.plans import (  # noqa: F401
+    analysis_queries,
     event_source_queries,
     pattern_queries,
     reconstruction_queries,
