@@ -11,6 +11,7 @@ from lumenlog.functions.pvalue import correlation_p_value
 from lumenlog.functions.seq import POS, SeqSpec, attach, attach_row, null_safe_join, over_rows
 from lumenlog.functions.stats import safe_corr
 from lumenlog.operators.aggregates import transition_matrix
+from lumenlog.operators.encode import label_codes
 
 
 def event_correlations(df: DataFrame, spec: SeqSpec, threshold: float = 0.5, k: int | None = 10) -> DataFrame:
@@ -35,12 +36,6 @@ def event_correlations(df: DataFrame, spec: SeqSpec, threshold: float = 0.5, k:
     return out.limit(k) if k else out
 
 
-def event_codes(df: DataFrame, spec: SeqSpec) -> DataFrame:
-    """Code of every event type by first appearance in the global order."""
-    first = df.groupBy(spec.event).agg(F.min(F.struct(spec.ts, spec.tiebreak)).alias("_first"))
-    return first.select(spec.event, (F.row_number().over(Window.orderBy("_first")) - 1).alias("event_code"))
-
-
 def temporal_correlations(df: DataFrame, spec: SeqSpec) -> DataFrame:
     """Spearman correlation of hour, weekday and month with the event code; constants are skipped.
 
@@ -52,7 +47,7 @@ def temporal_correlations(df: DataFrame, spec: SeqSpec) -> DataFrame:
         *[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in (("hour", F.hour(ts)), ("day_of_week", F.weekday(ts)), ("month", F.month(ts)))]
     )
     counts = df.select(spec.event, F.inline(slots)).groupBy("feature", "value", spec.event).agg(F.count("*").alias("_n"))
-    counts = counts.join(event_codes(df, spec), spec.event)
+    counts = counts.join(label_codes(df, spec), spec.event)
     # One row per distinct value or code of a feature: mean rank = rows before + (rows + 1) / 2.
     def ranks(column: str, name: str) -> DataFrame:
         sizes = counts.groupBy("feature", column).agg(F.sum("_n").alias("_m"))
@@ -97,7 +92,7 @@ def mean_correlation(correlations: DataFrame, threshold: float = 0.8) -> DataFra
 
 def cross_correlations(df: DataFrame, spec: SeqSpec, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each numeric column with the event code; constants are skipped."""
-    coded = df.join(event_codes(df, spec), spec.event)
+    coded = df.join(label_codes(df, spec), spec.event)
     row = coded.agg(
         F.count("*").alias("n"), *[safe_corr(F.col(c), F.col("event_code")).alias(f"r_{c}") for c in columns]
     )

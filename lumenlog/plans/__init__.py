@@ -7,5 +7,6 @@ from lumenlog.plans import (  # noqa: F401
     reconstruction_queries,
     row_feature_queries,
     segment_queries,
+    tabular_queries,
 )
 from lumenlog.plans.registry import ORACLES, QUERIES  # noqa: F401

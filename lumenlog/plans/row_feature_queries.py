@@ -384,3 +384,16 @@ _PEAK = """p AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r, avg(
 )
 def _(t):
     return sf.local_maxima(t.log(), USER, "value").select("event_id", "value")
+
+
+@query(
+    "x1_extract_all_features",
+    sql=f"""WITH {US} SELECT event_id, g0 AS time_since_previous, {_entropy_sql(10)} AS window_entropy_10, hour(ts)::INT AS hour,
+    CASE WHEN prev IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY user_id, prev, event)::DOUBLE / count(*) OVER (PARTITION BY user_id, prev) END AS prev_transition_prob FROM s""",
+    rnd=["time_since_previous", "window_entropy_10", "prev_transition_prob"],
+)
+def _(t):
+    from lumenlog.plans.composite import extract_all_features
+
+    out = extract_all_features(t.log(), USER, F.lit("2024-02-01").cast("timestamp"), TYPES)
+    return out.select("event_id", "time_since_previous", "window_entropy_10", "hour", "prev_transition_prob")
