@@ -215,12 +215,15 @@ def feature_scores(df: DataFrame, features: Sequence[str], target: str, method:
     return out.select("feature", F.coalesce(score, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "feature")
 
 
-def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Bin number of each value: how many of the exact quantile edges lie below it."""
-    ps = {f"_e{i}": i / bins for i in range(1, bins)}
-    out = attach_row(df, exact_percentiles(df, [], column, ps))
-    number = sum((F.when(F.col(column) > F.col(e), 1).otherwise(0) for e in ps), F.lit(0))
-    return out.withColumn(f"{column}_bin", number).drop(*ps)
+def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """Bin number of each value: how many of the column's exact quantile edges lie below it."""
+    out = df
+    for c in columns:
+        edges = exact_percentiles(df, [], c, {f"_e{i}": i / bins for i in range(1, bins)})
+        names = [F.col(f"_e{i}") for i in range(1, bins)]
+        out = attach_row(out, edges.select(F.array(*names).alias(f"_edges_{c}")))
+        out = out.withColumn(f"{c}_bin", F.size(F.filter(f"_edges_{c}", lambda e: F.col(c) > e))).drop(f"_edges_{c}")
+    return out
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
@@ -228,9 +231,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
 
     All features share one pass: rows become (feature, bin, target bin) counts.
     """
-    out = df.select(*features, target)
-    for c in (*features, target):
-        out = quantile_bins(out, c, bins)
+    out = quantile_bins(df.select(*features, target), [*features, target], bins)
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_bin").alias("x")) for c in features])
     joint = out.select(F.col(f"{target}_bin").alias("y"), F.inline(cells)).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
     from pyspark.sql import Window

@@ -41,21 +41,24 @@ def extract_all_features(
     windows: bool = True,
 ) -> DataFrame:
     """Time, frequency, transition and window features of an indexed log, each family behind a switch."""
+    # Each stage reads its input several times, so its result is stored rather than planned again.
+    stored = lambda out: materialise(out, "features")
     ts = F.col(spec.ts)
     if time:
-        df = sf.temporal_features(df, spec)
-        df = sf.gap_distribution(sf.rolling_gap_statistics(df, spec), spec)
         df = df.withColumns(
             calendar_parts(ts) | weekend_business_flags(ts) | {"time_of_day": time_of_day(ts)} | cyclical(ts) | temporal_context(ts, now)
         )
+        df = stored(sf.rolling_gap_statistics(sf.temporal_features(df, spec), spec))
+        df = stored(sf.gap_distribution(df, spec))
+    if windows:
+        df = sf.rolling_common_bigram(sf.rolling_entropy(sf.rolling_distinct(df, spec), spec), spec)
     if frequency:
         df = sf.rolling_event_rate(df, spec)
         if types:
-            df = sf.type_frequency(sf.rolling_type_frequency(df, spec, types), spec, types)
+            df = stored(sf.type_frequency(stored(sf.rolling_type_frequency(df, spec, types)), spec, types))
     if transitions:
-        df = sf.state_persistence(sf.transition_history(sf.transition_features(df, spec), spec), spec)
-    if windows:
-        df = sf.rolling_common_bigram(sf.rolling_entropy(sf.rolling_distinct(df, spec), spec), spec)
+        for family in (sf.transition_features, sf.transition_history, sf.state_persistence):
+            df = stored(family(df, spec))
     return df
 
 
@@ -124,6 +127,8 @@ def prepare_data(
     if improved and outliers:
         bounds = outlier_bounds(train, target)
         train = remove_outliers(train, target)
+    # Every fitted table below reads the training rows again.
+    train = materialise(train, "train")
     numeric = [c for c in numeric_columns(df) if c not in (*ids, target)]
     strings = [c for c in string_columns(df) if c not in (*ids, target)]
     medians = {}
@@ -138,7 +143,7 @@ def prepare_data(
         encoders[c] = materialise(en.frequency_map(filled, c) if frequent else en.category_codes(filled, c), "encoder")
     names = [*numeric, *[f"{c}_freq" if f"{c}_freq" in encoders[c].columns else c for c in strings]]
     state = {"medians": medians, "modes": modes, "encoders": encoders, "scaler": None, "scaled": [], "bounds": bounds}
-    encoded = _apply(train, state, ids, names, target)
+    encoded = materialise(_apply(train, state, ids, names, target), "encoded")
     if improved and k_best < len(names):
         names = [r["feature"] for r in mutual_information(encoded, names, target).limit(k_best).collect()]
         encoded = encoded.select(*ids, *names, target)
