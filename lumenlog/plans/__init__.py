@@ -3,6 +3,7 @@
 from lumenlog.plans import (  # noqa: F401
     analysis_queries,
     event_source_queries,
+    frame_queries,
     pattern_queries,
     reconstruction_queries,
     row_feature_queries,
