@@ -8,6 +8,7 @@ from lumenlog.plans import (  # noqa: F401
     reconstruction_queries,
     row_feature_queries,
     segment_queries,
+    streaming_queries,
     tabular_queries,
 )
 from lumenlog.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -60,7 +60,7 @@ def read_csv_frames(spark: SparkSession, path: str, width: int) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    lines = files.select(name.alias("frame_id"), F.posexplode(F.split(F.trim(F.decode("content", "UTF-8")), "\r?\n")).alias("y", "_line"))
+    lines = files.select(name.alias("frame_id"), F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\s+$", ""), "\r?\n")).alias("y", "_line"))
     cells = lines.select("frame_id", "y", F.posexplode(F.split("_line", ",")).alias("x", "_v"))
     return cells.filter(F.col("x") < width).select("frame_id", "y", "x", F.col("_v").cast("double").alias("value"))
 
