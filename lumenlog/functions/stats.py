@@ -32,9 +32,9 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles per group, exact for groups of any size.
 
-    A mergeable quantile sketch brackets each wanted rank; a second pass keeps only values inside
-    the bracket (everything below it collapses to one count), so no task ever buffers a large
-    group.  Groups up to ``SKETCH_ACCURACY`` rows skip the bracket.  With ``spec`` (``by`` being its
+    A mergeable quantile sketch brackets each wanted rank; a second pass counts the values below the
+    bracket and keeps only those inside, so no task ever buffers a large group.  Groups up to
+    ``SKETCH_ACCURACY`` rows use the plain aggregate.  With ``spec`` (``by`` being its
     keys) the bracket is joined per chunk; otherwise ``by`` has few groups and the planner
     broadcasts the bracket table by its size.
     """
@@ -57,13 +57,12 @@ def exact_percentiles(
         F.array(
             *[
                 F.struct(
-                    F.lit(name).alias("p"),
-                    F.floor((F.col("_cnt") - 1) * F.lit(p)).alias("r0"),
+                    F.lit(i).alias("i"),
                     ((F.col("_cnt") - 1) * F.lit(p)).alias("rank"),
-                    F.when(~small, F.col("_q")[2 * i]).alias("lo"),
-                    F.when(~small, F.col("_q")[2 * i + 1]).alias("hi"),
+                    F.col("_q")[2 * i].alias("lo"),
+                    F.col("_q")[2 * i + 1].alias("hi"),
                 )
-                for i, (name, p) in enumerate(ps.items())
+                for i, p in enumerate(ps.values())
             ]
         ).alias("_brackets"),
     )
@@ -73,23 +72,33 @@ def exact_percentiles(
         joined = attach(rows, sketch, spec)
     else:
         joined = null_safe_join(rows.select(*by, value), sketch, by)
-    v = F.col(value).cast("double")
-    joined = joined.select(*by, v.alias("_v"), F.explode("_brackets").alias("_b"))
+    joined = joined.select(*by, F.col(value).cast("double").alias("_v"), "_cnt", "_brackets")
+    # Groups within the sketch's size: the plain exact aggregate, whose buffer that size bounds.
+    tiny = joined.filter(small).groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in ps.values()])).alias("_ps"))
+    tiny = tiny.filter(F.col("_ps").isNotNull()).select(*by, *[F.col("_ps")[i].alias(n) for i, n in enumerate(ps)])
+    # Larger groups: count what lies below each bracket, keep only the values inside.
+    big = joined.filter(~small)
+    bracket = lambda i: F.col("_brackets")[i]
+    below = big.groupBy(*by).agg(F.array(*[F.count_if(F.col("_v") < bracket(i)["lo"]) for i in range(len(ps))]).alias("_below"))
+    inside = F.filter("_brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
     b = F.col("_b")
-    joined = joined.filter(b["hi"].isNull() | (F.col("_v") <= b["hi"]))
-    marked = F.when(b["lo"].isNull() | (F.col("_v") >= b["lo"]), F.col("_v"))
-    counts = joined.select(*by, b["p"].alias("_p"), b["rank"].alias("_rank"), b["r0"].alias("_r0"), marked.alias("_v"))
-    counts = counts.groupBy(*by, "_p", "_rank", "_r0", "_v").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by, "_p").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counts.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = big.select(*by, "_v", F.explode(inside).alias("_b")).groupBy(*by, b["i"].alias("_i"), b["rank"].alias("_rank"), "_v")
+    counts = counts.agg(F.count("*").alias("_c"))
+    counts = null_safe_join(counts, below, by) if by else attach_row(counts, below)
+    w = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_end", F.sum("_c").over(w) + F.get("_below", F.col("_i")))
     ranked = ranked.withColumn("_start", F.col("_end") - F.col("_c"))
     at = lambda r: F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), F.col("_v")))
-    r0 = F.col("_r0")
-    cell = ranked.groupBy(*by, "_p").agg(
-        at(r0).alias("_a"), at(F.ceil(F.col("_rank"))).alias("_z"), F.max(F.col("_rank") - r0).alias("_f")
+    low = F.floor(F.col("_rank"))
+    cell = ranked.groupBy(*by, "_i").agg(
+        at(low).alias("_a"), at(F.ceil(F.col("_rank"))).alias("_z"), F.max(F.col("_rank") - low).alias("_f")
     )
     interp = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
-    return cell.groupBy(*by).agg(*[F.max(F.when(F.col("_p") == n, interp)).alias(n) for n in ps])
+    large = cell.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, interp)).alias(n) for i, n in enumerate(ps)])
+    if by:
+        return tiny.unionByName(large)
+    # Without groups exactly one side has the row; an empty input gives one row of NULLs.
+    return tiny.unionByName(large).agg(*[F.max(n).alias(n) for n in ps])
 
 
 def attach_percentiles(df: DataFrame, spec: SeqSpec, value: str, ps: Mapping[str, float]) -> DataFrame:

@@ -134,7 +134,7 @@ def run_steps(pixels: DataFrame, steps: Mapping[str, Callable[[DataFrame], DataF
 
 # --- neighbourhood operators -------------------------------------------------------------------
 
-def _scatter(df: DataFrame, axis: str, size: int, taps: Sequence[tuple[int, float]], border: str, last: int | None = None) -> DataFrame:
+def _scatter(df: DataFrame, axis: str, size: int, taps: Sequence[tuple[int, float]], border: str, last: int | None = None, first: int = 0) -> DataFrame:
     """Rows (target ``_t<axis>``, offset ``_d<axis>``, weight ``_w``) to which each pixel contributes.
 
     A target at t reads position t + d; ``reflect`` mirrors positions outside the frame at its edge.
@@ -151,7 +151,7 @@ def _scatter(df: DataFrame, axis: str, size: int, taps: Sequence[tuple[int, floa
             spots += [-1 - s - o["d"], 2 * size - 1 - s - o["d"]]
         return F.array(*[F.struct(t.alias("t"), o["d"].alias("d"), o["w"].alias("w")) for t in spots])
 
-    reach = F.filter(F.flatten(F.transform(table, targets)), lambda p: (p["t"] >= 0) & (p["t"] < end))
+    reach = F.filter(F.flatten(F.transform(table, targets)), lambda p: (p["t"] >= first) & (p["t"] < end))
     out = df.withColumn("_p", F.explode(reach))
     weight = F.col("_p")["w"] * F.col("_w") if "_w" in df.columns else F.col("_p")["w"]
     return out.withColumns({f"_t{axis}": F.col("_p")["t"], f"_d{axis}": F.col("_p")["d"], "_w": weight}).drop("_p")
@@ -160,10 +160,15 @@ def _scatter(df: DataFrame, axis: str, size: int, taps: Sequence[tuple[int, floa
 def neighbours(
     pixels: DataFrame, height: int, width: int, radius: int, border: str = "reflect", weights: Sequence[float] | None = None
 ) -> DataFrame:
-    """Every (target pixel, neighbour) pair of a square window: frame_id, y, x, dy, dx, weight, value."""
+    """Every (target pixel, neighbour) pair of a square window: frame_id, y, x, dy, dx, weight, value.
+
+    Borders: ``reflect`` mirrors, ``clip`` cuts windows at the edge, ``full`` keeps only whole windows.
+    """
     kernel = weights if weights is not None else [1.0] * (2 * radius + 1)
     taps = [(d, kernel[d + radius]) for d in range(-radius, radius + 1)]
-    out = _scatter(_scatter(pixels, "y", height, taps, border), "x", width, taps, border)
+    edge = radius if border == "full" else 0
+    out = _scatter(pixels, "y", height, taps, border, height - edge, edge)
+    out = _scatter(out, "x", width, taps, border, width - edge, edge)
     kept = [c for c in pixels.columns if c not in ("frame_id", "y", "x", "value")]
     return out.select(
         "frame_id", F.col("_ty").alias("y"), F.col("_tx").alias("x"), F.col("_dy").alias("dy"), F.col("_dx").alias("dx"), F.col("_w").alias("weight"), "value", *kept
@@ -315,7 +320,7 @@ def ssim(pairs: DataFrame, height: int, width: int, by: Sequence[str] = ("frame_
     """Mean structural similarity over full uniform windows, sample covariance, K1 0.01 and K2 0.03."""
     by = list(by)
     extra = [c for c in by if c != "frame_id"]
-    spread = neighbours(pairs.withColumnRenamed("r", "value"), height, width, window // 2, "clip")
+    spread = neighbours(pairs.withColumnRenamed("r", "value"), height, width, window // 2, "full")
     n = float(window * window)
     x, y = F.col("value"), F.col("t")
     local = spread.groupBy(*extra, *PIXEL).agg(

@@ -235,9 +235,9 @@ def _distinct_in(spec: SeqSpec, width: int) -> Column:
 
 def _entropy_in(spec: SeqSpec, width: int) -> Column:
     events = F.collect_list(spec.event).over(spec.rows(-(width - 1)))
-    share = lambda e: F.size(F.filter(events, lambda x: x == e)) / F.size(events)
-    terms = F.transform(F.array_distinct(events), lambda e: -share(e) * F.log(share(e) + EPS_LOG))
-    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    counts = F.transform(F.array_distinct(events), lambda e: F.size(F.filter(events, lambda x: x == e)))
+    n = F.size(events)
+    return F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n * F.log(c / n + EPS_LOG))
 
 
 def rolling_distinct(df: DataFrame, spec: SeqSpec, width: int = 10) -> DataFrame:
