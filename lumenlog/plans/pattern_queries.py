@@ -292,7 +292,7 @@ def _(t):
 
 @query(
     "x2_detect_patterns",
-    sql=f"""WITH {_M1} SELECT 'frequent' AS family, count(*) AS patterns FROM fp WHERE support >= 0.005 GROUP BY 1
+    sql=f"""WITH {_M1} SELECT 'frequent' AS family, count(*) AS patterns FROM fp GROUP BY 1
     UNION ALL SELECT 'temporal', count(*) FROM (SELECT hour(ts) FROM s GROUP BY 1 HAVING count(*) >= 5 UNION ALL SELECT isodow(ts) FROM s GROUP BY 1 HAVING count(*) >= 5)
     UNION ALL SELECT 'conditional', 0 WHERE false""",
 )

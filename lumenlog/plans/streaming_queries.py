@@ -55,7 +55,7 @@ def _(t):
 def _(t):
     stream = replay(t)
     twice = stream.unionByName(stream)
-    return _done(t, st.deduplicate_stream(twice, USER, "20 days").select("event_id"))
+    return _done(t, st.deduplicate_stream(twice, USER, "60 days").select("event_id"))
 
 
 @query("t4_session_statistics")

@@ -395,9 +395,9 @@ def _coef(t, name, **params):
 
 for _name, _slope, _params in (
     ("linear", "cxy / vx", {}),
-    ("lasso", "greatest(cxy - 5000, 0) / vx", {"alpha": 5000.0}),
+    ("lasso", "sign(cxy) * greatest(abs(cxy) - 5000, 0) / vx", {"alpha": 5000.0}),
     ("ridge", "n * cxy / (n * vx + 100000)", {"alpha": 100000.0}),
-    ("elastic_net", "greatest(cxy - 1000, 0) / (vx + 1000)", {"alpha": 2000.0, "l1_ratio": 0.5}),
+    ("elastic_net", "sign(cxy) * greatest(abs(cxy) - 1000, 0) / (vx + 1000)", {"alpha": 2000.0, "l1_ratio": 0.5}),
 ):
 
     def _fit(t, name=_name, params=_params):
