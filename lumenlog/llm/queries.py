@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlog.llm import mixture
+from lumenlog.llm import bpe, mixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,11 @@ FROM x
 def op10_mixing(spark, sf_dir):
     out = mixture.mixture(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op1_bpe")
+def op1_bpe(spark, sf_dir):
+    """Ids of every text and the text they decode to, as digests."""
+    coded = bpe.transcode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
