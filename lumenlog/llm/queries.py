@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, mixture, simhash, token_counts
+from lumenlog.llm import bpe, mixture, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,11 @@ def op9_simhash(spark, sf_dir):
 @query("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality")
+def op2_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    field = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality.fold("doc_id") == 0, F.lit(False)).alias("held_out")
+    return quality.classify(docs.select("doc_id", "text"), field).select("doc_id", held_out, "score", "predicted")
