@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, mixture, quality, simhash, token_counts
+from lumenlog.llm import bpe, impact, mixture, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,19 @@ def op2_quality(spark, sf_dir):
     field = quality.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(quality.fold("doc_id") == 0, F.lit(False)).alias("held_out")
     return quality.classify(docs.select("doc_id", "text"), field).select("doc_id", held_out, "score", "predicted")
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_topk", TOP_K_SQL)
+def op4_topk(spark, sf_dir):
+    return impact.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
