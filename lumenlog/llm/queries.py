@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, impact, mixture, quality, simhash, token_counts
+from lumenlog.llm import bpe, hnsw, impact, mixture, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,8 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 @query("op4_topk", TOP_K_SQL)
 def op4_topk(spark, sf_dir):
     return impact.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op3_ann")
+def op3_ann(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
