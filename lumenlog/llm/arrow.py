@@ -37,11 +37,11 @@ def schema_with(df, **new: str) -> str:
     return ", ".join(old + [f"{k} {v}" for k, v in new.items()])
 
 
-def mapped(df, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: str | None = None, rows: int = 512, **new: str):
-    """``df`` with the columns that ``fn`` adds to each slice."""
+def mapped(df, fn: Callable[[pa.RecordBatch], pa.RecordBatch], by: str | None = None, rows: int = 512, /, **new: str):
+    """``df`` with the columns that ``fn`` adds to each slice (``by`` and ``rows`` as for ``slices``)."""
 
     def run(batches):
-        for part in slices(batches, text, rows):
+        for part in slices(batches, by, rows):
             yield fn(part)
 
     return df.mapInArrow(run, schema_with(df, **new))

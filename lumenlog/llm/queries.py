@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, hnsw, impact, mixture, quality, simhash, token_counts
+from lumenlog.llm import bpe, hnsw, impact, mixture, passages, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op4_topk(spark, sf_dir):
 @query("op3_ann")
 def op3_ann(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_passages")
+def op8_passages(spark, sf_dir):
+    return passages.repeats(table(spark, sf_dir, "documents"))
