@@ -55,7 +55,7 @@ class Block:
         self.carried.append(carried)
         self.size += len(text or "")
 
-    def row(self, number: int, carry: list[pa.Field]) -> dict:
+    def row(self, number: int, carry: list[pa.Field], ordered: bool) -> dict:
         lengths = np.array(self.lengths, np.int64)
         ids = np.concatenate(self.ids).astype(np.int64)
         words = list(self.reader.vocabulary)
@@ -64,12 +64,15 @@ class Block:
         order = np.argsort(-np.bincount(ids, minlength=n), kind="stable")  # frequent terms get small numbers
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        keys, counts = np.unique(np.repeat(np.arange(len(lengths)), lengths) * n + place[ids], return_counts=True)
-        rows, terms = keys // n, keys % n
-        steps = np.diff(terms, prepend=0)
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
-        steps[first] = terms[first]
-        per = np.bincount(rows, minlength=len(lengths))
+        if ordered:
+            steps, counts, per = place[ids], ids[:0], lengths
+        else:
+            keys, counts = np.unique(np.repeat(np.arange(len(lengths)), lengths) * n + place[ids], return_counts=True)
+            rows, terms = keys // n, keys % n
+            steps = np.diff(terms, prepend=0)
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            steps[first] = terms[first]
+            per = np.bincount(rows, minlength=len(lengths))
         return {
             "block": number,
             "words": [words[i] for i in order[: len(words)]],
@@ -80,10 +83,11 @@ class Block:
         } | {f.name: pa.array([c[i] for c in self.carried], f.type.value_type) for i, f in enumerate(carry)}
 
 
-def build(docs: DataFrame, reader: Callable[[], object], carry: Sequence[str], learn: str | None = None, rows: int = 4096, size: int = 16 << 20) -> DataFrame:
+def build(docs: DataFrame, reader: Callable[[], object], carry: Sequence[str], learn: str | None = None, rows: int = 4096, size: int = 16 << 20, ordered: bool = False) -> DataFrame:
     """A row per block: (block, words, taught, terms, counts, per, and an array for each column of ``carry``).
 
-    ``taught`` counts each word in the rows where ``learn`` is true (all rows by default). The result is stored.
+    ``taught`` counts each word in the rows where ``learn`` is true (all rows by default). With ``ordered``, ``terms``
+    holds the documents' terms in their order instead of frequencies. The result is stored.
     """
     kinds = {c: docs.schema[c].dataType.simpleString() for c in carry}
     ddl = "block long, words array<string>, taught array<long>, terms binary, counts binary, per binary, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items())
@@ -93,7 +97,7 @@ def build(docs: DataFrame, reader: Callable[[], object], carry: Sequence[str], l
         number, now, carried = TaskContext.get().partitionId() << 32, None, None
 
         def done():
-            row = now.row(number, carried)
+            row = now.row(number, carried, ordered)
             cols = {k: pa.array([v], pa.list_(pa.string()) if k == "words" else pa.list_(pa.int64()) if k == "taught" else None) for k, v in row.items() if k not in kinds}
             for f in carried:
                 v = row[f.name]
@@ -122,40 +126,46 @@ def terms(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", F.posexplode(both).alias("place", "_e")).select(F.col("_e.words").alias("word"), "block", "place", F.col("_e.taught").alias("taught"))
 
 
-def sums(blocks: DataFrame, values: DataFrame, names: dict[str, str], carry: Sequence[str]) -> DataFrame:
-    """The carried columns of every document with, for each of ``names``, the sum of frequency times value.
+def carried(block: pa.Table, names: Sequence[str]) -> dict[str, pa.Array]:
+    """The carried columns of a block's one row, a value per document."""
+    out = {}
+    for c in names:
+        lists = block.column(c).combine_chunks()
+        out[c] = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[1].as_py() - lists.offsets[0].as_py())
+    return out
 
-    ``values`` has (block, place) and the columns ``names``, given with their result types ``long`` or ``double``.
+
+def numbers(block: pa.Table, name: str) -> np.ndarray:
+    return unpack(block.column(name)[0].as_py()).astype(np.int64)
+
+
+def sums(blocks: DataFrame, values: DataFrame, names: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """The carried columns of every document with the sums of frequency times value for the long columns ``names``.
+
+    ``values`` has (block, place) and those columns.
     """
     kinds = {c: blocks.schema[c].dataType.elementType.simpleString() for c in carry}
-    ddl = ", ".join([f"{c} {k}" for c, k in kinds.items()] + [f"{c} {k}" for c, k in names.items()])
 
     def run(of: pa.Table, block: pa.Table) -> pa.Table:
         place = of.column("place").to_numpy()
-        got = {c: block.column(c).combine_chunks() for c in block.schema.names}
-        per = unpack(got["per"][0].as_py()).astype(np.int64)
-        counts = unpack(got["counts"][0].as_py()).astype(np.int64)
-        steps = unpack(got["terms"][0].as_py()).astype(np.int64)
+        per, counts, steps = (numbers(block, c) for c in ("per", "counts", "terms"))
         ends = np.cumsum(per)
         starts = ends - per
         run_on = np.cumsum(steps)
         before = np.concatenate([[0], run_on])[starts]
         which = run_on - np.repeat(before, per)
-        cols = {c: got[c].values.slice(got[c].offsets[0].as_py(), len(got[c][0])) for c in kinds}
-        for c, kind in names.items():
-            value = np.zeros(len(place), np.int64 if kind == "long" else np.float64)
+        cols = carried(block, list(kinds))
+        for c in names:
+            value = np.zeros(len(place), np.int64)
             value[place] = of.column(c).to_numpy()
-            total = np.concatenate([np.zeros(1, value.dtype), np.cumsum(counts * value[which])]) if kind == "long" else None
-            if kind == "long":
-                cols[c] = pa.array(total[ends] - total[starts])
-            else:
-                out = np.zeros(len(per))
-                some = np.flatnonzero(per)
-                if len(some):
-                    out[some] = np.add.reduceat(counts * value[which], starts[some])
-                cols[c] = pa.array(out)
+            total = np.concatenate([[0], np.cumsum(counts * value[which])])
+            cols[c] = pa.array(total[ends] - total[starts])
         return pa.Table.from_pydict(cols)
 
-    left = values.select("block", "place", *names).groupBy("block")
-    right = blocks.select("block", "terms", "counts", "per", *carry).groupBy("block")
-    return left.cogroup(right).applyInArrow(run, ddl)
+    return joined(blocks, values.select("block", "place", *names), run, carry, ", ".join([f"{c} {k}" for c, k in kinds.items()] + [f"{c} long" for c in names]))
+
+
+def joined(blocks: DataFrame, values: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], carry: Sequence[str], ddl: str, *more: str) -> DataFrame:
+    """``run(values of the block's terms, block row)`` for each block; ``more`` names further block columns it needs."""
+    right = blocks.select("block", "terms", "counts", "per", *more, *carry).groupBy("block")
+    return values.groupBy("block").cogroup(right).applyInArrow(run, ddl)

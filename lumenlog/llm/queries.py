@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, hnsw, impact, mixture, passages, quality, simhash, token_counts
+from lumenlog.llm import bpe, hnsw, impact, lm, mixture, passages, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op3_ann(spark, sf_dir):
 @query("op8_passages")
 def op8_passages(spark, sf_dir):
     return passages.repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lm")
+def op6_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))

@@ -66,5 +66,5 @@ def token_counts(docs: DataFrame, limit: int = 2048, tokenizer: str = TOKENIZER)
     sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     table = blocks.build(sized, lambda: PreTokens(tokenizer), ["doc_id", "n_bytes"])
     values = count_pieces(blocks.terms(table), tokenizer)
-    found = blocks.sums(table, values.withColumnRenamed("pieces", "n_tokens"), {"n_tokens": "long"}, ["doc_id", "n_bytes"])
+    found = blocks.sums(table, values.withColumnRenamed("pieces", "n_tokens"), ["n_tokens"], ["doc_id", "n_bytes"])
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

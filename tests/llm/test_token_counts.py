@@ -27,7 +27,7 @@ def test_whole_table(spark):
 
 
 def test_odd_rows_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(blocks.build, "__defaults__", (None, 3, 200))
+    monkeypatch.setattr(blocks.build, "__defaults__", (None, 3, 200, False))
     rows = [(1, None), (1, "the cat's hat"), (1, "the cat's hat"), (None, "a<|endoftext|>b 12"), (4, " \t"), (5, "É́x " * 900), (6, "the " * 2048), (7, "the " * 2049)]
     df = spark.createDataFrame([(i, t, "w", 3) for i, t in rows], "doc_id long, text string, word string, block int").repartition(2)
     assert got(token_counts.token_counts(df)) == plain(rows)
