@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, hnsw, impact, lm, mixture, passages, quality, simhash, token_counts
+from lumenlog.llm import bpe, hnsw, impact, licenses, lm, mixture, passages, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,8 @@ def op8_passages(spark, sf_dir):
 @query("op6_lm")
 def op6_lm(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op5_licenses")
+def op5_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
