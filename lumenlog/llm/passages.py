@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions.storage import materialise
 from lumenlog.llm.arrow import mapped, slices, with_columns
 from lumenlog.llm.bpe import Kept
+from lumenlog.llm.texts import word_count
 
 #: Beyond so many distinct texts, texts are filtered by a shuffled join and no longer by a broadcast one (16 bytes each).
 BROADCAST_TEXTS = 2_000_000
@@ -148,21 +149,21 @@ def windows_of(texts: list[str | None], marks: np.ndarray, how: Passages) -> dic
 WINDOW = "key long, t long, c int, l int, r int, ht long, hc int, hl int, hr int, first boolean"
 
 
-def windows(docs: DataFrame, how: Passages) -> DataFrame:
+def windows(texts: DataFrame, how: Passages) -> DataFrame:
     def run(batches):
-        for batch in slices(batches, "text", 2048, 8 << 20):
+        for batch in slices(batches, "text", 1024, 4 << 20):
             cols = windows_of(batch.column("text").to_pylist(), batch.column("_t").to_numpy(), how)
             # Windows that follow another text's; those of the same text are no link.
             use = cols["first"] | (cols["ht"] != cols["t"])
             kinds = {"key": np.int64, "t": np.int64, "ht": np.int64, "first": bool}
             yield pa.RecordBatch.from_pydict({k: pa.array(v[use].astype(kinds.get(k, np.int32))) for k, v in cols.items()})
 
-    return docs.select("text", F.xxhash64("text").alias("_t")).mapInArrow(run, WINDOW)
+    return texts.select("text", "_t").mapInArrow(run, WINDOW)
 
 
-def candidates(docs: DataFrame, how: Passages) -> DataFrame:
-    """(t, ht, c, hc, l, r, hl, hr): regions of tokens of two texts where windows of enough functions overlap."""
-    rows = windows(docs, how)
+def candidates(texts: DataFrame, how: Passages) -> DataFrame:
+    """(t, ht, l, r, hl, hr): regions of tokens of two texts where windows of enough functions overlap."""
+    rows = windows(texts, how)
     # Windows that have their link already spread over all tasks; the firsts meet by key.
     deal = F.when(F.col("first"), F.col("key")).otherwise(F.xxhash64("key", "t", "c"))
     group = Window.partitionBy("_deal").orderBy("t", "c")
@@ -233,21 +234,34 @@ def verified(t: np.ndarray, h: np.ndarray, how: Passages) -> list[tuple[int, int
     return out
 
 
-def some_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a ``_t`` among ``texts``: by broadcast of the hashes while they are few."""
-    few = texts.count() <= BROADCAST_TEXTS
-    return docs.join(F.broadcast(texts) if few else texts, "_t", "left_semi")
+def few(df: DataFrame, most: int = BROADCAST_TEXTS) -> DataFrame:
+    """``df`` marked for broadcast while it has at most ``most`` rows; beyond, the planner shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, _t, _n words), texts (_t, _owner, _copies), and (text, _t) of the owners' rows.
+
+    Only the ids of the copies are compared with the documents, so texts are not shuffled while copies are few.
+    """
+    hashed = F.xxhash64("text").alias("_t")
+    rows = materialise(docs.select("doc_id", hashed, word_count("text").alias("_n")), "rows")
+    owners = materialise(rows.groupBy("_t").agg(F.min("doc_id").alias("_owner"), F.count("*").alias("_copies")), "owners")
+    copies = rows.join(owners.filter("_copies > 1"), "_t").filter(~F.col("doc_id").eqNullSafe(F.col("_owner")))
+    copies = materialise(copies.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_c")).distinct(), "copies")
+    texts = docs.select("doc_id", "text", hashed)
+    texts = texts.join(few(copies), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_c")), "left_anti")
+    return rows, owners, texts.select("text", "_t")
+
+
+def passages(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
     """(t, start, end, ht, h_start, h_end, similarity): verified passages between texts, as word places, ends excluded.
 
-    Texts are named by their hash; each passage of ``t`` points to an equal or similar one of ``ht`` < ``t``.
+    Texts (text, _t) are named by their hash; each passage of ``t`` points to an equal or similar one of ``ht`` < ``t``.
     """
-    found = materialise(candidates(docs, how), "candidates")
-    texts = docs.select("text").withColumn("_t", F.xxhash64("text"))
-    needed = materialise(found.select(F.col("t").alias("_t")).union(found.select("ht")).distinct(), "texts")
-    texts = some_texts(texts, needed).groupBy("_t").agg(F.max("text").alias("text"))
+    found = materialise(candidates(texts, how), "candidates")
+    needed = materialise(found.select(F.col("t").alias("_t")).union(found.select("ht")).distinct(), "needed")
+    texts = texts.join(few(needed), "_t", "left_semi").groupBy("_t").agg(F.max("text").alias("text"))
     texts = materialise(texts, "texts")
     mine = found.join(texts, found["t"] == texts["_t"]).drop("_t")
     other = texts.select(F.col("_t").alias("_h"), F.col("text").alias("h_text"))
@@ -273,18 +287,18 @@ def passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
 def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """(doc_id, start, end, owner_doc_id, owner_start, owner_end, similarity) of every repeated passage of ``docs``.
 
-    A document whose whole text is another's has one row for all of it besides the passages of that text.
+    A document whose whole text is an earlier document's has one row for all of it, to the smallest doc_id with that
+    text; that document stands for its copies in all other rows.
     """
-    found = materialise(passages(docs, how), "passages")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")).cast("long").alias("_n"))
-    rows = materialise(rows, "rows")
-    owners = rows.groupBy("_t").agg(F.min("doc_id").alias("_owner"), F.count("*").alias("_copies"))
-    named = rows.join(owners.withColumnRenamed("_t", "_o"), F.col("_t") == F.col("_o")).drop("_o")
+    rows, owners, texts = distinct_texts(docs)
+    found = materialise(passages(texts, how), "passages")
+    named = rows.join(owners, "_t")
     whole = named.filter((F.col("_n") >= how.min_words) & (F.col("_copies") > 1) & ~F.col("doc_id").eqNullSafe(F.col("_owner")))
     zero, n = F.lit(0).cast("long"), F.col("_n")
     whole = whole.select("doc_id", zero.alias("start"), n.alias("end"), F.col("_owner").alias("owner_doc_id"), zero.alias("owner_start"), n.alias("owner_end"), F.lit(1.0).alias("similarity"))
+    mine = owners.select(F.col("_t").alias("_m"), F.col("_owner").alias("doc_id"))
     hubs = owners.select(F.col("_t").alias("_h"), F.col("_owner").alias("owner_doc_id"))
-    part = rows.join(found, rows["_t"] == found["t"]).join(hubs, F.col("ht") == F.col("_h"))
+    part = found.join(mine, F.col("t") == F.col("_m")).join(hubs, F.col("ht") == F.col("_h"))
     return whole.union(part.select("doc_id", "start", "end", "owner_doc_id", F.col("h_start").alias("owner_start"), F.col("h_end").alias("owner_end"), "similarity"))
 
 
@@ -310,11 +324,10 @@ def drop_repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
 
     Documents of which no word is left go; the others keep their columns, ``n_chars`` follows the text.
     """
-    found = passages(docs, how)
+    found = passages(distinct_texts(docs)[2], how)
     spans = materialise(found.groupBy(F.col("t").alias("_s")).agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
     marked = docs.withColumn("_t", F.xxhash64("text"))
-    few = spans.count() <= BROADCAST_TEXTS // 8
-    marked = marked.join(F.broadcast(spans) if few else spans, F.col("_t") == F.col("_s"), "left").drop("_t", "_s")
+    marked = marked.join(few(spans, BROADCAST_TEXTS // 8), F.col("_t") == F.col("_s"), "left").drop("_t", "_s")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
