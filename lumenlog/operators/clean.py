@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lumenlog.functions.seq import SeqSpec, attach_row, first_per, gap, index_sequence, over_rows
-from lumenlog.functions.stats import exact_percentiles, mode_by, ratio
+from lumenlog.functions.stats import mode_by, percentile_values, ratio
 from lumenlog.sources.events import deduplicate
 
 # Event-name synonyms.
@@ -43,12 +44,19 @@ def one_event_per_timestamp(df: DataFrame, spec: SeqSpec) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill NULL numerics with the exact column median."""
-    for c in columns:
-        median = exact_percentiles(df, [], c, {f"__med_{c}": 0.5})
-        df = attach_row(df, median).withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")))
-        df = df.drop(f"__med_{c}")
-    return df
+    """Fill NULL numerics with the exact column median; columns without NULLs keep their values and type.
+
+    An integer column with NULLs stays one where its median is a whole number and becomes DOUBLE otherwise.
+    """
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    columns = [c for c in columns if holes[c]]
+    medians = percentile_values(df, {c: (c, 0.5) for c in columns}) if columns else {}
+    filled = {}
+    for c, m in medians.items():
+        kind = df.schema[c].dataType
+        whole = isinstance(kind, IntegralType) and m is not None and m == int(m)
+        filled[c] = F.coalesce(F.col(c).cast(kind if whole else "double"), F.lit(m).cast(kind if whole else "double"))
+    return df.withColumns(filled) if filled else df
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str], fallback: str = "unknown") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions.seq import POS, SeqSpec, attach_row, index_sequence, null_safe_join, seconds
-from lumenlog.functions.stats import exact_percentiles
+from lumenlog.functions.stats import percentile_values
 
 
 def _range_stats(df: DataFrame, spec: SeqSpec, prefix: str) -> DataFrame:
@@ -89,10 +89,9 @@ def encode_categories(df: DataFrame, columns: Sequence[str], limit: int = 10) ->
 def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:
     """One row with ``center_*`` and ``scale_*`` per column; a constant column gets scale 1."""
     if method == "robust":
-        row = None
-        for c in columns:
-            q = exact_percentiles(df, [], c, {f"_l_{c}": 0.25, f"center_{c}": 0.5, f"_h_{c}": 0.75})
-            row = q if row is None else attach_row(row, q)
+        wanted = {f"{n}{c}": (c, p) for c in columns for n, p in (("_l_", 0.25), ("center_", 0.5), ("_h_", 0.75))}
+        values = percentile_values(df, wanted)
+        row = df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in values.items()])
         spread = {c: F.col(f"_h_{c}") - F.col(f"_l_{c}") for c in columns}
     else:
         aggs = []

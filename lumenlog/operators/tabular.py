@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlog.functions.seq import attach_row, null_safe_join
-from lumenlog.functions.stats import exact_percentiles, ratio, safe_corr
+from lumenlog.functions.stats import exact_percentiles, percentile_values, ratio, safe_corr
 from lumenlog.operators.encode import sorted_codes
 from lumenlog.sources.tabular import numeric_columns, string_columns
 
@@ -217,13 +217,13 @@ def feature_scores(df: DataFrame, features: Sequence[str], target: str, method:
 
 def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     """Bin number of each value: how many of the column's exact quantile edges lie below it."""
-    out = df
+    wanted = {f"{c}/{i}": (c, i / bins) for c in columns for i in range(1, bins)}
+    values = percentile_values(df, wanted)
+    binned = {}
     for c in columns:
-        edges = exact_percentiles(df, [], c, {f"_e{i}": i / bins for i in range(1, bins)})
-        names = [F.col(f"_e{i}") for i in range(1, bins)]
-        out = attach_row(out, edges.select(F.array(*names).alias(f"_edges_{c}")))
-        out = out.withColumn(f"{c}_bin", F.size(F.filter(f"_edges_{c}", lambda e: F.col(c) > e))).drop(f"_edges_{c}")
-    return out
+        edges = [values[f"{c}/{i}"] for i in range(1, bins)]
+        binned[f"{c}_bin"] = sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges if e is not None), F.lit(0))
+    return df.withColumns(binned)
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.calendar import calendar_parts, cyclical, temporal_context, time_of_day, weekend_business_flags
 from lumenlog.functions.seq import POS, SIZE, SeqSpec, index_sequence
-from lumenlog.functions.stats import exact_percentiles, mode_by
+from lumenlog.functions.stats import mode_by, percentile_values
 from lumenlog.functions.storage import materialise
 from lumenlog.operators import encode as en
 from lumenlog.operators import models as mo
@@ -131,9 +131,7 @@ def prepare_data(
     train = materialise(train, "train")
     numeric = [c for c in numeric_columns(df) if c not in (*ids, target)]
     strings = [c for c in string_columns(df) if c not in (*ids, target)]
-    medians = {}
-    for c in numeric:
-        medians[c] = exact_percentiles(train, [], c, {"m": 0.5}).first()["m"]
+    medians = percentile_values(train, {c: (c, 0.5) for c in numeric})
     modes = {c: (mode_by(train, [], c, "m").first() or {"m": None})["m"] or "Unknown" for c in strings}
     counts = train.agg(F.lit(1).alias("_one"), *[F.countDistinct(c).alias(c) for c in strings]).first()
     filled = train.fillna(medians).fillna(modes)

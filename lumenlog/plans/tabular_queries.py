@@ -59,7 +59,7 @@ _PARTS = """p AS (SELECT p_partkey AS part_key, p_brand AS brand, CASE WHEN p_pa
 
 @query(
     "s8_clean_table",
-    sql=f"WITH {_PARTS} SELECT part_key::DOUBLE AS part_key, brand, coalesce(type, mode) AS type, coalesce(retail_price, med) AS retail_price FROM p, st",
+    sql=f"WITH {_PARTS} SELECT part_key, brand, coalesce(type, mode) AS type, coalesce(retail_price, med) AS retail_price FROM p, st",
     rnd=["retail_price"],
 )
 def _(t):
