@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-# Merging subqueries that hold further subqueries yields plans Spark cannot generate code for.
-NESTED_MERGE_RULES = (
-    "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries",
-    "org.apache.spark.sql.execution.planmerging.MergeSubplans",
-    "org.apache.spark.sql.catalyst.optimizer.MergeSubplans",
-)
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """UTC timestamps, adaptive execution, and skew-join splitting even where it costs a shuffle.
 
@@ -23,8 +15,4 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    excluded = spark.conf.get("spark.sql.optimizer.excludedRules", "") or ""
-    rules = [r for r in excluded.split(",") if r]
-    rules += [r for r in NESTED_MERGE_RULES if r not in rules]
-    spark.conf.set("spark.sql.optimizer.excludedRules", ",".join(rules))
     return spark

@@ -26,6 +26,18 @@ def event_correlations(df: DataFrame, spec: SeqSpec, threshold: float = 0.5, k:
     right = pairs.select(F.col("from_event").alias("event2"), "to_event", F.col("n").alias("_y"))
     cross = left.join(right, "to_event").filter(F.col("event1") != F.col("event2"))
     cross = cross.groupBy("event1", "event2").agg(F.sum(F.col("_x") * F.col("_y")).alias("_xy"))
+    # Types without a common successor correlate at -(s1 s2) / (spread1 spread2). That passes the threshold only if
+    # the two cover a large share of all types, so few types come into question.
+    share = lambda: attach_row(moments, types).select(
+        "from_event", F.try_divide(F.col("_s"), F.sqrt(F.greatest(F.col("_v") * F.col("_q") - F.col("_s") * F.col("_s"), F.lit(0.0)))).alias("_u")
+    )
+    top = share().agg(F.max("_u").alias("_top"))
+    broad = attach_row(share(), top).filter(F.col("_u") * F.col("_top") > threshold)
+    one = broad.select(F.col("from_event").alias("event1"), F.col("_u").alias("_u1"))
+    two = broad.select(F.col("from_event").alias("event2"), F.col("_u").alias("_u2"))
+    apart = one.join(two, (F.col("event1") != F.col("event2")) & (F.col("_u1") * F.col("_u2") > threshold))
+    apart = apart.select("event1", "event2").join(cross, ["event1", "event2"], "left_anti").withColumn("_xy", F.lit(0.0))
+    cross = cross.unionByName(apart)
     name = lambda i: moments.select(F.col("from_event").alias(f"event{i}"), F.col("_s").alias(f"_s{i}"), F.col("_q").alias(f"_q{i}"))
     out = attach_row(cross.join(name(1), "event1").join(name(2), "event2"), types)
     v = F.col("_v")

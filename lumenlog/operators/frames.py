@@ -96,25 +96,25 @@ def _reference(frame: DataFrame, name: str) -> DataFrame:
 
 
 def auto_calibrate(pixels: DataFrame, dark: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
-    """Subtract the mean dark value; multiply by mean(flat) / flat at each pixel."""
+    """Subtract the mean dark value; multiply by mean(flat) / flat at each pixel (NULL where the flat has no value)."""
     if dark is not None:
         pixels = attach_row(pixels, dark.agg(F.avg("value").alias("_dark")))
         pixels = pixels.withColumn("value", F.col("value") - F.col("_dark")).drop("_dark")
     if flat is not None:
-        pixels = attach_row(pixels.join(_reference(flat, "_flat"), ["y", "x"]), flat.agg(F.avg("value").alias("_mean")))
+        pixels = attach_row(pixels.join(_reference(flat, "_flat"), ["y", "x"], "left"), flat.agg(F.avg("value").alias("_mean")))
         pixels = pixels.withColumn("value", F.col("value") * F.try_divide(F.col("_mean"), F.col("_flat"))).drop("_flat", "_mean")
     return pixels
 
 
 def pixel_response(flat: DataFrame, dark: DataFrame, expected: float = 1.0) -> DataFrame:
     """Offset and gain per pixel position; gain 1 where flat does not exceed dark."""
-    both = _reference(flat, "_f").join(_reference(dark, "_d"), ["y", "x"])
+    both = _reference(flat, "_f").join(_reference(dark, "_d"), ["y", "x"], "full")
     diff = F.col("_f") - F.col("_d")
     return both.select("y", "x", F.col("_d").alias("offset"), F.when(diff > 0, expected / F.when(diff > 0, diff)).otherwise(1.0).alias("gain"))
 
 
 def apply_pixel_response(pixels: DataFrame, response: DataFrame) -> DataFrame:
-    out = pixels.join(response, ["y", "x"])
+    out = pixels.join(response, ["y", "x"], "left")  # NULL where no response is known
     return out.withColumn("value", (F.col("value") - F.col("offset")) * F.col("gain")).drop("offset", "gain")
 
 

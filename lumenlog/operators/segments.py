@@ -180,7 +180,7 @@ def adaptive_segments(
     best = map_cells(slim, [*keys, CHUNK], best_sizes, schema)
     nodes = best.withColumn("_next", F.when(F.col("_size") > 0, F.col(POS) + F.col("_size")))
     starts = follow_jumps(nodes, spec, max_size).filter(F.col("_size") > 0)
-    rows = df.join(starts.select(*keys, POS, "_size", "segment_complexity"), [*keys, POS], "left")
+    rows = null_safe_join(df, starts.select(*keys, POS, "_size", "segment_complexity"), [*keys, POS], "left")
     rows = running(
         rows,
         spec,

@@ -18,6 +18,7 @@ from lumenlog.functions.seq import (
     attach,
     gap,
     index_sequence,
+    null_safe_join,
     over_rows,
     run_bounds,
     running,
@@ -192,8 +193,7 @@ def transition_history(df: DataFrame, spec: SeqSpec) -> DataFrame:
     out = over_rows(df, spec, lambda s: {"_prev": F.lag(s.event).over(s.window)})
     first = out.filter(F.col("_prev").isNotNull()).groupBy(*spec.keys, "_prev", spec.event)
     first = first.agg(F.min(POS).alias(POS)).select(*spec.keys, POS, F.lit(1).alias("_new"))
-    on = [*spec.keys, POS]
-    out = out.join(first, on, "left")
+    out = null_safe_join(out, first, [*spec.keys, POS], "left")
     out = running(out, spec, {"unique_transitions_seen": ("sum", F.coalesce(F.col("_new"), F.lit(0)))})
     share = F.col("unique_transitions_seen") / (F.col(POS) + 1)
     return out.withColumn("transition_diversity", share).drop("_prev", "_new")

@@ -158,30 +158,38 @@ def analyze_sequence(df: DataFrame, spec: SeqSpec) -> DataFrame:
     return row
 
 
-def edit_distance(first: DataFrame, second: DataFrame, spec: SeqSpec, types: Sequence[str]) -> DataFrame:
+def edit_distance(first: DataFrame, second: DataFrame, spec: SeqSpec, types: Sequence[str] | None = None) -> DataFrame:
     """Levenshtein distance per sequence: each event type becomes one character of a string.
 
-    Needs keys, because a distance compares two bounded sequences (one session or user each).
+    The characters come from the types of both logs (``types`` puts some first); a sequence that only one log has is
+    compared with an empty one.  Needs keys, because a distance compares two bounded sequences (one session or user each).
     """
     if not spec.keys:
         raise ValueError("edit distance compares bounded sequences: give keys")
-    pairs = [F.lit(x) for i, t in enumerate(types) for x in (t, chr(0x100 + i))]
-    char = F.element_at(F.create_map(*pairs), F.col(spec.event))
+    seen = first.select(spec.event).union(second.select(spec.event)).distinct()
+    given = F.array_position(F.array(*[F.lit(t) for t in types or [""]]), F.col(spec.event))
+    rank = F.row_number().over(Window.orderBy(F.when(given > 0, given).otherwise(len(types or []) + 1), spec.event))
+    # The codes 0xD800 to 0xDFFF are no characters.
+    code = 0xFF + rank + F.when(rank >= 0xD800 - 0xFF, 0x800).otherwise(0)
+    codes = seen.select(spec.event, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32").alias("_c"))
 
     def text(df: DataFrame, name: str) -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct(F.col(spec.ts), F.col(spec.tiebreak), char.alias("c"))))
-        return df.groupBy(*spec.keys).agg(F.array_join(F.transform(items, lambda x: x["c"]), "").alias(name))
+        coded = null_safe_join(df.select(*spec.keys, spec.ts, spec.tiebreak, spec.event), codes, [spec.event])
+        items = F.array_sort(F.collect_list(F.struct(F.col(spec.ts), F.col(spec.tiebreak), F.col("_c").alias("c"))))
+        return coded.groupBy(*spec.keys).agg(F.array_join(F.transform(items, lambda x: x["c"]), "").alias(name))
 
-    both = null_safe_join(text(first, "_s1"), text(second, "_s2"), spec.keys)
+    sides = text(first, "_s1").withColumn("_s2", F.lit(None).cast("string")).unionByName(text(second, "_s2").withColumn("_s1", F.lit(None).cast("string")))
+    both = sides.groupBy(*spec.keys).agg(*[F.coalesce(F.max(c), F.lit("")).alias(c) for c in ("_s1", "_s2")])
     return both.select(*spec.keys, F.levenshtein("_s1", "_s2").alias("edit_distance"))
 
 
 def compare_sequences(first: DataFrame, second: DataFrame, spec: SeqSpec) -> DataFrame:
     """Length ratio, Jaccard of event sets and cosine of count vectors for sequences with equal keys."""
     on = [*spec.keys, spec.event]
-    a = first.groupBy(*on).agg(F.count("*").alias("_a"))
-    b = second.groupBy(*on).agg(F.count("*").alias("_b"))
-    both = a.join(b, on, "full_outer").na.fill(0, ["_a", "_b"])
+    zero = F.lit(0).cast("long")
+    a = first.groupBy(*on).agg(F.count("*").alias("_a")).withColumn("_b", zero)
+    b = second.groupBy(*on).agg(F.count("*").alias("_b")).withColumn("_a", zero)
+    both = a.unionByName(b).groupBy(*on).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     x, y = F.col("_a").cast("double"), F.col("_b").cast("double")
     row = both.groupBy(*spec.keys).agg(
         F.coalesce(ratio(F.sum("_a"), F.sum("_b")), F.lit(0.0)).alias("length_ratio"),
