@@ -339,7 +339,7 @@ def _(t):
 @query("l5_recursive_elimination")
 def _(t):
     rows = t.table("part").withColumn("p_brand_no", F.regexp_extract("p_brand", r"\d+", 0).cast("double"))
-    kept = mo.recursive_elimination(rows, ["p_partkey", "p_size", "p_brand_no"], "p_retailprice", 1, 10)
+    kept = mo.recursive_elimination(rows, ["p_partkey", "p_size", "p_brand_no"], "p_retailprice", 1, 100)
     return rows.agg(*[F.avg(c).alias(c) for c in kept])
 
 
@@ -377,7 +377,7 @@ def _(t):
 
 @query("l9_supervised_importance")
 def _(t):
-    return mo.supervised_importance(t.events(), ["value", "user_id"], "event", 20)
+    return mo.supervised_importance(t.events(), ["value", "user_id"], "event", 100)
 
 
 def _single(t):
@@ -410,7 +410,7 @@ for _name, _slope, _params in (
 def _parts(t):
     rows = t.table("part").withColumns({"p_brand_no": F.regexp_extract("p_brand", r"\d+", 0).cast("double"), "id": F.col("p_partkey")})
     rows = mo.assemble(rows, ["p_partkey", "p_size", "p_brand_no"], "p_retailprice")
-    return mo.add_folds(tb.hash_split(rows, ["p_partkey"]), ["p_partkey"], 3)
+    return mo.add_folds(tb.hash_split(rows, ["p_partkey"]), ["p_partkey"], 5)
 
 
 def _tested(t, name, **params):
@@ -426,28 +426,28 @@ def _(t):
 
 @query("l15_gradient_boosting")
 def _(t):
-    return _tested(t, "gradient_boosting", n_estimators=20)
+    return _tested(t, "gradient_boosting")
 
 
 @query("l16_svr")
 def _(t):
-    return _tested(t, "svr", steps=30)
+    return _tested(t, "svr")
 
 
 @query("l17_cross_validation")
 def _(t):
-    models, table = mo.train_all(_parts(t).persist(), ["linear", "ridge"], 3, 3)
+    models, table = mo.train_all(_parts(t).persist(), ["linear", "ridge", "lasso", "elastic_net"], 3, 5)
     return table.select("model", "fold", "rmse", "mae", "r2")
 
 
 @query("l18_grid_search")
 def _(t):
-    return mo.search(_parts(t).persist(), "ridge", mo.grid("ridge")[:3], 3, 3).drop("params")
+    return mo.search(_parts(t).persist(), "ridge", mo.grid("ridge"), 3, 5).drop("params")
 
 
 @query("l19_random_search")
 def _(t):
-    return mo.search(_parts(t).persist(), "elastic_net", mo.random_candidates("elastic_net", 3), 3, 3).drop("params")
+    return mo.search(_parts(t).persist(), "elastic_net", mo.random_candidates("elastic_net", 20), 3, 5).drop("params")
 
 
 _P1, _P2 = "l_quantity * 1500", "l_quantity * 1400 + 2000"
@@ -507,12 +507,12 @@ def _(t):
 
 @query("l24_cv_report")
 def _(t):
-    return mo.cv_report(mo.cross_validate(_parts(t).persist(), "linear", 3, 3))
+    return mo.cv_report(mo.cross_validate(_parts(t).persist(), "linear", 3, 5))
 
 
 @query("l25_learning_curve")
 def _(t):
-    return mo.learning_curve(_parts(t).persist(), ["p_partkey"], "linear", 3, 2, [0.25, 0.5, 1.0])
+    return mo.learning_curve(_parts(t).persist(), ["p_partkey"], "linear", 3, 5, [i / 10 for i in range(1, 11)])
 
 
 @query(
@@ -592,14 +592,14 @@ def _(t):
 def _(t):
     from lumenlog.plans.composite import run_tabular
 
-    return run_tabular(t.table("part").drop("p_name"), "p_retailprice", ["p_partkey"], ["linear", "ridge"], folds=2).metrics
+    return run_tabular(t.table("part").drop("p_name"), "p_retailprice", ["p_partkey"], ["linear", "ridge", "lasso", "elastic_net"], folds=5).metrics
 
 
 @query("x13_best_model_predictions")
 def _(t):
     from lumenlog.plans.composite import run_tabular
 
-    run = run_tabular(t.table("part").drop("p_name"), "p_retailprice", ["p_partkey"], ["linear", "ridge"], folds=2)
+    run = run_tabular(t.table("part").drop("p_name"), "p_retailprice", ["p_partkey"], ["linear", "ridge", "lasso", "elastic_net"], folds=5)
     return run.predict(t.table("part")).select("p_partkey", "prediction")
 
 
