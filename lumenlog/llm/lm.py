@@ -4,14 +4,14 @@ A text is its lower-cased words, each ended by one separator, written in bits: e
 tree made from the corpus' byte counts. Each bit is predicted in several hashed contexts (the bytes before it in its
 word, and the whole word so far) from how often it was 0 or 1 there in the training documents. The predictions'
 log odds are mixed by weights; which weights, a gate decides by how well the word context is known. The gated weights
-start from a fit on the corpus and are refined while a text is read: after every ``SEGMENT`` words the text's own
+start from fixed values and are refined while a text is read: after every ``SEGMENT`` words the text's own
 corrections to the weights and to the sharpness of the mix take a gradient step. The bits of a word multiply to its
 probability. What the text itself has shown, its words and pairs of words so far, refines that: the three are averaged
 by shares that follow, again after every segment, how well each has done. A score adds what all words cost.
 
 Contexts do not reach over words, so counting needs each distinct word once, with its frequency, and the fixed part of
 the mix is worked out once for each distinct word of a block. Word frequencies are exact sums over all training
-documents and also give the base score; the count tables have fixed sizes (some 30 MB), whatever the corpus.
+documents and also give the base score; the count tables have fixed sizes (some 15 MB), whatever the corpus.
 
 Defined cases: a null text has no words; without training documents all counts are zero; null ids are held in; repeated
 rows are documents of their own; other columns are not read.
@@ -20,7 +20,7 @@ rows are documents of their own; other columns are not read.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,16 @@ from lumenlog.llm.quality import fold
 from lumenlog.llm.texts import WORD
 
 #: Bits of the table sizes: contexts of two, three and five bytes, and the word so far.
-TABLES = (20, 21, 22, 23)
-GATES = 8
+TABLES = (19, 20, 21, 22)
+#: Weights that every text starts from, by gate: how often the word so far was seen (never, once or twice, up to 15
+#: times, more), inside a word and in its first byte.
+WEIGHTS = np.array(
+    [(0.36, 0.42, 0.40, 0.42), (0.25, 0.41, 0.44, 0.55), (0.13, 0.36, 0.46, 0.46), (0.03, 0.12, 0.41, 0.49)] + [(0.25, 0.25, 0.25, 0.25)] * 4,
+    np.float32,
+)
+#: Documents read side by side, and words whose bits are held at once: few enough for a processor's caches.
+TOGETHER = 128
+CHUNK = 1 << 12
 SEGMENT = 32
 RATE = 1e-3
 #: What the spelling, the text's words and the text's pairs of words start with, in words that each has got right.
@@ -77,6 +85,7 @@ ZEROS, ONES = LARGE[np.arange(1 << 16) & 255], LARGE[np.arange(1 << 16) >> 8]
 
 #: Log odds of a pair of counts before anything is known about how well counts predict.
 PLAIN = np.log((ONES + PRIOR) / (ZEROS + PRIOR)).astype(np.float32)
+CONFIDENCE = sum((ZEROS + ONES > n).astype(np.int8) for n in (0, 2, 15))
 #: The pair without the one occurrence that is being predicted, by its bit. Beyond the exact counts one is no change;
 #: a step there would give the bit away.
 LOW, HIGH = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
@@ -119,14 +128,14 @@ def walks(words: list[bytes], tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     three = two * np.uint32(0x9E3779B1) ^ back[2] * np.uint32(0x85EBCA77)
     five = three * np.uint32(0x9E3779B1) ^ (back[3] << np.uint32(8) | back[4]) * np.uint32(0xC2B2AE3D)
     lengths = np.diff(offsets)[text]
-    which = np.repeat(np.arange(n), lengths)
-    inside = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(offsets[text], lengths)
+    which = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    inside = np.arange(len(which)) + np.repeat(offsets[text] - np.cumsum(lengths) + lengths, lengths)
     node = nodes[inside]
     places = []
     spread = node * np.uint32(0xC2B2AE3D)
     for context, width in zip((two, three, five, prefix), TABLES):
         h = (context[which] ^ spread) * np.uint32(0x27D4EB2F)
-        places.append(((h ^ h >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(32 - width)).astype(np.int64))
+        places.append(((h ^ h >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(32 - width)).astype(np.int32))
     total = np.concatenate([[0], np.cumsum(lengths)])
     return Walks(places, bits[inside], (which == at[which]), total[np.concatenate([starts, [n]])])
 
@@ -155,12 +164,12 @@ def history(sequence: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """Code tree, count tables, log odds by pair of counts for each table, gated weights, chances of empty and last."""
+    """Code tree, count tables, log odds by pair of counts for each table, weights, chances of empty and last."""
 
     tree: tuple[np.ndarray, np.ndarray, np.ndarray]
     tables: list[np.ndarray]
     odds: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray = field(default_factory=WEIGHTS.copy)
     empty: float = 0.5
     end: float = 0.5
 
@@ -174,15 +183,14 @@ class Model:
         pairs = self.pairs(w, others)
         sign = (2 * w.bits - 1).astype(np.float32)
         signs = np.stack([o[p] * sign for o, p in zip(self.odds, pairs)], 1)
-        seen = ZEROS[pairs[-1]] + ONES[pairs[-1]]
-        gate = (seen > 0).astype(np.int8) + (seen > 2) + (seen > 15) + 4 * w.first
+        gate = CONFIDENCE[pairs[-1]] + 4 * w.first.astype(np.int8)
         return signs, gate
 
     def scores(self, words: list[bytes], sequence: np.ndarray, per: np.ndarray) -> np.ndarray:
         """Log10 probability of each document: ``per`` words each of ``sequence``, places in ``words``."""
         parts, sizes = [], []
-        for i in range(0, len(words), 1 << 15):
-            w = walks(words[i : i + (1 << 15)], self.tree)
+        for i in range(0, len(words), CHUNK):
+            w = walks(words[i : i + CHUNK], self.tree)
             signs, gate = self.signals(w)
             mix = np.einsum("ij,ij->i", signs, self.weights[gate])
             row = np.empty(len(mix), [("mix", np.float32), ("signs", np.int8, 4)])
@@ -194,11 +202,14 @@ class Model:
         start = np.cumsum(size) - size
         ends = np.cumsum(per)
         begins = ends - per
-        again, follows = history(sequence, per)
+        again, follows = np.empty(len(sequence), np.float32), np.empty(len(sequence), np.float32)
+        for i in range(0, len(per), 256):
+            a, b = int(begins[i]), int(ends[min(i + 256, len(per)) - 1])
+            again[a:b], follows[a:b] = history(sequence[a:b], per[i : i + 256])
         order = np.argsort(-per, kind="stable")
         cost = np.zeros(len(per))
-        for i in range(0, len(per), 256):
-            docs = order[i : i + 256]
+        for i in range(0, len(per), TOGETHER):
+            docs = order[i : i + TOGETHER]
             own = np.zeros((len(docs), 5), np.float32)
             shares = np.tile(SHARES, (len(docs), 1))
             for at in range(0, int(per[docs].max(initial=0)), SEGMENT):
@@ -214,13 +225,17 @@ class Model:
                 x[:, 0] = cells["mix"]
                 np.multiply(cells["signs"], np.float32(0.1), out=x[:, 1:])
                 now = own[: len(docs)]
-                bits = np.add.reduceat(m, lead)
-                z = x[:, 0] + np.einsum("ij,ij->i", x, np.repeat(now, bits, axis=0))
+                cuts = [*heads[lead].tolist(), len(x)]
+                z = np.empty(len(x), np.float32)
+                for d, weights in enumerate(now + np.float32([1, 0, 0, 0, 0])):
+                    np.dot(x[cuts[d] : cuts[d + 1]], weights, out=z[cuts[d] : cuts[d + 1]])
                 np.clip(z, -30, 30, out=z)
                 wrong = np.exp(-z)
                 spelled = np.exp(-np.add.reduceat(np.log1p(wrong), heads, dtype=np.float64))
                 wrong /= 1 + wrong
-                step = np.add.reduceat(x * wrong[:, None], heads[lead], axis=0)
+                step = np.empty_like(now)
+                for d in range(len(docs)):
+                    np.dot(wrong[cuts[d] : cuts[d + 1]], x[cuts[d] : cuts[d + 1]], out=step[d])
                 own[: len(docs)] = np.clip(now + RATE * step, -0.5, 0.5)
                 mine = shares[: len(docs)]
                 each = np.stack([spelled, again[where], follows[where]], 1) * np.repeat(mine / mine.sum(axis=1, keepdims=True), n, axis=0)
@@ -258,8 +273,8 @@ def word_batches(batches):
     """(words as bytes, counts) in parts small enough for the bit arrays."""
     for batch in batches:
         words, counts = batch.column("word").cast(pa.binary()).to_pylist(), batch.column("c").to_numpy().astype(float)
-        for i in range(0, len(words), 1 << 15):
-            yield words[i : i + (1 << 15)], counts[i : i + (1 << 15)]
+        for i in range(0, len(words), CHUNK):
+            yield words[i : i + CHUNK], counts[i : i + CHUNK]
 
 
 def byte_counts(words: DataFrame) -> np.ndarray:
@@ -292,7 +307,7 @@ def count_tables(words: DataFrame, tree) -> list[np.ndarray]:
             w = walks(some, tree)
             weight = np.repeat(counts, np.diff(w.starts))
             for t, place in enumerate(w.places):
-                total[edges[t] : edges[t + 1]] += np.bincount(place * 2 + w.bits, weight, 2 << TABLES[t])
+                np.add.at(total, edges[t] + 2 * place.astype(np.int64) + w.bits, weight)
         for i in range(0, edges[-1] if any_word else 0, PART):
             part = total[i : i + PART]
             if part.any():
@@ -349,7 +364,7 @@ def fit_odds(words: DataFrame, model: Model) -> np.ndarray:
         w = walks(some, shared.value.tree)
         weight = np.repeat(counts, np.diff(w.starts))
         for t, pair in enumerate(shared.value.pairs(w, others=True)):
-            total[t << 17 : (t + 1) << 17] += np.bincount(pair.astype(np.int64) * 2 + w.bits, weight, 1 << 17)
+            np.add.at(total, (t << 17) + pair.astype(np.int64) * 2 + w.bits, weight)
 
     seen = summed(words, len(TABLES) << 17, add).reshape(len(TABLES), -1, 2)
     prior = 1 / (1 + np.exp(-PLAIN.astype(float)))
@@ -357,34 +372,6 @@ def fit_odds(words: DataFrame, model: Model) -> np.ndarray:
     return np.log(ones / zeros).astype(np.float32)
 
 
-def fit_weights(words: DataFrame, model: Model, rounds: int = 5) -> np.ndarray:
-    """Gated weights by Newton steps on all words, each predicted from the other occurrences only."""
-    k = len(TABLES)
-    wide = k + k * k
-    weights = np.full((GATES, k), 0.25)
-    shared = words.sparkSession.sparkContext.broadcast(model)
-    for _ in range(rounds):
-
-        def add(total, some, counts, weights=weights.astype(np.float32)):
-            w = walks(some, shared.value.tree)
-            signs, gate = shared.value.signals(w, others=True)
-            p = 0.5 - 0.5 * np.tanh(0.5 * np.einsum("ij,ij->i", signs, weights[gate]))
-            weight = np.repeat(counts, np.diff(w.starts))
-            for g in range(GATES):
-                of = gate == g
-                s, e, c = signs[of].astype(float), p[of], weight[of]
-                total[g * wide : g * wide + k] += s.T @ (c * e)
-                total[g * wide + k : (g + 1) * wide] += (s.T @ (s * (c * e * (1 - e))[:, None])).ravel()
-
-        total = summed(words, GATES * wide, add).reshape(GATES, -1)
-        for g in range(GATES):
-            bend = total[g, k:].reshape(k, k)
-            pull = 1.0 + 1e-6 * np.trace(bend)
-            move = np.linalg.solve(bend + pull * np.eye(k), total[g, :k] - pull * (weights[g] - 0.25))
-            weights[g] = np.clip(weights[g] + np.clip(move, -0.3, 0.3), -1, 2)
-    return weights.astype(np.float32)
-
-
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -404,9 +391,8 @@ def score(docs: DataFrame) -> DataFrame:
     train = n_words + learned.docs
     kinds = distinct + (learned.docs > 0)
     tree = code_tree(byte_counts(words) + 1)
-    model = Model(tree, count_tables(words, tree), np.stack([PLAIN] * len(TABLES)), np.full((GATES, len(TABLES)), 0.25, np.float32))
+    model = Model(tree, count_tables(words, tree), np.stack([PLAIN] * len(TABLES)))
     model.odds = fit_odds(words, model)
-    model.weights = fit_weights(words, model)
     model.empty = (learned.empty + 0.5) / (learned.docs + 1)
     model.end = min(0.5, (learned.docs - learned.empty + 0.5) / (n_words + 1))
     shared = spark.sparkContext.broadcast(model)

@@ -58,7 +58,7 @@ def test_symbols_share_one_probability():
     r = np.random.default_rng(3)
     tree = lm.code_tree(r.integers(1, 1000, 256))
     tables = [r.integers(0, 40, 1 << t).astype(np.uint16) | r.integers(0, 40, 1 << t).astype(np.uint16) << 8 for t in lm.TABLES]
-    model = lm.Model(tree, tables, np.stack([lm.PLAIN] * len(tables)), r.normal(size=(lm.GATES, len(tables))).astype(np.float32))
+    model = lm.Model(tree, tables, np.stack([lm.PLAIN] * len(tables)), r.normal(size=lm.WEIGHTS.shape).astype(np.float32))
     others = [b for b in range(256) if b not in (9, 10, 11, 12, 13, 32)]
     words = [b"the" + bytes([b]) for b in others] + [b"the"]
     w = lm.walks(words, tree)
