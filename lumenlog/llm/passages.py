@@ -37,6 +37,8 @@ BROADCAST_TEXTS = 2_000_000
 ENOUGH = 2
 #: The same token counts as equal for its first occurrences in a text, eight at a time: a text of one word stays cheap.
 OCCURRENCES = 8
+#: A token with more pairs of places in two texts is paired in its order only, and the runs found so are lengthened.
+PAIRS = 64
 
 _WORDS = Kept(lambda w: xxhash.xxh64_intdigest(w, 7), 1 << 19)
 
@@ -185,53 +187,113 @@ def candidates(texts: DataFrame, how: Passages) -> DataFrame:
     return islands.filter(F.col("_functions") >= ENOUGH).select("ht", "t", "l", "r", "hl", "hr")
 
 
+def shared_runs(t: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, last, first in h) of the maximal runs of tokens that stand in the same order in both."""
+    values, in_t, n_t = np.unique(t, return_inverse=True, return_counts=True)
+    at = np.searchsorted(values, h)
+    known = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == h) if len(values) else np.zeros(len(h), bool)
+    places = np.flatnonzero(known)
+    n_h = np.bincount(at[places], minlength=len(values))
+    order_t = np.argsort(in_t, kind="stable")
+    order_h = places[np.argsort(at[places], kind="stable")]
+    starts_t, starts_h = np.cumsum(n_t) - n_t, np.cumsum(n_h) - n_h
+    # All pairs of places of a token; of one with very many, the k-th place here with the k-th there.
+    full = n_t * n_h <= PAIRS
+    counts = np.where(full, n_t * n_h, np.minimum(n_t, n_h))
+    token = np.repeat(np.arange(len(values)), counts)
+    k = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
+    wide = np.where(full, np.maximum(n_h, 1), 1)[token]
+    i = order_t[starts_t[token] + k // wide] if len(token) else token
+    j = order_h[starts_h[token] + np.where(full[token], k % wide, k)] if len(token) else token
+    order = np.lexsort((i, j - i))
+    i, shift = i[order], (j - i)[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (np.diff(i) != 1) | (np.diff(shift) != 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i)) - 1
+    runs = zip(i[first].tolist(), i[last].tolist(), shift[first].tolist()) if len(i) else ()
+    if full.all():
+        return [(a, b, a + d) for a, b, d in runs]
+    # Pairs were left out: runs go on as far as both texts agree.
+    found = set()
+    for a, b, d in sorted(runs):
+        if any(x <= a and b <= y and e == d for x, y, e in list(found)[-1:]):
+            continue
+        back, ahead = min(a, a + d), min(len(t) - b, len(h) - b - d) - 1
+        same = np.flatnonzero(t[a - back : a][::-1] != h[a + d - back : a + d][::-1]) if back else ()
+        a -= int(same[0]) if len(same) else back
+        same = np.flatnonzero(t[b + 1 : b + 1 + ahead] != h[b + d + 1 : b + d + 1 + ahead]) if ahead > 0 else ()
+        b += int(same[0]) if len(same) else max(ahead, 0)
+        found.add((a, b, d))
+    return [(a, b, a + d) for a, b, d in found]
+
+
+def chains_of(runs: list[tuple[int, int, int]], gap: int) -> list[list[tuple[int, int, int]]]:
+    """Runs that follow each other in both texts with at most ``gap`` tokens in between."""
+    done, going = [], []
+    for a, b, x in sorted(runs, key=lambda r: (r[0], -r[1])):
+        done += [c for c in going if a - c[-1][1] - 1 > gap]
+        going = [c for c in going if a - c[-1][1] - 1 <= gap]
+        fits = []
+        for c in going:
+            a0, b0, x0 = c[-1]
+            y0 = x0 + b0 - a0
+            if a > b0 and 0 <= x - y0 - 1 <= gap:
+                fits.append((abs(x - a - x0 + a0), -(b0 - c[0][0]), c))
+        if fits:
+            min(fits, key=lambda f: f[:2])[2].append((a, b, x))
+        else:
+            going.append([(a, b, x)])
+    return done + going
+
+
 def verified(t: np.ndarray, h: np.ndarray, how: Passages) -> list[tuple[int, int, int, int, float]]:
     """(first, last, first, last, Jaccard) of the passages of ``t`` that stand in ``h``, as token places.
 
-    Runs of shared tokens are joined over gaps of up to two changed words. A joined run counts if the token sets of
-    both sides are similar enough; if not, the single runs inside get their own chance.
+    Runs of shared tokens are joined over gaps of up to two changed words where they follow each other in ``h`` too. A
+    joined run counts if the token sets of both sides are similar enough; if not, the longest part of it that is, and
+    so on with what is left before and behind that part. A place of ``t`` that one passage covers is not named again.
     """
-    order = np.argsort(h, kind="stable")
-    at = np.searchsorted(h[order], t)
-    shared = (at < len(h)) & (h[order[np.minimum(at, len(h) - 1)]] == t) if len(h) else np.zeros(len(t), bool)
-    edge = np.flatnonzero(np.diff(shared.astype(np.int8), prepend=0, append=0))
-    runs = list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
-    joined: list[list[tuple[int, int]]] = []
-    for a, b in runs:
-        if joined and a - joined[-1][-1][1] - 1 <= 2 * how.width:
-            joined[-1].append((a, b))
-        else:
-            joined.append([(a, b)])
-    place = order[np.minimum(at, max(len(h) - 1, 0))] if len(h) else at
 
-    def check(a: int, b: int):
-        if b - a + 1 < how.least:
-            return None
-        own = t[a : b + 1]
-        # Where the passage stands in h: around the place that most of its tokens agree on.
-        shift = place[a : b + 1] - np.arange(a, b + 1)
-        there = shared[a : b + 1]
-        middle = int(np.median(shift[there]))
-        close = there & (np.abs(shift - middle) <= max(how.width * 2, (b - a + 1) // 5))
-        x = place[a : b + 1][close]
-        if not len(x) or x.max() - x.min() + 1 < how.least:
-            x = np.flatnonzero(np.isin(h, t[a : b + 1]))  # repeated tokens: every place counts
-        lo, hi = int(x.min()), int(x.max())
-        if hi - lo + 1 < how.least:
+    def check(part: list[tuple[int, int, int]]):
+        a, b, lo, hi = part[0][0], part[-1][1], part[0][2], part[-1][2] + part[-1][1] - part[-1][0]
+        if min(b - a, hi - lo) + 1 < how.least:
             return None
-        ours, theirs = set(own.tolist()), set(h[lo : hi + 1].tolist())
+        ours, theirs = set(t[a : b + 1].tolist()), set(h[lo : hi + 1].tolist())
         both = len(ours & theirs)
         score = both / (len(ours) + len(theirs) - both)
         return (a, b, lo, hi, score) if score >= how.similarity else None
 
+    def parts(chain: list[tuple[int, int, int]]):
+        """The longest parts of a chain that pass, by places without repeats first of all."""
+        todo = [(0, len(chain))]
+        a, b, x = (np.array(c) for c in zip(*chain))
+        n = np.cumsum(b - a + 1)
+        while todo:
+            i, j = todo.pop()
+            if i >= j or b[j - 1] - a[i] + 1 < how.least:
+                continue
+            got = check(chain[i:j])
+            if got is None:
+                own = b[None, i:j] - a[i:j, None] + 1
+                its = (x + b - a)[None, i:j] - x[i:j, None] + 1
+                both = n[None, i:j] - (n - (b - a + 1))[i:j, None]
+                # Repeated tokens count once in the sets, so parts somewhat below are looked at too.
+                may = (np.minimum(own, its) >= how.least) & (both >= (how.similarity - 0.1) * (own + its - both)) & np.triu(np.ones(own.shape, bool))
+                for f, l in sorted(zip(*(z.tolist() for z in np.nonzero(may))), key=lambda z: -own[z]):
+                    got = check(chain[i + f : i + l + 1])
+                    if got:
+                        todo += [(i, i + f), (i + l + 1, j)]
+                        break
+            if got:
+                yield got
+
     out = []
-    for parts in joined:
-        whole = check(parts[0][0], parts[-1][1])
-        if whole:
-            out.append(whole)
-        elif len(parts) > 1:
-            out += [x for a, b in parts if (x := check(a, b))]
-    return out
+    chains = [c for c in chains_of(shared_runs(t, h), 2 * how.width) if c[-1][1] - c[0][0] + 1 >= how.least]
+    for x in sorted((x for c in chains for x in parts(c)), key=lambda x: (x[0] - x[1], -x[4], x)):
+        if not any(a <= x[0] and x[1] <= b for a, b, *_ in out):
+            out.append(x)
+    return sorted(out)
 
 
 def few(df: DataFrame, most: int = BROADCAST_TEXTS) -> DataFrame:

@@ -83,6 +83,25 @@ def test_planted_passages(spark):
     assert {x.doc_id for x in rows} | {x.owner_doc_id for x in rows} == known
 
 
+def test_verified_parts_of_a_chain():
+    """A near copy with an edit every 30 words, and a line right behind it that stands elsewhere in the other text."""
+    r = random.Random(14)
+    line, near = prose(r, 20), prose(r, 100)
+    other = list(near)
+    other[33] = other[66] = "changed"
+    t, h = prose(r, 30) + near + line + prose(r, 30), line + prose(r, 40) + other + prose(r, 30)
+    [(a, b, x, y, score)] = P.verified(P.tokens(" ".join(t), 5), P.tokens(" ".join(h), 5), P.Passages())
+    assert (a, b + 5, x, y + 5) == (30, 130, 60, 160) and score >= 0.8
+    # A part before a stretch that differs too much; an exact passage whose first half stands earlier in h as well.
+    bad = [w if i % 6 else "x" + w for i, w in enumerate(prose(r, 60))]
+    t, h = near + bad, other + [w if i % 8 else "y" + w for i, w in enumerate(bad)]
+    assert [(x[0], x[1] + 5) for x in P.verified(P.tokens(" ".join(t), 5), P.tokens(" ".join(h), 5), P.Passages())][0][0] == 0
+    t, h = near[:60], near[:25] + prose(r, 80) + near[:60]
+    assert [x[:4] for x in P.verified(P.tokens(" ".join(t), 5), P.tokens(" ".join(h), 5), P.Passages())] == [(0, 55, 105, 160)]
+    t, h = near[:20] * 12 + near[:60], prose(r, 9) + near[:20] * 2 + prose(r, 9) + near[:60]
+    assert any(b - a >= 55 for a, b, *_ in P.verified(P.tokens(" ".join(t), 5), P.tokens(" ".join(h), 5), P.Passages()))
+
+
 def test_one_occurrence_stays(spark):
     r = random.Random(12)
     passage = prose(r, 80)
