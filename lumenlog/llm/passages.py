@@ -9,7 +9,8 @@ enough hash functions overlap, the two passages are verified token by token.
 A passage may stand in a third of all texts. So windows of one anchor are linked to the first of them (in the order of
 text hash and place) and never to each other; a task first does so among its own texts, and only one window of an
 anchor and task is shuffled. The key of an anchor takes in two tokens on either side, which keeps short common lines
-in different surroundings apart. Verified passages all point to an earlier text, so one occurrence is always left.
+in different surroundings apart. Windows that share no passage with their first one are compared again by longer keys.
+Verified passages all point to an earlier text, so one occurrence is always left.
 
 Defined cases: a null text is empty; texts with fewer than ``min_words`` words have no passages; equal texts are one
 text here and repeat as a whole; the owner of a passage is the smallest doc_id with that text (null if there is none);
@@ -163,8 +164,8 @@ def windows(texts: DataFrame, how: Passages) -> DataFrame:
     return texts.select("text", "_t").mapInArrow(run, WINDOW)
 
 
-def candidates(texts: DataFrame, how: Passages) -> DataFrame:
-    """(t, ht, l, r, hl, hr): regions of tokens of two texts where windows of enough functions overlap."""
+def links(texts: DataFrame, how: Passages) -> DataFrame:
+    """(key, t, c, l, r, ht, hc, hl, hr, j): the windows that have the anchor of another text's, linked to a first one."""
     rows = windows(texts, how)
     # Windows that have their link already spread over all tasks; the firsts meet by key.
     deal = F.when(F.col("first"), F.col("key")).otherwise(F.xxhash64("key", "t", "c"))
@@ -173,7 +174,11 @@ def candidates(texts: DataFrame, how: Passages) -> DataFrame:
     rows = rows.withColumn("_deal", deal).withColumn("_hub", hub)
     for old, new in (("ht", "t"), ("hc", "c"), ("hl", "l"), ("hr", "r")):
         rows = rows.withColumn(f"_{old}", F.when(F.col("first"), F.col(f"_hub.{new}")).otherwise(F.col(old)))
-    pairs = rows.filter("_ht <> t").select("t", "c", "l", "r", F.col("_ht").alias("ht"), F.col("_hc").alias("hc"), F.col("_hl").alias("hl"), F.col("_hr").alias("hr"), F.col("key").bitwiseAND(F.lit(7)).alias("j"))
+    return rows.filter("_ht <> t").select("key", "t", "c", "l", "r", *[F.col(f"_{x}").alias(x) for x in ("ht", "hc", "hl", "hr")], F.col("key").bitwiseAND(F.lit(7)).alias("j"))
+
+
+def candidates(pairs: DataFrame, enough: int) -> DataFrame:
+    """(t, ht, l, r, hl, hr): regions of tokens of two texts where linked windows of ``enough`` functions overlap."""
     # Intervals of a pair of texts that overlap form an island.
     ordered = Window.partitionBy("ht", "t").orderBy("l", "c")
     reach = F.max("r").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -184,7 +189,52 @@ def candidates(texts: DataFrame, how: Passages) -> DataFrame:
         *[F.min(c).alias(c) for c in ("l", "hl")],
         *[F.max(c).alias(c) for c in ("r", "hr")],
     )
-    return islands.filter(F.col("_functions") >= ENOUGH).select("ht", "t", "l", "r", "hl", "hr")
+    return islands.filter(F.col("_functions") >= enough).select("ht", "t", "l", "r", "hl", "hr")
+
+
+def offsets(size: int, least: int) -> list[int]:
+    """How far before a place runs of ``size`` tokens start, so that every run of ``least`` with the place holds one."""
+    return sorted({min(x, size - 1) for x in range(0, size + least, least - size + 1)})
+
+
+def run_keys(t: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` tokens."""
+    out = np.zeros(max(len(t) - size + 1, 0), np.uint64)
+    for i in range(size if len(out) else 0):
+        out = out * np.uint64(0x9FB21C651E98DF25) + t[i : i + len(out)]
+    return mix(out, 5).view(np.int64)
+
+
+def runs(members: DataFrame, size: int, how: Passages) -> DataFrame:
+    """(key, t, c, open): runs of ``size`` tokens around the places of each text; open ones lie in none of its spans."""
+    back = np.array(offsets(size, how.least))
+
+    def run(batches):
+        for batch in slices(batches, "text", 256):
+            out = [[], [], [], []]
+            for r in batch.to_pylist():
+                key = run_keys(tokens(r["text"], how.width), size)
+                c = np.unique(np.array(r["places"], np.int64)[:, None] - back)
+                c = c[(c >= 0) & (c < len(key))]
+                # The furthest end of the spans that begin no later than a run.
+                spans = np.array(sorted((x["start"], x["end"]) for x in r["spans"] or ()) or [(-1, -1)], np.int64)
+                at = np.searchsorted(spans[:, 0], c, side="right") - 1
+                end = np.where(at >= 0, np.maximum.accumulate(spans[:, 1])[np.maximum(at, 0)], -1)
+                for x, y in zip(out, (key[c], np.full(len(c), r["t"], np.int64), c.astype(np.int32), end < c + size + how.width - 1)):
+                    x.append(y)
+            cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["key", "t", "c", "open"])
+
+    return members.mapInArrow(run, "key long, t long, c int, open boolean")
+
+
+def run_links(rows: DataFrame, size: int) -> DataFrame:
+    """(t, c, l, r, ht, hl, hr, j): each open run linked to the first equal one of all texts."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct("t", "c")).alias("_hub"), F.max("t").alias("_other"), F.max("open").alias("_any"))
+    hubs = hubs.filter(F.col("_any") & (F.col("_other") != F.col("_hub.t"))).select("key", F.col("_hub.t").alias("ht"), F.col("_hub.c").alias("hl"))
+    linked = rows.filter("open").join(hubs, "key").filter("ht <> t")
+    far = F.lit(size - 1)
+    return linked.select("t", "c", F.col("c").alias("l"), (F.col("c") + far).alias("r"), "ht", "hl", (F.col("hl") + far).alias("hr"), F.lit(0).alias("j"))
 
 
 def shared_runs(t: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int]]:
@@ -316,15 +366,8 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, owners, texts.select("text", "_t")
 
 
-def passages(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
-    """(t, start, end, ht, h_start, h_end, similarity): verified passages between texts, as word places, ends excluded.
-
-    Texts (text, _t) are named by their hash; each passage of ``t`` points to an equal or similar one of ``ht`` < ``t``.
-    """
-    found = materialise(candidates(texts, how), "candidates")
-    needed = materialise(found.select(F.col("t").alias("_t")).union(found.select("ht")).distinct(), "needed")
-    texts = texts.join(few(needed), "_t", "left_semi").groupBy("_t").agg(F.max("text").alias("text"))
-    texts = materialise(texts, "texts")
+def compared(found: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
+    """(t, start, end, ht, h_start, h_end, similarity): what of the candidates is verified; texts are (_t, text)."""
     mine = found.join(texts, found["t"] == texts["_t"]).drop("_t")
     other = texts.select(F.col("_t").alias("_h"), F.col("text").alias("h_text"))
     both = mine.join(other, F.col("ht") == F.col("_h")).drop("_h")
@@ -346,6 +389,39 @@ def passages(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
     return both.mapInArrow(run, "t long, start long, end long, ht long, h_start long, h_end long, similarity double").distinct()
 
 
+def passages(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
+    """(t, start, end, ht, h_start, h_end, similarity): verified passages between texts, as word places, ends excluded.
+
+    Texts (text, _t) are named by their hash; each passage of ``t`` points to an equal or similar one of ``ht`` < ``t``.
+
+    A window that shares no passage with its first one may share one with others of its anchor. All windows of such
+    anchors go on with runs of more and more tokens around the anchor as keys, the last as long as a passage, and each
+    run that no passage covers so far is compared with the first equal one of all texts. So an exact repeat is found
+    whatever else has its anchors: at the last length the first one always holds the passage.
+    """
+    pairs = materialise(links(texts, how), "links")
+    found = materialise(candidates(pairs, ENOUGH), "candidates")
+    needed = materialise(found.select(F.col("t").alias("_t")).union(found.select("ht")).distinct(), "needed")
+    chosen = texts.join(few(needed), "_t", "left_semi").groupBy("_t").agg(F.max("text").alias("text"))
+    done = materialise(compared(found, materialise(chosen, "texts"), how), "verified")
+
+    spans = done.select(F.col("t").alias("_t"), "start", "end")
+    covers = (F.col("t") == F.col("_t")) & (F.col("c") >= F.col("start")) & (F.col("c") <= F.col("end") - how.width)
+    keys = pairs.join(spans, covers, "left_anti").select("key").distinct()
+    places = pairs.join(keys, "key", "left_semi")
+    places = places.select("t", "c").union(places.select("ht", "hc")).groupBy("t").agg(F.collect_set("c").alias("places"))
+    places = materialise(places, "places")
+    own = texts.join(few(places.select(F.col("t").alias("_t"))), "_t", "left_semi").groupBy("_t").agg(F.max("text").alias("text"))
+    own = materialise(own.join(places, F.col("_t") == F.col("t")).select("_t", "text", "places"), "unverified")
+    for size in sorted({how.least // 3 + 1, how.least * 5 // 6, how.least}):
+        spans = done.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        members = own.join(spans, F.col("_t") == F.col("t"), "left").select(F.col("_t").alias("t"), "text", "places", "spans")
+        found = materialise(candidates(run_links(runs(members, size, how), size), 1), "candidates")
+        more = materialise(compared(found, own.select("_t", "text"), how), "verified")
+        done = done.union(more).distinct()
+    return done
+
+
 def repeats(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """(doc_id, start, end, owner_doc_id, owner_start, owner_end, similarity) of every repeated passage of ``docs``.
 

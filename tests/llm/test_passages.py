@@ -102,6 +102,28 @@ def test_verified_parts_of_a_chain():
     assert any(b - a >= 55 for a, b, *_ in P.verified(P.tokens(" ".join(t), 5), P.tokens(" ".join(h), 5), P.Passages()))
 
 
+def test_passage_of_frequent_lines(spark):
+    """Every line of the passages stands alone in many other texts, so the firsts of all anchors share only one line."""
+    r = random.Random(15)
+    lines = [prose(r, 20) for _ in range(3)]
+    texts = [prose(r, 60) + lines[i % 3] + prose(r, 60) for i in range(90)]
+    texts += [prose(r, 40) + lines[0] + lines[1] + lines[2] + prose(r, 40) for _ in range(6)]
+    half = [prose(r, 30) for _ in range(2)]
+    texts += [prose(r, 60) + half[i % 2] + prose(r, 60) for i in range(40)] + [prose(r, 40) + half[0] + half[1] + prose(r, 40) for _ in range(4)]
+    for parts in (1, 4):
+        _, rows = run(spark, [" ".join(t) for t in texts], parts)
+        assert all(x.start <= 42 and x.end >= 98 for x in rows)
+        for group in (range(90, 96), range(136, 140)):
+            assert len({x.doc_id for x in rows} & set(group)) == len(group) - 1
+            assert all(x.owner_doc_id in group for x in rows if x.doc_id in group)
+
+
+def test_offsets():
+    for size in (16, 38, 46):
+        for x in range(46):  # a run of 46 tokens from 0 on, the place at x
+            assert any(0 <= x - y and x - y + size <= 46 for y in P.offsets(size, 46))
+
+
 def test_one_occurrence_stays(spark):
     r = random.Random(12)
     passage = prose(r, 80)
