@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
 Sentences with a license cue, and what little stands between them, are candidate blocks. A block is compressed alone
-and with each template as zstandard's raw dictionary; the templates that save most are ranked, and the best ranked are
-compared word by word. A finding needs nearly all words of the template, and says which are missing and which are
-extra. Unknown wordings with a cue are reported without a license where no template fits.
+and with each template as zstandard's raw dictionary, which ranks the templates by what they save; in long blocks a short
+notice saves little, so every template of which the block holds enough words is compared word by word. A finding needs
+nearly all words of the template, and says which are missing and which are extra. Unknown wordings with a cue are reported without a license where no template fits.
 
 Only documents with a cue leave the scan, so tasks are independent and nothing is shuffled. Work on a block is linear
 in its length: long blocks are compared in overlapping windows of the template's size.
@@ -111,6 +111,16 @@ def blocks_of(text: str, gap: int = 3) -> list[tuple[int, int]]:
     return [(a, a + len(text[a:b].rstrip())) for a, b in out]
 
 
+def behind(text: str, end: int, gap: int = 3) -> int:
+    """The end of the ``gap`` sentences behind a block: the last ones of a notice may have no cue."""
+    for m in SENTENCES.finditer(text, end):
+        if m[0].strip(" \t\r\n.!?"):
+            end, gap = m.end(), gap - 1
+        if not gap:
+            break
+    return end
+
+
 class Sizes:
     """Compressed sizes with and without a template, in frames without any header fields that can be left out."""
 
@@ -159,28 +169,34 @@ def differences(block: list[str], template: list[str]) -> tuple[list[str], list[
     return best[1:] if best else (template, [], 0, 0)
 
 
-def scan(text: str | None, tolerance: float = 0.1, tries: int = 4) -> list[dict]:
+def scan(text: str | None, tolerance: float = 0.1) -> list[dict]:
     """Findings of a text: license, start, end, reduction, missing and extra words.
 
-    Of the ``tries`` templates that save most, the one with fewest differences wins, the longer one among equals; it
-    may miss ``tolerance`` of its words and hold as many extra ones. The block is searched on before and behind it.
+    The template with fewest differences wins, the longer one among equals, then the one that saves more; it may miss
+    ``tolerance`` of its words and hold as many extra ones. The block is searched on before and behind it;
+    where nothing fits up to the end of the block, some sentences behind it are taken in.
     """
     out, cue = [], re.compile(CUES)
     for start, end in blocks_of(text or ""):
-        spans = [(m.start() + start, m.end() + start) for m in WORDS.finditer(text[start:end])]
+        spans = [(m.start() + start, m.end() + start) for m in WORDS.finditer(text[start : behind(text, end)])]
+        inside = sum(a < end for a, _ in spans)
         words = [text[a:b].lower() for a, b in spans]
-        found, ranges = [], [(0, len(spans))] if spans else []
+        found, ranges = [], [(0, inside)] if inside else []
         while ranges:
             lo, hi = ranges.pop()
-            best = None
-            for saved, i in rank(text[spans[lo][0] : spans[hi - 1][1]])[:tries]:
+            best, held = None, Counter(words[lo:hi])
+            for saved, i in rank(text[spans[lo][0] : spans[hi - 1][1]]):
                 name, _, template, _ = templates()[-i]
+                if (Counter(template) - held).total() > tolerance * len(template):
+                    continue  # more would be missing in any place
                 missing, extra, first, last = differences(words[lo:hi], template)
                 if last > first and len(missing) <= tolerance * len(template) and len(extra) <= tolerance * len(template):
-                    order = (len(missing) + len(extra), -len(template), i)
+                    order = (len(missing) + len(extra), -len(template), -saved, i)
                     if best is None or order < best[0]:
                         best = order, name, saved, missing, extra, lo + first, lo + last
             if best is None:
+                if hi == inside < len(spans):
+                    ranges.append((lo, len(spans)))
                 continue
             _, name, saved, missing, extra, first, last = best
             found.append({"license": name, "start": spans[first][0], "end": spans[last - 1][1], "reduction": saved, "missing": missing, "extra": extra})

@@ -32,6 +32,18 @@ def test_each_template_is_found_in_prose(name):
         assert [f["license"] for f in found if f["license"]][:1] == [name], text
 
 
+@pytest.mark.parametrize("notice", [t for texts in licenses.TEMPLATES.values() for t in texts])
+@pytest.mark.parametrize("more", [0, 6])
+def test_notice_in_a_long_block(notice, more):
+    """Plain English between cues, in which long templates save more than a short notice that is there."""
+    plain = "We looked at the results of this work and of all other parts of it. They are to be used by any person in the field. The following list is not in any order. "
+    cue = "The license applies to the whole report. "
+    text = notice + " " + plain + cue + (plain + cue) * more
+    name = next(n for n, texts in licenses.TEMPLATES.items() if notice in texts)
+    found = [f for f in licenses.scan(text) if f["start"] == 0]
+    assert [(f["license"], f["missing"], f["extra"]) for f in found] == [(name, [], [])]
+
+
 def test_edited_wording():
     mit = licenses.TEMPLATES["MIT"][-1].replace("free of charge", "at no charge").replace("sublicense, ", "")
     found = licenses.scan("Copyright (c) 2020 Somebody\n\n" + mit)
