@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, hnsw, impact, licenses, lm, mixture, passages, quality, simhash, token_counts
+from lumenlog.llm import bpe, hnsw, impact, licenses, lm, mixture, passages, periodic, quality, simhash, texts, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,37 @@ def op6_lm(spark, sf_dir):
 @query("op5_licenses")
 def op5_licenses(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): each tenth document, by checksum of its id, repeats words from some place on with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = F.regexp_extract_all("text", F.lit(texts.WORD), F.lit(0))
+    n = F.size(words).cast("long")
+    a = g % n
+    period = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+
+    def at(_, i):
+        return F.get(F.col("_words"), F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))
+
+    chosen = (h % 10 == 0) & F.col("text").isNotNull() & (texts.word_count("text") > 0)
+    marked = docs.select("doc_id", "text", F.when(chosen, words).alias("_words"), F.when(chosen, a).alias("_a"), F.when(chosen, period).alias("_p"))
+    planted = F.concat_ws(" ", F.transform("_words", at))
+    return marked.select("doc_id", F.when(F.col("_words").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_runs")
+def op11_runs(spark, sf_dir):
+    """Periodic runs of every text, the strongest one, and digests of all of them and of the collapsed text."""
+    found = periodic.periodic_runs(with_planted_period(table(spark, sf_dir, "documents")))
+    stronger = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), stronger)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    ).select(
+        "doc_id", "n_runs", "_b.start", "_b.length", "_b.period",
+        F.floor(1000 * F.col("_b.length") / F.col("_b.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
