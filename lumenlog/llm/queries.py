@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, hnsw, impact, licenses, lm, mixture, passages, periodic, quality, simhash, texts, token_counts
+from lumenlog.functions.storage import materialise
+from lumenlog.llm import bpe, codes, hnsw, impact, jaccard, licenses, lm, mixture, passages, periodic, quality, simhash, texts, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +167,41 @@ def op11_runs(spark, sf_dir):
         "doc_id", "n_runs", "_b.start", "_b.length", "_b.period",
         F.floor(1000 * F.col("_b.length") / F.col("_b.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@query("op13_jaccard")
+def op13_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+CODES_START = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, v[p * w + 1 : (p + 1) * w] AS x FROM kept, range(4) AS r(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x QUALIFY e < 256),
+"""
+CODES_ROUND = """
+a{0} AS MATERIALIZED (
+  SELECT vec_id, label, x.p, any_value(x) AS x,
+         min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS best
+  FROM x JOIN b{0} ON x.p = b{0}.p GROUP BY vec_id, label, x.p),
+m{0} AS (SELECT p, e, list(floor(total / n) ORDER BY i) AS c
+        FROM (SELECT p, best.e AS e, i, sum(x[i]) AS total, count(*) AS n FROM a{0}, range(1, 65) AS r(i) WHERE i <= len(x) GROUP BY ALL)
+        GROUP BY p, e),
+b{1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{0} b LEFT JOIN m{0} m ON b.p = m.p AND b.e = m.e),
+"""
+CODES_END = """
+f AS (SELECT vec_id, label, x.p, min({'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}) AS best
+      FROM x JOIN b4 ON x.p = b4.p GROUP BY vec_id, label, x.p),
+g AS (SELECT vec_id, label, string_agg(printf('%02x', best.e::INT), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM f GROUP BY vec_id, label),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS h FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM s) AS codebooks_sha256 FROM g
+"""
+
+
+@query("op12_codes", CODES_START + "".join(CODES_ROUND.format(i, i + 1) for i in range(4)) + CODES_END)
+def op12_codes(spark, sf_dir):
+    made = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    rows = codes.with_label_error(materialise(made.coded.select("vec_id", "label", "code", "error"), "codes"))
+    return rows.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(made.text()), 256).alias("codebooks_sha256"))
