@@ -71,7 +71,7 @@ def _(t):
     return sg.create_sliding_windows(t.log(), USER, 20, 10).select("event_id", "segment_id", "relative_position_in_segment")
 
 
-def _session_sql(base, part):
+def session_sql(base, part):
     p = f"PARTITION BY {part}" if part else ""
     return f"""{base}, r AS (SELECT *, sum((gap IS NULL OR gap > 21600)::INT) OVER ({p} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS raw FROM s),
     c AS (SELECT *, count(*) OVER (PARTITION BY {part + ', ' if part else ''}raw) AS sz FROM r),
@@ -80,7 +80,7 @@ def _session_sql(base, part):
 
 @query(
     "g5_segment_by_activity",
-    sql=f"WITH {_session_sql(US, 'user_id')} SELECT event_id, segment_id, rp AS relative_position_in_segment, sz AS segment_event_count FROM k",
+    sql=f"WITH {session_sql(US, 'user_id')} SELECT event_id, segment_id, rp AS relative_position_in_segment, sz AS segment_event_count FROM k",
 )
 def _(t):
     return sg.segment_by_activity(t.log(), USER, 360, 3).select(
@@ -90,7 +90,7 @@ def _(t):
 
 @query(
     "g5_segment_by_activity_global",
-    sql=f"WITH {_session_sql(GL, '').replace('21600', '1200')} SELECT event_id, segment_id, rp AS relative_position_in_segment, sz AS segment_event_count FROM k",
+    sql=f"WITH {session_sql(GL, '').replace('21600', '1200')} SELECT event_id, segment_id, rp AS relative_position_in_segment, sz AS segment_event_count FROM k",
 )
 def _(t):
     return sg.segment_by_activity(t.log(GLOBAL), GLOBAL, 20, 3).select(
@@ -114,7 +114,7 @@ def _(t):
 
 @query(
     "g8_segment_statistics",
-    sql=f"""WITH {_session_sql(US, 'user_id')}, m AS (SELECT user_id, segment_id, event FROM k GROUP BY 1, 2, 3
+    sql=f"""WITH {session_sql(US, 'user_id')}, m AS (SELECT user_id, segment_id, event FROM k GROUP BY 1, 2, 3
       QUALIFY row_number() OVER (PARTITION BY user_id, segment_id ORDER BY count(*) DESC, event) = 1)
     SELECT user_id, segment_id, count(*) AS event_count, count(DISTINCT k.event) AS unique_events, (max(us) - min(us)) / 60e6 AS duration_minutes,
       count(*) / greatest((max(us) - min(us)) / 60e6, 1) AS events_per_minute, any_value(m.event) AS most_common_event, 'gap_based' AS segment_type

@@ -6,29 +6,41 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lumenlog.functions.storage import shared_dir
+from lumenlog.functions.storage import materialise, shared_dir
 from lumenlog.operators.aggregates import transition_matrix
-from lumenlog.plans.registry import EV, US, USER, query
+from lumenlog.plans.registry import EV, GL, GLOBAL, US, USER, query
+from lumenlog.plans.segment_queries import session_sql
 from lumenlog.streaming import events as st
+from lumenlog.streaming.ordered import OrderedStream
 
 
 def _folder(t, name):
     return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def replay(t, files: int = 4, per_batch: int = 1):
-    """The whole events table written as a few range files, read back as a stream.
+FILES = 6
 
-    Files written in parallel have no order among them, so keyed state takes them in one batch.
+
+def replay(t, files: int = FILES):
+    """The whole events table as a stream of ``files`` micro-batches, in order of arrival.
+
+    A row arrives up to twelve hours after its time (by a checksum of its id), so batches overlap in time: rows come out
+    of order, and behind others by less than the day that the operators allow. Files are written one after the other,
+    as the source takes them by age.
     """
     key = (t.spark.sparkContext.applicationId, t.dir)
     if key not in _FOLDERS:
         path = _folder(t, "stream")
         e = t.events().select("event_id", "user_id", "event", "ts", "value")
-        e.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
-        _FOLDERS[key] = (path, e.schema)
+        arrival = F.unix_micros("ts") + F.crc32(F.col("event_id").cast("string").cast("binary")) % 43200 * 1_000_000
+        e = e.withColumn("_at", arrival)
+        low, high = e.agg(F.min("_at"), F.max("_at")).first()
+        for i in range(files):
+            part = e.filter(F.least(F.floor((F.col("_at") - low) * files / (high - low + 1)), F.lit(files - 1)) == i)
+            part.drop("_at").coalesce(1).write.mode("append").parquet(path)
+        _FOLDERS[key] = (path, t.events().select("event_id", "user_id", "event", "ts", "value").schema)
     path, schema = _FOLDERS[key]
-    return st.read_event_stream(t.spark, path, schema, per_batch)
+    return st.read_event_stream(t.spark, path, schema, 1)
 
 
 _FOLDERS: dict = {}
@@ -58,24 +70,64 @@ def _(t):
     return _done(t, st.deduplicate_stream(twice, USER, "60 days").select("event_id"))
 
 
-@query("t4_session_statistics")
+@query(
+    "t4_session_statistics",
+    sql=f"""WITH {session_sql(US, 'user_id')}, m AS (SELECT user_id, segment_id, event FROM k GROUP BY 1, 2, 3
+      QUALIFY row_number() OVER (PARTITION BY user_id, segment_id ORDER BY count(*) DESC, event) = 1)
+    SELECT user_id, min(ts) AS segment_start, max(ts) AS segment_end, count(*) AS event_count, count(DISTINCT k.event)::INT AS unique_events,
+      (max(us) - min(us)) / 60e6 AS duration_minutes, count(*) / greatest((max(us) - min(us)) / 60e6, 1) AS events_per_minute,
+      any_value(m.event) AS most_common_event
+    FROM k JOIN m USING (user_id, segment_id) GROUP BY user_id, segment_id""",
+    rnd=["duration_minutes", "events_per_minute"],
+)
 def _(t):
-    return _done(t, st.session_statistics(replay(t, per_batch=100), USER, "6 hours", 3))
+    """Sessions of all micro-batches, the last ones closed by a second run of the query."""
+    marks, out, checkpoint = _folder(t, "marks"), _folder(t, "out"), _folder(t, "checkpoint")
+    source = replay(t)
+    sessions = st.session_statistics(st.with_closing(source, marks), USER, "6 hours", 3, "1 day")
+    st.write_stream(sessions, out, checkpoint).awaitTermination()
+    st.close_stream(source, marks)
+    return st.collect_stream(sessions, out, checkpoint, [])
+
 
+def _window_sql(slide, size):
+    """Counts per window of ``size`` seconds that starts at a multiple of ``slide`` seconds."""
+    return f"""WITH {EV} SELECT user_id, make_timestamp(w * {slide}000000) AS window_start, make_timestamp((w * {slide} + {size}) * 1000000) AS window_end,
+      event, count(*) AS count FROM (SELECT *, unnest(range((us - {size}000000) // {slide}000000 + 1, us // {slide}000000 + 1)) AS w FROM e) GROUP BY ALL"""
 
-@query("t5_window_counts")
+
+@query("t5_window_counts", sql=_window_sql(86400, 86400))
 def _(t):
-    return _done(t, st.window_counts(replay(t, per_batch=100), USER, "1 day"))
+    """Update mode into a keyed table: open windows are there too."""
+    counts = st.window_counts(replay(t), USER, "1 day", None, "1 day")
+    return st.upsert_stream(counts, ["user_id", "window_start", "window_end", "event"], _folder(t, "out"), _folder(t, "checkpoint"))
 
 
-@query(
-    "t6_stream_metadata",
-    sql=f"""WITH {US} SELECT event_id, coalesce(prev, '') AS prev_event, g0 AS time_since_previous, pos AS event_sequence, isodow(ts) >= 6 AS is_weekend FROM s""",
-    rnd=["time_since_previous"],
-)
+@query("t5_window_counts_sliding", sql=_window_sql(21600, 86400))
+def _(t):
+    counts = st.window_counts(replay(t), USER, "1 day", "6 hours", "1 day")
+    return st.upsert_stream(counts, ["user_id", "window_start", "window_end", "event"], _folder(t, "out"), _folder(t, "checkpoint"))
+
+
+def _ordered(t, spec, **how):
+    stream = OrderedStream(replay(t), spec, _folder(t, "ordered"), "1 day", **how)
+    stream.run(_folder(t, "checkpoint"))
+    return stream.rows()
+
+
+METADATA_SQL = "SELECT event_id, prev AS prev_event, g0 AS time_since_previous, pos AS event_sequence, hour(ts)::INT AS hour_of_day, (isodow(ts) - 1)::INT AS day_of_week, isodow(ts) >= 6 AS is_weekend FROM s"
+METADATA = ["event_id", "prev_event", "time_since_previous", "event_sequence", "hour_of_day", "day_of_week", "is_weekend"]
+
+
+@query("t6_stream_metadata", sql=f"WITH {US} {METADATA_SQL}", rnd=["time_since_previous"])
+def _(t):
+    return _ordered(t, USER).select(*METADATA)
+
+
+@query("t6_stream_metadata_global", sql=f"WITH {GL} {METADATA_SQL}", rnd=["time_since_previous"])
 def _(t):
-    out = _done(t, st.stream_metadata(replay(t, per_batch=100), USER))
-    return out.select("event_id", F.coalesce("prev_event", F.lit("")).alias("prev_event"), "time_since_previous", "event_sequence", "is_weekend")
+    """One sequence of all events, cut over the partitions like any other."""
+    return _ordered(t, GLOBAL).select(*METADATA)
 
 
 @query(
@@ -87,8 +139,9 @@ def _(t):
 )
 def _(t):
     log = t.log()
-    flags = st.stream_anomalies(st.stream_metadata(replay(t, per_batch=100), USER), USER, st.gap_thresholds(log, USER), transition_matrix(log, USER), 0.04)
-    return _done(t, flags.select("event_id", "unusual_gap", "rapid_succession", "sequence_anomaly"))
+    limits, model = materialise(st.gap_thresholds(log, USER), "limits"), materialise(transition_matrix(log, USER), "model")
+    flags = _ordered(t, USER, then=lambda df: st.stream_anomalies(df, USER, limits, model, 0.04))
+    return flags.select("event_id", "unusual_gap", "rapid_succession", "sequence_anomaly")
 
 
 @query("t8_stream_sink", sql=f"WITH {EV} SELECT event, count(*) AS n FROM e GROUP BY 1")

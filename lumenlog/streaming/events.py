@@ -5,17 +5,14 @@ The column expressions are those of the batch operators, so a replayed file give
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlog.functions.calendar import weekend_business_flags
 from lumenlog.functions.seq import SeqSpec
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from lumenlog.streaming.tables import VersionedTable
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1, fmt: str = "parquet", ts: str = "ts") -> DataFrame:
@@ -47,67 +44,55 @@ def deduplicate_stream(df: DataFrame, spec: SeqSpec, late: str = "1 hour") -> Da
     return df.withWatermark(spec.ts, late).dropDuplicatesWithinWatermark([*spec.keys, spec.ts, spec.event])
 
 
+def with_closing(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` with a second source: the mark that ``close_stream`` puts into ``folder`` at the end of the stream."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("ignore").parquet(folder)
+    return df.unionByName(df.sparkSession.readStream.schema(df.schema).parquet(folder))
+
+
+def close_stream(df: DataFrame, folder: str, ts: str = "ts", at: str = "9998-12-31") -> None:
+    """End a stream made by ``with_closing``: a row of nulls so late that every window is behind it.
+
+    The next run of the query, from its checkpoint, gives the rows of all windows that were open. Rows that come after
+    are late.
+    """
+    mark = df.sparkSession.range(1).select(*[F.lit(at if f.name == ts else None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    mark.write.mode("append").parquet(folder)
+
+
 def session_statistics(df: DataFrame, spec: SeqSpec, gap: str = "30 minutes", min_events: int = 5, late: str = "1 hour") -> DataFrame:
-    """Counts and duration of closed sessions with at least ``min_events`` rows."""
+    """Statistics of closed sessions with at least ``min_events`` rows; the most common event is the smallest on ties.
+
+    A session closes when the watermark is a gap past its last row; ``with_closing`` and ``close_stream`` close the
+    last ones. Rows later than the watermark are dropped.
+    """
     window = F.session_window(spec.ts, gap)
     first, last = F.min(spec.ts), F.max(spec.ts)
     minutes = (F.unix_micros(last) - F.unix_micros(first)) / F.lit(60e6)
     out = df.withWatermark(spec.ts, late).groupBy(*spec.keys, window).agg(
         F.count("*").alias("event_count"), F.size(F.collect_set(spec.event)).alias("unique_events"), first.alias("segment_start"),
-        last.alias("segment_end"), minutes.alias("duration_minutes"),
+        last.alias("segment_end"), minutes.alias("duration_minutes"), F.mode(spec.event, True).alias("most_common_event"),
     )
     out = out.filter(F.col("event_count") >= min_events).drop("session_window")
     return out.withColumn("events_per_minute", F.col("event_count") / F.greatest("duration_minutes", F.lit(1.0)))
 
 
 def window_counts(df: DataFrame, spec: SeqSpec, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Event counts per tumbling or sliding window and type; rows later than the watermark are dropped."""
+    """Event counts per tumbling or sliding window and type; rows later than the watermark are dropped.
+
+    In append mode a window's rows come once, when it is closed; in update mode every batch gives the rows that it
+    changed, for ``upsert_stream``.
+    """
     window = F.window(spec.ts, size, slide) if slide else F.window(spec.ts, size)
     out = df.withWatermark(spec.ts, late).groupBy(*spec.keys, window, spec.event).agg(F.count("*").alias("count"))
     return out.select(*spec.keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), spec.event, "count")
 
 
-def stream_metadata(df: DataFrame, spec: SeqSpec, late: str = "1 hour", idle: str = "30 days") -> DataFrame:
-    """Previous event, gap and running index per key, with calendar flags; idle keys are forgotten.
-
-    State is one small record per key.  Rows of one micro-batch are ordered by (ts, tiebreak).
-    """
-    keys = list(spec.keys)
-    if not keys:
-        raise ValueError("streaming state needs keys")
-    df = df.withWatermark(spec.ts, late)
-    added = [
-        T.StructField("prev_event", T.StringType()), T.StructField("time_since_previous", T.DoubleType()), T.StructField("event_sequence", T.LongType()),
-    ]
-    out_schema = T.StructType([*df.schema.fields, *added])
-    state_schema = "ts timestamp, event string, n long"
-    ttl = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values([spec.ts, spec.tiebreak], ignore_index=True)
-        last_ts, last_event, n = state.get if state.exists else (None, None, 0)
-        ts = pdf[spec.ts]
-        before = ts.shift().astype("datetime64[ns]")
-        if last_ts is not None:
-            before.iloc[0] = pd.Timestamp(last_ts)
-        events = pdf[spec.event].shift().astype(object)
-        events.iloc[0] = last_event
-        pdf["prev_event"] = events.where(events.notna(), None)
-        pdf["time_since_previous"] = (ts - before).dt.total_seconds().fillna(0.0)
-        pdf["event_sequence"] = n + pd.Series(range(len(pdf)), dtype="int64")
-        newest = ts.iloc[-1]
-        state.update((newest.to_pydatetime(), pdf[spec.event].iloc[-1], n + len(pdf)))
-        state.setTimeoutTimestamp(max(int(newest.timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl)
-        yield pdf
-
-    out = df.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", "EventTimeTimeout")
-    ts = F.col(spec.ts)
-    return out.withColumns(
-        {"hour_of_day": F.hour(ts), "day_of_week": F.weekday(ts), "is_weekend": weekend_business_flags(ts)["is_weekend"] == 1}
-    )
+def upsert_stream(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregation in update mode into a keyed table and read it: the last version of each key, open or closed."""
+    table = VersionedTable(df.sparkSession, path, df.schema, keys)
+    run_available(df, checkpoint, table.write, "update")
+    return table.latest()
 
 
 def gap_thresholds(log: DataFrame, spec: SeqSpec, high: float = 0.95, low: float = 0.05) -> DataFrame:
@@ -119,7 +104,7 @@ def gap_thresholds(log: DataFrame, spec: SeqSpec, high: float = 0.95, low: float
 
 
 def stream_anomalies(metadata: DataFrame, spec: SeqSpec, thresholds: DataFrame, transitions: DataFrame, share: float = 0.01) -> DataFrame:
-    """Long-gap, rapid and rare-transition flags on the output of ``stream_metadata``.
+    """Long-gap, rapid and rare-transition flags on rows with the metadata of ``OrderedStream``.
 
     ``thresholds`` is one row; ``transitions`` (from_event, to_event, n) has one row per pair of types.
     """

@@ -235,24 +235,6 @@ def test_sampled_fill_repeats(log):
     assert first and first == fill(df)
 
 
-def test_stream_equals_batch_over_ordered_files(spark, tmp_path):
-    from lumenlog.streaming import events as st
-
-    rows = [(f"u{i % 3}", i, i * 1.5, "xyz"[i % 2]) for i in range(30)]
-    df = spark.createDataFrame(rows, "k string, event_id long, s double, event string").withColumn("ts", F.timestamp_micros(((F.col("s") + 1e9) * 1e6).cast("long")))
-    src = str(tmp_path / "in")
-    for a in range(0, 30, 10):
-        df.filter((F.col("event_id") >= a) & (F.col("event_id") < a + 10)).coalesce(1).write.mode("append").parquet(src)
-    spec = SeqSpec(("k",))
-    stream = st.read_event_stream(spark, src, df.schema)
-    out = st.collect_stream(st.stream_metadata(stream, spec), str(tmp_path / "out"), str(tmp_path / "cp"), ["event_id"]).toPandas()
-    batch = collect(sf.stream_metadata(index_sequence(df, spec), spec), spec)
-    both = out.merge(batch, on="event_id", suffixes=("", "_b"))
-    assert len(both) == 30
-    assert np.allclose(both["time_since_previous"], both["time_since_previous_b"])
-    assert (both["event_sequence"] == both["event_sequence_b"]).all()
-
-
 def test_entropy_constant(log):
     df, spec = log([("a", i, "x") for i in range(9)])
     row = si.complexity_metrics(df, spec).first()
