@@ -47,6 +47,8 @@ from lumenlog.llm.graph import connected_components
 BROADCAST_ROWS = 1_000_000
 #: N-grams of the hub in each fragment that overlaps are counted in.
 COUNTED = 256
+#: Bits of a key that hold its slot.
+SLOTS = 0x3FF
 #: Fixed value: ASCII capitals and what they become.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -96,6 +98,8 @@ class Threshold:
             raise ValueError("percent from 50 to 100")
         self.t = percent
         self.firsts = [1]  # smallest size of each class; three steps of the largest ratio of linked sizes make a class
+        if percent == 100:
+            self.firsts.append(1 << 40)
         while self.firsts[-1] < 1 << 40:
             top = self.firsts[-1]
             for _ in range(3):
@@ -112,6 +116,14 @@ class Threshold:
         out = [own] + [own + 1] * (n * 100 // self.t >= self.firsts[own + 1])
         return [(s, f) for s in out if (f := self.differences(2 * (self.firsts[s + 1] - 1)) + 1) > 1]
 
+    def least_shared(self, n: str, slot: str) -> Column:
+        """Fragments of a slot that a set of ``n`` has in common with a linked one at least."""
+        fragments = F.array(*[F.lit(self.differences(2 * (b - 1)) + 1) for b in self.firsts[1:]])
+        last = F.array(*[F.lit(b - 1) for b in self.firsts[1:]])
+        largest = F.least(F.expr(f"{n} * 100 div {self.t}"), F.get(last, slot))
+        most = F.floor((F.col(n) + largest) * (100 - self.t) / (100 + self.t))
+        return F.get(fragments, slot) - most
+
     def linked(self, a: str, b: str, common: str) -> Column:
         return F.expr(f"{100 + self.t} * {common} >= {self.t} * ({a} + {b})")
 
@@ -123,13 +135,14 @@ def cut(grams: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def keys(grams: np.ndarray, how: Threshold) -> np.ndarray:
-    """A key for every fragment of the set's slots."""
+    """A key for every fragment of the set's slots; its low bits are the slot."""
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(grams), dtype=np.uint64)])
     out = [np.zeros(0, np.uint64)]
     for slot, fragments in how.slots(len(grams)):
         ends = cut(grams, fragments)
         name = mixed(np.arange(fragments, dtype=np.uint64) + np.uint64(slot << 32))
-        out.append(mixed((run[ends[1:]] - run[ends[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + name))
+        key = mixed((run[ends[1:]] - run[ends[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + name)
+        out.append(key & ~np.uint64(SLOTS) | np.uint64(slot))
     return np.concatenate(out)
 
 
@@ -141,8 +154,6 @@ def sets(docs: DataFrame, width: int, how: Threshold) -> DataFrame:
         for batch in slices(batches, "text"):
             grams = [read(x) for x in batch.column("text").to_pylist()]
             found = [keys(g, how) if len(g) else g for g in grams]
-            ends = pa.array(np.cumsum([0] + [len(k) for k in found]), pa.int32())
-            flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -150,7 +161,7 @@ def sets(docs: DataFrame, width: int, how: Threshold) -> DataFrame:
                     batch.column("text_hash"),
                     pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in grams], pa.binary()),
                     pa.array([len(g) for g in grams], pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array(flat)),
+                    lists(found),
                 ],
                 ["doc_id", "row", "text_hash", "digest", "n", "keys"],
             )
@@ -167,7 +178,7 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, n, grams) of the sets ``wanted`` (sid, text_hash, id), read again from one text of each."""
+    """(sid, n, grams) of the sets ``wanted`` (sid, text_hash, id), read again from the text of that id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Grams(width)
@@ -177,7 +188,7 @@ def grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     texts = docs.select("text", F.xxhash64("text").alias("_h"), F.col("doc_id").alias("_id"))
     picked = texts.join(few(wanted), (F.col("_h") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("id"))).select("sid", "text")
-    return picked.mapInArrow(run, "sid long, n long, grams binary").dropDuplicates(["sid"])
+    return picked.mapInArrow(run, "sid long, n long, grams binary")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -194,18 +205,22 @@ def pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int32()), pa.array(parts, pa.binary())], [*names, "piece", "part"])
 
 
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap of two pieces and the n-grams that only one of them has."""
+    """Overlap of two pieces, and the n-grams that only the set (extra) or only the hub (missing) has."""
+    names = ["sid", "hub", "n", "hub_n", "piece"]
     for batch in batches:
-        common, delta = [], []
+        common, extra, missing = [], [], []
         for a, b in zip(batch.column("part").to_pylist(), batch.column("hub_part").to_pylist()):
             a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            apart = np.setxor1d(a, b, assume_unique=True)
-            common.append((len(a) + len(b) - len(apart)) // 2)
-            delta.append(apart.view(np.int64))
-        ends = pa.array(np.cumsum([0] + [len(d) for d in delta]), pa.int32())
-        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*delta, np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "hub", "n", "hub_n")), pa.array(common, pa.int64()), lists], ["sid", "hub", "n", "hub_n", "common", "delta"])
+            extra.append(np.setdiff1d(a, b, assume_unique=True))
+            missing.append(np.setdiff1d(b, a, assume_unique=True))
+            common.append(len(a) - len(extra[-1]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(common, pa.int64()), lists(extra), lists(missing)], [*names, "common", "extra", "missing"])
 
 
 def counted(pairs: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,8 +230,9 @@ def counted(pairs: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = sized.mapInArrow(lambda b: pieces(b, ["sid", "hub", "n", "hub_n"]), "sid long, hub long, n long, hub_n long, piece int, part binary")
     used = hubs.join(pairs.select("hub").distinct(), "hub", "left_semi")
     right = used.mapInArrow(lambda b: pieces(b, ["hub"]), "hub long, piece int, part binary").withColumnRenamed("part", "hub_part")
-    by_piece = left.join(right, ["hub", "piece"]).select("sid", "hub", "n", "hub_n", "part", "hub_part")
-    by_piece = materialise(by_piece.mapInArrow(partial, "sid long, hub long, n long, hub_n long, common long, delta array<long>"), "pieces")
+    by_piece = left.join(right, ["hub", "piece"]).select("sid", "hub", "n", "hub_n", "piece", "part", "hub_part")
+    ddl = "sid long, hub long, n long, hub_n long, piece int, common long, extra array<long>, missing array<long>"
+    by_piece = materialise(by_piece.mapInArrow(partial, ddl), "pieces")
     return by_piece, by_piece.groupBy("sid", "hub", "n", "hub_n").agg(F.sum("common").alias("common"))
 
 
@@ -229,43 +245,69 @@ def labelled(df: DataFrame, column: str, labels: DataFrame, name: str) -> DataFr
 def apart_from_hub(by_piece: DataFrame, totals: DataFrame, components: DataFrame, how: Threshold) -> DataFrame:
     """(sid, hub): pairs that may be linked though they share only a hub, each between different components.
 
-    ``totals`` has (sid, hub, n, hub_n, common). With |D| differences from the hub each, a linked pair of which one
-    (the probe) is not linked with the hub has at least ``o`` differences in common, where for any set
-    ``2 o > |D| + (100 - t)(hub_n - n) / (100 + t)``, and for the probe ``o >= |D| - n (100 - t) / t``.
+    ``totals`` has (sid, hub, n, hub_n, common). A family is a hub and the sets counted against it; a member is outside
+    if its component is not the hub's. Of a linked pair of different components one is outside, hence not linked with
+    the hub. If members differ from the hub in sets D, the pair has at least ``o`` differences in common, with
+    ``o >= |D| - n (100 - t) / t`` for either, and ``2 o > |D| + (100 - t)(hub_n - n) / (100 + t)`` for the partner of
+    one outside. In any order of the hub's differences, its first ``|D| - o + 1`` meet those of the other one. The order
+    is: n-grams that the hub lacks, which few members share, then those that the hub has, each by hash.
     """
     t = how.t
     members = labelled(labelled(totals, "sid", components, "one"), "hub", components, "hub_one")
-    members = members.withColumn("size", F.expr("n + hub_n - 2 * common")).withColumn("probe", F.expr("one <> hub_one"))
+    members = members.select("sid", "hub", "n", "one", F.expr("n + hub_n - 2 * common").alias("size"), F.expr("one <> hub_one").alias("outside"), (F.col("hub_n") - F.col("n")).alias("longer"))
     members = materialise(members, "members")
-    open_hubs = members.filter("probe").select("hub").distinct()
-    spread = by_piece.join(open_hubs, "hub", "left_semi").select("sid", "hub", F.explode("delta").alias("gram"))
-    counts = spread.groupBy("hub", "gram").agg(F.count("*").alias("holders"))
-    order = Window.partitionBy("sid", "hub").orderBy("holders", "gram")
-    ranked = spread.join(counts, ["hub", "gram"]).withColumn("rank", F.row_number().over(order)).filter("holders > 1")
-    rows = ranked.join(members.drop("hub_one", "common"), ["sid", "hub"])
-    rows = rows.withColumn("index_to", F.expr(f"size - ((({100 + t} * size + {100 - t} * (hub_n - n)) div {2 * (100 + t)}) + 1) + 1"))
-    rows = rows.withColumn("probe_to", F.expr(f"size - greatest(1, size - (n * {100 - t}) div {t}) + 1"))
-    rows = materialise(rows.filter("rank <= index_to or (probe and rank <= probe_to)"), "prefixes")
-    index = rows.filter("rank <= index_to").select("hub", "gram", F.col("sid").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"), F.col("one").alias("other_one"))
-    probe = rows.filter("probe and rank <= probe_to").select("hub", "gram", "sid", "n", "size", "one")
-    met = probe.join(index, ["hub", "gram"]).filter("one <> other_one")
+    open_hubs = members.groupBy("hub").agg(F.count("*").alias("_m"), F.max("outside").alias("_o")).filter("_m > 1 and _o").select("hub")
+    far = f"size - (n * {100 - t}) div {t}"
+    both = f"({100 + t} * size + {100 - t} * longer) div {2 * (100 + t)} + 1"
+    prefix = F.expr(f"size - greatest(1, {far}, if(outside, 1, {both})) + 1")
+    members = members.join(open_hubs, "hub").withColumn("prefix", prefix)
+    pieces_of = by_piece.select("sid", "hub", "piece", "extra", "missing").join(members, ["sid", "hub"])
+    pair = Window.partitionBy("sid", "hub")
+    before = pair.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    extra, missing = F.size("extra"), F.size("missing")
+    pieces_of = pieces_of.withColumns(
+        {
+            "_extra": F.col("prefix") - F.coalesce(F.sum(extra).over(before), F.lit(0)),
+            "_missing": F.col("prefix") - F.sum(extra).over(pair) - F.coalesce(F.sum(missing).over(before), F.lit(0)),
+        }
+    )
+    cut_to = lambda part, most: F.slice(part, 1, F.greatest(F.lit(0), F.least(F.size(part), F.col(most))).cast("int"))
+    grams = F.concat(cut_to("extra", "_extra"), cut_to("missing", "_missing"))
+    rows = materialise(pieces_of.select("hub", F.explode(grams).alias("gram"), "sid", "n", "size", "one", "outside"), "prefixes")
+    per = rows.groupBy("hub", "gram", "one").agg(F.count("*").alias("m")).groupBy("hub", "gram")
+    mixed_groups = per.agg(F.count("*").alias("_c"), F.max(F.struct("m", "one"))["one"].alias("main")).filter("_c > 1").drop("_c")
+    rows = materialise(rows.join(mixed_groups, ["hub", "gram"]), "meeting")
+    other = rows.select("hub", "gram", *[F.col(c).alias(f"other_{c}") for c in ("sid", "n", "size", "one", "outside")])
+    met = rows.filter("one <> main").join(other, ["hub", "gram"]).filter("one <> other_one and (outside or other_outside)")
     met = met.filter(f"least(n, other_n) * 100 >= greatest(n, other_n) * {t}")
     met = met.filter(f"abs(size - other_size) * {100 + t} <= (n + other_n) * {100 - t}")
-    return met.select(F.least("sid", "other").alias("sid"), F.greatest("sid", "other").alias("hub")).distinct()
+    return met.select(F.least("sid", "other_sid").alias("sid"), F.greatest("sid", "other_sid").alias("hub")).distinct()
 
 
-def components(docs: DataFrame, distinct: DataFrame, width: int, how: Threshold) -> DataFrame:
-    """(node, component) of the linked ones among ``distinct`` (sid, text_hash, id, n, keys), by the smallest sid."""
-    spread = distinct.select(F.explode("keys").alias("key"), "sid")
+def sharing(spread: DataFrame, distinct: DataFrame, how: Threshold) -> DataFrame:
+    """(key, sid, holders): keys that several sets hold, of the sets that share enough fragments of a slot."""
     common = spread.groupBy("key").agg(F.count("*").alias("holders")).filter("holders > 1")
-    shared = materialise(spread.join(common, "key"), "shared")
+    shared = materialise(spread.join(common, "key").withColumn("slot", F.col("key").bitwiseAND(F.lit(SLOTS)).cast("int")), "shared")
+    per = shared.groupBy("sid", "slot").agg(F.count("*").alias("fragments")).join(distinct.select("sid", "n"), "sid")
+    enough = per.filter(F.col("fragments") >= how.least_shared("n", "slot")).select("sid", "slot")
+    return shared.join(enough, ["sid", "slot"]).select("key", "sid", "holders")
+
+
+def components(docs: DataFrame, spread: DataFrame, distinct: DataFrame, width: int, how: Threshold) -> DataFrame:
+    """(node, component) of the linked ones among ``distinct`` (sid, text_hash, id, n), by the smallest sid.
+
+    ``spread`` has their keys, a row (key, sid) for each.
+    """
+    shared = materialise(sharing(spread, distinct, how), "sharing")
     central = shared.groupBy("sid").agg(F.sum("holders").alias("weight"))
     held = materialise(shared.join(central, "sid"), "held")
     hubs = held.groupBy("key").agg(F.max(F.struct("weight", (-F.col("sid")).alias("low")))["low"].alias("low")).select("key", (-F.col("low")).alias("hub"))
     pairs = materialise(held.select("key", "sid").join(hubs, "key").filter("sid <> hub").select("sid", "hub").distinct(), "pairs")
-    wanted = central.select(F.col("sid").alias("_sid"))
+    wanted = pairs.select(F.col("sid").alias("_sid")).union(pairs.select("hub")).distinct()
     wanted = materialise(distinct.select("sid", "text_hash", "id").join(wanted, F.col("sid") == F.col("_sid")).drop("_sid"), "wanted")
     grams = materialise(grams_of(docs, wanted, width), "grams")
+    if grams.count() > wanted.count():  # the same row several times
+        grams = materialise(grams.dropDuplicates(["sid"]), "grams")
     by_piece, totals = counted(pairs, grams)
     totals = materialise(totals, "totals")
     link = how.linked("n", "hub_n", "common")
@@ -281,10 +323,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     how = Threshold(percent)
     rows = materialise(sets(docs, width, how), "sets")
     filled = rows.filter("n > 0")
-    first = F.min_by(F.struct("row", "text_hash", F.col("doc_id").alias("id"), "n", "keys"), "row").alias("s")
-    distinct = filled.groupBy("digest").agg(first, F.min("doc_id").alias("low")).select("digest", F.col("s.row").alias("sid"), "s.text_hash", "s.id", "s.n", "s.keys", "low")
+    first = F.min_by(F.struct("row", "text_hash", F.col("doc_id").alias("id"), "n"), "row").alias("s")
+    distinct = filled.groupBy("digest").agg(first, F.min("doc_id").alias("low")).select("digest", F.col("s.row").alias("sid"), "s.text_hash", "s.id", "s.n", "low")
     distinct = materialise(distinct, "distinct")
-    found = components(docs, distinct, width, how)
+    owner = distinct.select(F.col("digest").alias("_digest"), "sid")
+    copies = materialise(filled.select("row", "digest").join(owner, F.col("digest") == F.col("_digest")).filter("row <> sid").select("row"), "copies")
+    spread = filled.select("row", "keys").join(few(copies), "row", "left_anti").select(F.explode("keys").alias("key"), F.col("row").alias("sid"))
+    found = components(docs, spread, distinct, width, how)
     named = materialise(labelled(distinct.select("digest", "sid", "low"), "sid", found, "component"), "named")
     ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
     by_digest = named.join(ids, "component").select(F.col("digest").alias("_digest"), "component_id")

@@ -92,7 +92,7 @@ def test_edge_cases(spark):
     assert jaccard.jaccard_components(df.filter("false")).collect() == []
 
 
-@pytest.mark.parametrize("percent", [90, 80, 51, 100])
+@pytest.mark.parametrize("percent", [90, 80, 51, 99, 100])
 def test_every_linked_pair_shares_a_key(percent):
     r = np.random.default_rng(percent)
     how = jaccard.Threshold(percent)
