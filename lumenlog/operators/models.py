@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions.pvalue import t_quantile_column
 from lumenlog.functions.seq import SeqSpec, attach_row, over_rows
 from lumenlog.functions.stats import exact_percentiles, ratio, safe_corr
+from lumenlog.operators import gram
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 
@@ -162,13 +163,13 @@ def train(name: str, data: DataFrame, **params):
     return estimator(name, row["n"], row["sd"] or 1.0, **params).fit(data)
 
 
-def metrics(predictions: DataFrame, features: int, label: str = LABEL, prediction: str = PREDICTION) -> DataFrame:
+def metrics(predictions: DataFrame, features: int, label: str = LABEL, prediction: str = PREDICTION, by: Sequence[str] = ()) -> DataFrame:
     """MSE, RMSE, MAE, R2, adjusted R2 (NULL when n <= p + 1), MAPE and largest error, in one aggregate."""
     y, e = F.col(label), F.col(label) - F.col(prediction)
     n = F.count("*")
     mse = F.avg(e * e)
     r2 = 1 - F.try_divide(mse, F.var_pop(y))
-    row = predictions.agg(
+    row = predictions.groupBy(*by).agg(
         n.alias("n"), mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(e)).alias("mae"), r2.alias("r2"),
         (F.avg(F.abs(F.try_divide(e, y))) * 100).alias("mape"), F.max(F.abs(e)).alias("max_error"),
     )
@@ -201,12 +202,34 @@ def metric_table(predictions: Mapping[str, DataFrame], features: int) -> DataFra
     return out
 
 
+def hash_share(row_id: Sequence[str], seed: int) -> Column:
+    """A number in [0, 1) by the first 32 bits of the MD5 of the id columns and the seed."""
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in row_id], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
 def add_folds(df: DataFrame, row_id: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(folds)).cast("int"))
+    return df.withColumn("fold", F.floor(hash_share(row_id, seed) * folds).cast("int"))
+
+
+def _linear_folds(data: DataFrame, models: Mapping[str, tuple[str, dict]], features: int, folds: int) -> DataFrame:
+    """Fold metrics of linear models ``{label: (name, parameters)}``: one scan fits all of them, one scores them."""
+    cells = gram.moments_by(data, features, ["fold"])
+    fits = {(m, k): (fit, error) for m, (name, params) in models.items() for k, _, fit, error in gram.fold_fits(cells, name, folds, **params)}
+    spark = data.sparkSession
+    table = spark.createDataFrame([(m, k, fit[0] if fit else None, [float(v) for v in fit[1]] if fit else None, error) for (m, k), (fit, error) in fits.items()],
+        "model string, fold int, intercept double, slopes array<double>, error string")
+    # A row per model and fold: small by construction.
+    scored = data.select("fold", FEATURES, LABEL).join(F.broadcast(table.filter("error is null").drop("error")), "fold")
+    scored = scored.withColumn(PREDICTION, gram.predicted(F.col("intercept"), F.col("slopes")))
+    rows = table.select("model", "fold", "error").join(metrics(scored, features, by=["model", "fold"]), ["model", "fold"], "left")
+    return rows.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "p": F.lit(features)})
 
 
 def cross_validate(data: DataFrame, name: str, features: int, folds: int = 5, **params) -> DataFrame:
     """One metric row per fold of a table with a ``fold`` column; a failing fit is a row with ``error``."""
+    if name in gram.LINEAR_MODELS:
+        return _linear_folds(data, {name: (name, params)}, features, folds)
     out = None
     for k in range(folds):
         try:
@@ -227,21 +250,36 @@ def cv_report(fold_table: DataFrame) -> DataFrame:
     return fold_table.groupBy("model").agg(*aggs)
 
 
-def train_all(data: DataFrame, names: Sequence[str], features: int, folds: int = 5) -> tuple[dict, DataFrame]:
-    """Fitted models by name and their fold table; a model that fails to fit is left out of the dict."""
-    models, table = {}, None
+def train_all(data: DataFrame, names: Sequence[str], features: int, folds: int = 5, tuned: Mapping[str, Sequence[dict]] | None = None) -> tuple[dict, DataFrame]:
+    """Fitted models by name and their fold table; a model that fails to fit is left out of the dict.
+
+    For a name in ``tuned`` the candidates are searched first, and the best one's parameters are used.
+    """
+    params = {n: best_params(data, n, tuned[n], features, folds) if tuned and n in tuned else {} for n in names}
+    linear = {n: (n, params[n]) for n in names if n in gram.LINEAR_MODELS}
+    models, table = {}, _linear_folds(data, linear, features, folds) if linear else None
     for name in names:
-        fold_rows = cross_validate(data, name, features, folds)
-        table = fold_rows if table is None else table.unionByName(fold_rows)
+        if name not in linear:
+            fold_rows = cross_validate(data, name, features, folds, **params[name])
+            table = fold_rows if table is None else table.unionByName(fold_rows)
         try:
-            models[name] = train(name, data)
+            models[name] = train(name, data, **params[name])
         except Exception:  # noqa: BLE001 - the fold table carries the error
             continue
     return models, table
 
 
 def search(data: DataFrame, name: str, candidates: Sequence[dict], features: int, folds: int = 5) -> DataFrame:
-    """Mean fold MSE of every candidate, best first."""
+    """Mean fold MSE of every candidate, best first; one scan of the rows serves all candidates of a linear model."""
+    if name in gram.LINEAR_MODELS:
+        cells = gram.moments_by(data, features, ["fold"])
+        rows = []
+        for i, params in enumerate(candidates):
+            errors = [held.squared_error(*fit) for _, held, fit, _ in gram.fold_fits(cells, name, folds, **params) if held and fit]
+            means = (float(np.mean(errors)), float(np.mean(np.sqrt(errors)))) if errors else (None, None)
+            rows.append((name, *means, i, str(sorted(params.items()))))
+        out = data.sparkSession.createDataFrame(rows, "model string, mse_mean double, rmse_mean double, candidate int, params string")
+        return out.orderBy(F.asc_nulls_last("mse_mean"), "candidate")
     out = None
     for i, params in enumerate(candidates):
         row = cv_report(cross_validate(data, name, features, folds, **params)).select("model", "mse_mean", "rmse_mean")
@@ -250,6 +288,17 @@ def search(data: DataFrame, name: str, candidates: Sequence[dict], features: int
     return out.orderBy("mse_mean", "candidate")
 
 
+def best_params(data: DataFrame, name: str, candidates: Sequence[dict], features: int, folds: int = 5) -> dict:
+    """The candidate of the least mean fold MSE (the first of several)."""
+    return candidates[search(data, name, candidates, features, folds).first()["candidate"]]
+
+
+def search_and_fit(data: DataFrame, name: str, candidates: Sequence[dict], features: int, folds: int = 5) -> tuple[dict, Model]:
+    """The best candidate's parameters, and the model fitted with them on all rows."""
+    best = best_params(data, name, candidates, features, folds)
+    return best, train(name, data, **best)
+
+
 def grid(name: str, space: Mapping[str, Sequence] | None = None) -> list[dict]:
     space = GRIDS.get(name, {}) if space is None else space
     return [dict(zip(space, values)) for values in itertools.product(*space.values())]
@@ -260,21 +309,37 @@ def random_candidates(name: str, draws: int = 20, seed: int = 42) -> list[dict]:
     return random.Random(seed).sample(every, min(draws, len(every)))
 
 
-def learning_curve(data: DataFrame, row_id: Sequence[str], name: str, features: int, folds: int = 5, sizes: Sequence[float] | None = None) -> DataFrame:
-    """Mean and sd over folds of train and validation RMSE for nested hash samples of growing size."""
-    sizes = list(sizes) if sizes is not None else [i / 10 for i in range(1, 11)]
-    h = F.pmod(F.xxhash64(*row_id, F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
-    data = data.withColumn("_h", h)
-    out = None
-    for size in sizes:
-        for k in range(folds):
-            fit_rows = data.filter((F.col("fold") != k) & (F.col("_h") < size))
-            model = train(name, fit_rows)
-            row = attach_row(
-                metrics(model.transform(fit_rows), features).select(F.col("rmse").alias("train_rmse")),
-                metrics(model.transform(data.filter(F.col("fold") == k)), features).select(F.col("rmse").alias("validation_rmse")),
-            ).withColumns({"size": F.lit(size), "fold": F.lit(k)})
-            out = row if out is None else out.unionByName(row)
+def learning_curve(data: DataFrame, row_id: Sequence[str], name: str, features: int, folds: int = 5, sizes: Sequence[float] | None = None, **params) -> DataFrame:
+    """Mean and sd over folds of train and validation RMSE for nested hash samples of growing size.
+
+    For a linear model one scan gives the moments of every fold and slice between two sizes.
+    """
+    sizes = sorted(sizes) if sizes is not None else [i / 10 for i in range(1, 11)]
+    data = data.withColumn("_h", hash_share(row_id, 7))
+    if name in gram.LINEAR_MODELS:
+        part = sum([(F.col("_h") >= s).cast("int") for s in sizes], F.lit(0))
+        cells = gram.moments_by(data.withColumn("_part", part), features, ["fold", "_part"])
+        rows = []
+        for i, size in enumerate(sizes):
+            for k in range(folds):
+                fit_on = [m for (f, p), m in cells.items() if f != k and p <= i]
+                held = [m for (f, _), m in cells.items() if f == k]
+                if fit_on and held:
+                    fit_on, held = gram.Moments.together(fit_on), gram.Moments.together(held)
+                    fit = gram.solve(fit_on, name, **params)
+                    rows.append((size, k, *(float(max(m.squared_error(*fit), 0.0) ** 0.5) for m in (fit_on, held))))
+        out = data.sparkSession.createDataFrame(rows, "size double, fold int, train_rmse double, validation_rmse double")
+    else:
+        out = None
+        for size in sizes:
+            for k in range(folds):
+                fit_rows = data.filter((F.col("fold") != k) & (F.col("_h") < size))
+                model = train(name, fit_rows, **params)
+                row = attach_row(
+                    metrics(model.transform(fit_rows), features).select(F.col("rmse").alias("train_rmse")),
+                    metrics(model.transform(data.filter(F.col("fold") == k)), features).select(F.col("rmse").alias("validation_rmse")),
+                ).withColumns({"size": F.lit(size), "fold": F.lit(k)})
+                out = row if out is None else out.unionByName(row)
     return out.groupBy("size").agg(
         F.avg("train_rmse").alias("train_mean"), F.stddev_pop("train_rmse").alias("train_std"),
         F.avg("validation_rmse").alias("validation_mean"), F.stddev_pop("validation_rmse").alias("validation_std"),
