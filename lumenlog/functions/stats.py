@@ -113,19 +113,23 @@ def _around(p: float) -> tuple[float, float]:
 def _zones(df: DataFrame, by: Sequence[str], brackets: Mapping[str, tuple]) -> DataFrame:
     """Row counts per (by, bracket number ``_i``): all below as one (the largest value), each value inside, all above.
 
-    ``brackets`` gives (value, low or None, high or None); None is open.
+    ``brackets`` gives (value, low or None, high or None); None is open. Rows outside are counted by one aggregate; only
+    the few rows inside a bracket become rows of their own.
     """
-    cells = []
+    outer, inside = [], []
+    zone = "struct<_i:int,_zone:int,_k:double,_c:bigint,_x:double>"
     for i, (v, lo, hi) in enumerate(brackets.values()):
         below = v < lo if lo is not None else F.lit(False)
         above = v > hi if hi is not None else F.lit(False)
-        zone = F.when(below, -1).when(above, 1).otherwise(0)
-        cells.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("_i"), zone.alias("_zone"), v.alias("_x"))))
-    rows = df.select(*by, F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("_b"))
-    inside = F.when(F.col("_b._zone") == 0, F.col("_b._x"))
-    rows = rows.select(*by, "_b._i", "_b._zone", inside.alias("_k"), "_b._x")
-    edge = F.when(F.col("_zone") < 0, F.max("_x")).otherwise(F.min("_x"))
-    return rows.groupBy(*by, "_i", "_zone", "_k").agg(F.count("*").alias("_c"), edge.alias("_x"))
+        for number, there, edge in ((-1, below, F.max), (1, above, F.min)):
+            cell = F.struct(F.lit(i), F.lit(number), F.lit(None).cast("double"), F.count_if(there), edge(F.when(there, v)).cast("double"))
+            outer.append(cell.cast(zone))
+        within = v.isNotNull() & ~F.coalesce(below | above, F.lit(False))
+        inside.append(F.when(within, F.struct(F.lit(i).alias("_i"), v.cast("double").alias("_k"))))
+    counted = df.groupBy(*by).agg(F.array(*outer).alias("_b")).select(*by, F.explode("_b").alias("_b")).select(*by, "_b.*").filter("_c > 0")
+    rows = df.select(*by, F.explode(F.filter(F.array(*inside), lambda c: c.isNotNull())).alias("_b")).select(*by, "_b._i", "_b._k")
+    values = rows.groupBy(*by, "_i", "_k").agg(F.count("*").alias("_c"))
+    return counted.unionByName(values.select(*by, "_i", F.lit(0).alias("_zone"), "_k", "_c", F.col("_k").alias("_x")))
 
 
 def _at_ranks(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -157,11 +161,13 @@ def _narrowed(df: DataFrame, value: Mapping[str, Column], ranks: dict[str, list]
     row = df.agg(*[c for x in ranks.values() for c in (F.count_if(value[x[0]] < x[2] if x[2] is not None else none), F.count_if(inside(x)))]).first()
     shares = [((x[1] - row[2 * i]) / max(row[2 * i + 1] - 1, 1), row[2 * i + 1]) for i, x in enumerate(ranks.values())]
     row = df.agg(*[F.percentile_approx(F.when(inside(x), value[x[0]]), _lits(_around(min(max(p, 0.0), 1.0))), SKETCH_ACCURACY) for x, (p, _) in zip(ranks.values(), shares)]).first()
-    width = 4.0 / SKETCH_ACCURACY
-    return {
-        name: [x[0], x[1], row[i][0] if p > width else x[2], row[i][1] if p < 1 - width else x[3], 0 if row[i][0] == row[i][1] else 2 * width * n]
-        for i, ((name, x), (p, n)) in enumerate(zip(ranks.items(), shares))
-    }
+    width, out = 4.0 / SKETCH_ACCURACY, {}
+    for i, ((name, x), (p, n)) in enumerate(zip(ranks.items(), shares)):
+        lo, hi = row[i][0] if p > width else x[2], row[i][1] if p < 1 - width else x[3]
+        # A bracket that does not shrink lies between values with many repeats: few distinct ones, which are counted.
+        done = lo == hi or (lo, hi) == (x[2], x[3])
+        out[name] = [x[0], x[1], lo, hi, 0 if done else 2 * width * n]
+    return out
 
 
 def attach_percentiles(df: DataFrame, spec: SeqSpec, value: str, ps: Mapping[str, float]) -> DataFrame:

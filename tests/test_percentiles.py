@@ -30,6 +30,17 @@ def test_narrowed_brackets(spark, monkeypatch):
     assert all(np.isclose(got[k], np.percentile(v, 100 * p), rtol=1e-12) for k, p in PS.items())
 
 
+@pytest.mark.parametrize("n", [1000, 1001, 20_000])
+def test_two_values_end_the_narrowing(spark, monkeypatch, n):
+    """A rank between two values with many repeats: the bracket cannot shrink."""
+    monkeypatch.setattr(stats, "BRACKET_ROWS", 4)
+    monkeypatch.setattr(stats, "SKETCH_ACCURACY", 100)
+    df = spark.range(n).select((F.col("id") % 2).alias("x"))
+    ps = PS | {"g": 0.4999, "h": 0.5001}
+    got = stats.percentile_values(df, {k: ("x", p) for k, p in ps.items()})
+    assert all(np.isclose(got[k], np.percentile(np.arange(n) % 2, 100 * p), rtol=1e-12) for k, p in ps.items())
+
+
 def test_groups(spark):
     df = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), ((F.col("id") * 31) % 1000 / 7).alias("x"))
     ids = np.arange(9000)
