@@ -1,7 +1,7 @@
 """Calibration, filters and image-quality metrics on pixel tables ``(frame_id, y, x, value)``.
 
-Filters scatter every pixel to the targets that need it and aggregate per target pixel, so the work
-is keyed by pixel, never by frame.
+Filters work on tiles with a border (``tiles``), never on whole frames; wavelets scatter every pixel to the targets that
+need it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from lumenlog.functions.seq import POS, SIZE, SeqSpec, attach_row, index_sequence
 from lumenlog.functions.stats import exact_percentiles, moments, ratio, safe_corr
+from lumenlog.operators import tiles
 from lumenlog.operators.aggregates import histogram
 from lumenlog.operators.scans import map_cells
 
@@ -157,56 +158,21 @@ def _scatter(df: DataFrame, axis: str, size: int, taps: Sequence[tuple[int, floa
     return out.withColumns({f"_t{axis}": F.col("_p")["t"], f"_d{axis}": F.col("_p")["d"], "_w": weight}).drop("_p")
 
 
-def neighbours(
-    pixels: DataFrame, height: int, width: int, radius: int, border: str = "reflect", weights: Sequence[float] | None = None
-) -> DataFrame:
-    """Every (target pixel, neighbour) pair of a square window: frame_id, y, x, dy, dx, weight, value.
-
-    Borders: ``reflect`` mirrors, ``clip`` cuts windows at the edge, ``full`` keeps only whole windows.
-    """
-    kernel = weights if weights is not None else [1.0] * (2 * radius + 1)
-    taps = [(d, kernel[d + radius]) for d in range(-radius, radius + 1)]
-    edge = radius if border == "full" else 0
-    out = _scatter(pixels, "y", height, taps, border, height - edge, edge)
-    out = _scatter(out, "x", width, taps, border, width - edge, edge)
-    kept = [c for c in pixels.columns if c not in ("frame_id", "y", "x", "value")]
-    return out.select(
-        "frame_id", F.col("_ty").alias("y"), F.col("_tx").alias("x"), F.col("_dy").alias("dy"), F.col("_dx").alias("dx"), F.col("_w").alias("weight"), "value", *kept
-    )
-
-
-def separable(pixels: DataFrame, height: int, width: int, taps: Sequence[tuple[int, float]], border: str = "reflect") -> DataFrame:
-    """One 1-D kernel along rows, then along columns."""
-    for axis, size in (("y", height), ("x", width)):
-        other = "x" if axis == "y" else "y"
-        out = _scatter(pixels, axis, size, taps, border)
-        pixels = out.groupBy("frame_id", other, F.col(f"_t{axis}").alias(axis)).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
-    return pixels.select("frame_id", "y", "x", "value")
-
-
 def gaussian_filter(pixels: DataFrame, height: int, width: int, sigma: float = 1.0) -> DataFrame:
+    """Gaussian weights to four sigma, mirrored border; missing pixels take no part."""
     r = int(4.0 * sigma + 0.5)
-    raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
-    return separable(pixels, height, width, [(d - r, w / sum(raw)) for d, w in enumerate(raw)])
+    taps = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
+    return tiles.filtered(pixels, height, width, r, lambda a: tiles.weighted_mean(a, taps), work=4)
 
 
 def median_filter(pixels: DataFrame, height: int, width: int, size: int = 3) -> DataFrame:
-    """Median of an odd square window; the window's values form one bounded array."""
-    n = neighbours(pixels, height, width, size // 2)
-    values = F.array_sort(F.collect_list("value"))
-    return n.groupBy(*PIXEL).agg(F.element_at(values, size * size // 2 + 1).alias("value"))
+    """Median of the present pixels of an odd square window, mirrored border."""
+    return tiles.filtered(pixels, height, width, size // 2, lambda a: tiles.median_of(a, size), work=2 * size * size)
 
 
 def laplacian(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """Five-point Laplacian, mirrored border."""
-    taps = [(-1, 1.0), (0, -2.0), (1, 1.0)]
-    parts = None
-    for axis, size in (("y", height), ("x", width)):
-        other = "x" if axis == "y" else "y"
-        rows = _scatter(pixels, axis, size, taps, "reflect")
-        rows = rows.select("frame_id", F.col(f"_t{axis}").alias(axis), other, (F.col("value") * F.col("_w")).alias("value"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.groupBy(*PIXEL).agg(F.sum("value").alias("value"))
+    """Five-point Laplacian, mirrored border; a missing neighbour counts as equal to the pixel."""
+    return tiles.filtered(pixels, height, width, 1, tiles.laplacian_of, work=4)
 
 
 def noise_variance(pixels: DataFrame, height: int, width: int) -> DataFrame:
@@ -214,36 +180,18 @@ def noise_variance(pixels: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def wiener_filter(pixels: DataFrame, height: int, width: int, size: int = 5, noise: float | None = None) -> DataFrame:
-    """Adaptive Wiener filter: local mean and variance with zeros outside the frame."""
-    area = float(size * size)
-    v = F.col("value")
-    local = neighbours(pixels, height, width, size // 2, "clip").groupBy(*PIXEL).agg(
-        (F.sum(v) / area).alias("_m"), (F.sum(v * v) / area).alias("_q"), F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), v)).alias("value")
-    )
+    """Adaptive Wiener filter: local mean and variance with zeros outside the frame and for missing pixels."""
     if noise is None:
-        local = local.join(noise_variance(pixels, height, width), "frame_id")
+        table = noise_variance(pixels, height, width)
     else:
-        local = local.withColumn("noise", F.lit(float(noise)))
-    var = F.col("_q") - F.col("_m") * F.col("_m")
-    kept = F.col("_m") + (v - F.col("_m")) * (1 - F.try_divide(F.col("noise"), var))
-    return local.select(*PIXEL, F.when(var < F.col("noise"), F.col("_m")).otherwise(F.coalesce(kept, F.col("_m"))).alias("value"))
+        table = pixels.select("frame_id").distinct().withColumn("noise", F.lit(float(noise)))
+    return tiles.filtered(pixels, height, width, size // 2, lambda a, n: tiles.wiener_of(a, size, n), False, 6, extra=table)
 
 
 def bilateral_filter(pixels: DataFrame, height: int, width: int, sigma_spatial: float = 1.0, sigma_intensity: float = 0.1) -> DataFrame:
+    """Mean by nearness in place and value over a window cut at the frame's edge; missing pixels take no part."""
     r = (int(2 * sigma_spatial) + 1) // 2
-    n = neighbours(pixels, height, width, r, "clip")
-    cell = F.struct("dy", "dx", "value")
-    window = n.groupBy(*PIXEL).agg(F.collect_list(cell).alias("_win"))
-    centre = F.element_at(F.filter("_win", lambda p: (p["dy"] == 0) & (p["dx"] == 0)), 1)["value"]
-    window = window.withColumn("_c", centre)
-
-    def weight(p: Column) -> Column:
-        d2 = (p["dy"] * p["dy"] + p["dx"] * p["dx"]).cast("double")
-        diff = p["value"] - F.col("_c")
-        return F.exp(-d2 / (2 * sigma_spatial**2)) * F.exp(-diff * diff / (2 * sigma_intensity**2))
-
-    total = lambda f: F.aggregate(F.transform("_win", f), F.lit(0.0), lambda a, x: a + x)
-    return window.select(*PIXEL, (total(lambda p: weight(p) * p["value"]) / total(weight)).alias("value"))
+    return tiles.filtered(pixels, height, width, r, lambda a: tiles.bilateral_of(a, r, sigma_spatial, sigma_intensity), False, 6)
 
 
 def residual(pixels: DataFrame, filtered: DataFrame) -> DataFrame:
@@ -283,8 +231,8 @@ def best_denoiser(pixels: DataFrame, candidates: Mapping[str, Callable[[DataFram
 
 def peaks_2d(pixels: DataFrame, height: int, width: int, threshold: float | None = None) -> DataFrame:
     """Pixels equal to their 3x3 maximum and above the threshold (default mean + 2 sd of the frame)."""
-    top = neighbours(pixels, height, width, 1).groupBy(*PIXEL).agg(F.max("value").alias("_max"))
-    out = pixels.join(top, PIXEL)
+    top = tiles.filtered(pixels, height, width, 1, lambda a: np.fmax.reduce(tiles.windows(a, 3), axis=-1), work=9)
+    out = pixels.join(top.withColumnRenamed("value", "_max"), PIXEL)
     if threshold is None:
         out = out.join(pixels.groupBy("frame_id").agg((F.avg("value") + 2 * F.stddev_pop("value")).alias("_limit")), "frame_id")
     else:
@@ -318,21 +266,8 @@ def error_metrics(pairs: DataFrame, by: Sequence[str] = ("frame_id",)) -> DataFr
 
 def ssim(pairs: DataFrame, height: int, width: int, by: Sequence[str] = ("frame_id",), window: int = 7) -> DataFrame:
     """Mean structural similarity over full uniform windows, sample covariance, K1 0.01 and K2 0.03."""
-    by = list(by)
-    extra = [c for c in by if c != "frame_id"]
-    spread = neighbours(pairs.withColumnRenamed("r", "value"), height, width, window // 2, "full")
-    n = float(window * window)
-    x, y = F.col("value"), F.col("t")
-    local = spread.groupBy(*extra, *PIXEL).agg(
-        F.count("*").alias("_c"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * x).alias("xx"), F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy")
-    ).filter(F.col("_c") == int(n))
-    span = pairs.groupBy(*by).agg((F.max("r") - F.min("r")).alias("_range"))
-    local = local.join(span, by)
-    mx, my, unbiased = F.col("mx"), F.col("my"), n / (n - 1)
-    vx, vy, vxy = unbiased * (F.col("xx") - mx * mx), unbiased * (F.col("yy") - my * my), unbiased * (F.col("xy") - mx * my)
-    c1, c2 = F.pow(0.01 * F.col("_range"), F.lit(2)), F.pow(0.03 * F.col("_range"), F.lit(2))
-    s = F.try_divide((2 * mx * my + c1) * (2 * vxy + c2), (mx * mx + my * my + c1) * (vx + vy + c2))
-    return local.groupBy(*by).agg(F.avg(s).alias("ssim"))
+    sums = tiles.similarity(pairs, height, width, by, window)
+    return sums.groupBy(*by).agg(F.sum("windows").alias("_n"), F.sum("total").alias("_s")).filter("_n > 0").select(*by, (F.col("_s") / F.col("_n")).alias("ssim"))
 
 
 def all_metrics(reference: DataFrame, test: DataFrame, height: int, width: int, by: Sequence[str] = ()) -> DataFrame:
