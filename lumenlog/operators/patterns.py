@@ -6,11 +6,13 @@ A pattern table has ``pattern ARRAY<STRING>``, ``length``, ``count``, ``support`
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.seq import POS, SIZE, SeqSpec, attach_row, index_sequence, null_safe_join, over_rows, running, seconds
+from lumenlog.functions.storage import materialise
 from lumenlog.functions.stats import exact_percentiles, ratio, safe_corr
 from lumenlog.operators.sequence_features import EPS_RATE, ngram_column
 
@@ -50,27 +52,42 @@ def frequent_patterns(
 
 
 def gapped_patterns(
-    df: DataFrame, spec: SeqSpec, length: int = 3, max_gap: int = 5, min_support: float = 0.05
+    df: DataFrame, spec: SeqSpec, length: int = 3, max_gap: int = 5, min_support: float = 0.05, max_length: int | None = None
 ) -> DataFrame:
-    """Ordered subsequences with successive positions 1..max_gap apart, counted by occurrence.
+    """Ordered subsequences of ``length`` to ``max_length`` events, successive ones 1..max_gap positions apart, counted by occurrence.
 
-    A dynamic programme over (pattern, end position): each level moves path counts forward by an
-    equi-join on position, so paths are never listed.
+    A dynamic programme over (pattern, end position): path counts move forward, so paths are never listed. A row carries
+    the events that follow it, so the log is not joined with itself. An occurrence has at most ``max_gap`` longer ones
+    by one event; a prefix too rare to reach the least count at any length left is not grown. Sequences no longer than a
+    pattern do not count for it.
     """
-    keys = list(spec.keys)
-    events = df.select(*keys, POS, F.col(spec.event).alias("_ev"))
-    state = df.select(*keys, POS, SIZE, F.array(spec.event).alias("pattern"), F.lit(1).cast("long").alias("_paths"))
-    for _ in range(length - 1):
-        moved = state.select(
-            *keys, SIZE, "pattern", "_paths",
-            F.explode(F.array(*[F.col(POS) + d for d in range(1, max_gap + 1)])).alias(POS),
-        ).filter(F.col(POS) < F.col(SIZE))
-        state = null_safe_join(moved, events, [*keys, POS])
-        state = state.withColumn("pattern", F.array_append("pattern", F.col("_ev")))
-        state = state.groupBy(*keys, POS, SIZE, "pattern").agg(F.sum("_paths").alias("_paths"))
-    out = state.groupBy(*keys, "pattern").agg(F.sum("_paths").alias("count"), F.max(SIZE).alias("_n"))
-    out = out.filter(F.col("count") >= F.floor(F.lit(min_support) * F.col("_n")))
-    return out.select(
+    keys, top = list(spec.keys), max_length or length
+    if not 1 <= length <= top:
+        raise ValueError("lengths from 1 on, the longest at least the shortest")
+    reach = (top - 1) * max_gap
+    spec = replace(spec, chunk_rows=max(spec.chunk_rows, reach))
+    state = df.select(*keys, POS, SIZE, spec.event).withColumn("_e", F.struct(spec.event))
+    state = over_rows(state, spec, lambda s: {"_ahead": F.collect_list("_e").over(s.rows(1, max(reach, 1)))}, before=0, after=max(reach, 1))
+    state = state.select(*keys, POS, SIZE, F.array(spec.event).alias("pattern"), F.lit(1).cast("long").alias("_paths"), "_ahead")
+    least, found = F.floor(F.lit(min_support) * F.col("_n")), None
+    for level in range(1, top + 1):
+        if level > 1:
+            steps = F.posexplode(F.slice("_ahead", 1, max_gap)).alias("_d", "_next")
+            state = state.select(*keys, POS, SIZE, "pattern", "_paths", "_ahead", steps)
+            left = F.slice("_ahead", F.col("_d") + 2, max((top - level) * max_gap, 1))
+            state = state.select(
+                *keys, (F.col(POS) + F.col("_d") + 1).alias(POS), SIZE, F.array_append("pattern", F.col("_next")[spec.event]).alias("pattern"), "_paths", left.alias("_ahead")
+            )
+            state = state.groupBy(*keys, POS, SIZE, "pattern").agg(F.sum("_paths").alias("_paths"), F.any_value("_ahead").alias("_ahead"))
+            state = materialise(state, "gapped") if level < top else state
+        counts = state.groupBy(*keys, "pattern").agg(F.sum("_paths").alias("count"), F.max(SIZE).alias("_n"))
+        if level >= length:
+            here = counts.filter((F.col("count") >= least) & (F.col("_n") > level))
+            found = here if found is None else found.unionByName(here)
+        if 1 < level < top:
+            hopeful = counts.filter(F.col("count") * max_gap ** (top - level) >= least).select(*keys, "pattern")
+            state = null_safe_join(state, hopeful, [*keys, "pattern"])
+    return found.select(
         *keys, "pattern", F.size("pattern").alias("length"), "count", (F.col("count") / F.col("_n")).alias("support"),
         F.lit("sequential_with_gaps").alias("type"),
     )
@@ -337,11 +354,11 @@ def compare_pattern_methods(methods: dict[str, DataFrame], truth: DataFrame | No
     return out.orderBy(F.desc("overall_score"), "method")
 
 
-def detect_patterns(df: DataFrame, spec: SeqSpec, **kwargs) -> dict[str, DataFrame]:
-    """Every pattern family as its own lazy table over one indexed log."""
+def detect_patterns(df: DataFrame, spec: SeqSpec, min_support: float = 0.05, min_length: int = 2, max_length: int = 5) -> dict[str, DataFrame]:
+    """Every pattern family as its own table over one indexed log; lengths and support hold for the first two."""
     return {
-        "frequent": frequent_patterns(df, spec, **kwargs),
-        "sequential": gapped_patterns(df, spec),
+        "frequent": frequent_patterns(df, spec, min_support, min_length, max_length),
+        "sequential": gapped_patterns(df, spec, min_length, 5, min_support, max_length),
         "motifs": motifs(df, spec),
         "periodic": periodic_patterns(df, spec),
         "conditional": conditional_patterns(df, spec),

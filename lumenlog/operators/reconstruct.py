@@ -431,18 +431,22 @@ def reconstruct_rule_based(
     pairs=PAIR_RULES,
     periodic=PERIODIC_RULES,
     transitions=IMPOSSIBLE_TRANSITIONS,
+    priority: Mapping[str, int] = EVENT_PRIORITY,
 ) -> DataFrame:
-    """Rule insertions, then impossible transitions, then removal of blank events."""
+    """Rule insertions, then on the filled log the correction of its order, and removal of blank events.
+
+    The correction exchanges end-before-start neighbours, spreads equal timestamps by priority and fills impossible
+    transitions (``correct_rule_errors``).
+    """
     filled = fill(
         df,
         fill_sequence_events(df, spec, sequences),
         fill_pair_events(df, spec, pairs),
         fill_periodic_events(df, spec, periodic),
     )
-    filled = with_insert_order(filled, spec)
-    ordered = index_sequence(filled, spec)
-    out = fill(ordered, insert_impossible_transitions(ordered, spec, transitions))
-    return with_insert_order(out.filter(F.length(F.trim(spec.event)) > 0), spec)
+    ordered = index_sequence(with_insert_order(filled, spec), spec)
+    out = correct_rule_errors(ordered, spec, transitions, priority)
+    return out.filter(F.length(F.trim(spec.event)) > 0)
 
 
 def with_insert_order(df: DataFrame, spec: SeqSpec) -> DataFrame:
@@ -451,25 +455,32 @@ def with_insert_order(df: DataFrame, spec: SeqSpec) -> DataFrame:
     return df.withColumn(spec.tiebreak, F.coalesce(F.col(spec.tiebreak), new))
 
 
-def reconstruct_probabilistic(df: DataFrame, spec: SeqSpec, order: int = 1, mode: str = "sample", seed: int = 42) -> DataFrame:
+def reconstruct_probabilistic(df: DataFrame, spec: SeqSpec, order: int = 1, mode: str = "sample", seed: int = 42, optimize: bool = True) -> DataFrame:
+    """Markov insertions into improbable gaps, then (``optimize``) likelier middle events on the filled log."""
     models = train_models(df, spec, order)
     gaps = significant_gaps(df, spec, models["gaps"])
     rows = markov_fill(df, spec, models["markov"], models["probabilities"], gaps, order, mode, seed)
-    return with_insert_order(fill(df, rows), spec)
+    out = with_insert_order(fill(df, rows), spec)
+    if not optimize:
+        return out
+    first = models if order == 1 else train_models(df, spec, 1)
+    best = optimize_sequence(index_sequence(out, spec), spec, first["markov"], first["probabilities"])
+    return best.withColumn(spec.event, F.col("optimized_event")).drop("optimized_event", POS, SIZE)
 
 
 def reconstruct_hybrid(df: DataFrame, spec: SeqSpec, mode: str = "sample", seed: int = 42, **rules) -> DataFrame:
-    """Originals, then rule rows, then Markov rows that no earlier row repeats at (keys, ts, event)."""
+    """Originals, the rule rows, and the Markov rows of the log that the rules filled.
+
+    Neither kind repeats an earlier row at (keys, ts, event).
+    """
     on = [*spec.keys, spec.ts, spec.event]
     out = as_original(df.drop(POS, SIZE))
-    for method, rows in (
-        ("rule_based", reconstruct_rule_based(df, spec, **rules)),
-        ("probabilistic", reconstruct_probabilistic(df, spec, mode=mode, seed=seed)),
-    ):
+    ruled = index_sequence(reconstruct_rule_based(df, spec, **rules), spec)
+    likely = reconstruct_probabilistic(ruled, spec, mode=mode, seed=seed)
+    for method, rows in (("rule_based", ruled.filter(F.col(METHOD) != "original").drop(POS, SIZE)), ("probabilistic", likely.filter(F.col(METHOD) == "probabilistic"))):
         seen = out.select(*[F.col(c).alias(f"_s_{c}") for c in on]).distinct()
         cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in on]
-        new = rows.filter(F.col(METHOD) != "original").join(seen, cond, "left_anti")
-        out = out.unionByName(new.withColumn(METHOD, F.lit(method)), allowMissingColumns=True)
+        out = out.unionByName(rows.join(seen, cond, "left_anti").withColumn(METHOD, F.lit(method)), allowMissingColumns=True)
     return out
 
 

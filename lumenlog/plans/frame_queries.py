@@ -561,13 +561,16 @@ def _(t):
 
 @query(
     "k6_distribution_fit",
-    sql="""WITH s AS (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, min(value) AS lo FROM events)
-    SELECT 'normal' AS distribution, 4 + n * (ln(2 * pi()) + 2 * ln(sd) + 1) AS aic FROM s UNION ALL SELECT 'exponential', 4 + 2 * n * (ln(m - lo) + 1) FROM s""",
+    sql="""WITH s AS (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, min(value) AS lo, greatest((max(value) - min(value)) * 1e-3, 1e-12) AS shift FROM events),
+      g AS (SELECT count(w) AS n, sum(w) AS sw, sum(ln(w)) AS sl, sum(w * ln(w)) AS swl FROM (SELECT value - lo + shift AS w FROM events, s)),
+      h AS (SELECT *, (n * swl - sl * sw) / (n * n::DOUBLE) AS scale, sw / n / ((n * swl - sl * sw) / (n * n::DOUBLE)) AS shape FROM g)
+    SELECT 'normal' AS distribution, 4 + n * (ln(2 * pi()) + 2 * ln(sd) + 1) AS aic FROM s UNION ALL SELECT 'exponential', 4 + 2 * n * (ln(m - lo) + 1) FROM s
+    UNION ALL SELECT 'gamma', 6 - 2 * ((shape - 1) * sl - sw / scale - n * (lgamma(shape) + shape * ln(scale))) FROM h""",
     rnd=["aic"],
     digits=3,
 )
 def _(t):
-    return fit.distribution_fit(t.events(), "value").filter(F.col("distribution") != "gamma").select("distribution", "aic")
+    return fit.distribution_fit(t.events(), "value").select("distribution", "aic")
 
 
 @query("k6_distribution_analysis")

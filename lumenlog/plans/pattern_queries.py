@@ -70,6 +70,29 @@ def _(t):
     return _joined(pm.gapped_patterns(t.log(GLOBAL), GLOBAL, 3, 5, 0.2)).select("pattern", "count", "support")
 
 
+def _gapped_sql(base, keys, lengths, support):
+    """Every length of gapped patterns of the rows ``s``, by occurrence."""
+    sel, same = (f"{keys}, ", f"b.{keys} = a.{keys} AND ") if keys else ("", "")
+    names, parts = "abcdef", []
+    for k in lengths:
+        joins = " ".join(f"JOIN s {y} ON {same.replace('b.', y + '.')}{y}.pos BETWEEN {x}.pos + 1 AND {x}.pos + 5" for x, y in zip(names, names[1:k]))
+        text = " || '|' || ".join(f"{x}.event" for x in names[:k])
+        own = f"a.{keys}, " if keys else ""
+        parts.append(f"SELECT {own}{text} AS pattern, {k} AS length, count(*) AS count, any_value(a.n) AS n FROM s a {joins} WHERE a.n > {k} GROUP BY {own}pattern")
+    return f"{base}, gp AS (SELECT {sel}pattern, length::INT AS length, count, count / n::DOUBLE AS support FROM ({' UNION ALL '.join(parts)}) WHERE count >= floor({support} * n))"
+
+
+@query("m3_gapped_patterns_lengths", sql=f"WITH {_gapped_sql(GL, '', (2, 3, 4), 0.2)} SELECT pattern, length, count, support FROM gp", rnd=["support"])
+def _(t):
+    """Lengths two to four in one call."""
+    return _joined(pm.gapped_patterns(t.log(GLOBAL), GLOBAL, 2, 5, 0.2, 4)).select("pattern", "length", "count", "support")
+
+
+@query("m3_gapped_patterns_by_user", sql=f"WITH {_gapped_sql(US, 'user_id', (2, 3), 0.2)} SELECT user_id, pattern, length, count, support FROM gp", rnd=["support"])
+def _(t):
+    return _joined(pm.gapped_patterns(t.log(), USER, 2, 5, 0.2, 3)).select("user_id", "pattern", "length", "count", "support")
+
+
 _M4 = f"""{GL}, {_grams('', (3,))}, sp AS (SELECT *, pos - lag(pos) OVER (PARTITION BY pattern ORDER BY pos) AS d FROM gr)"""
 
 
@@ -89,17 +112,20 @@ def _(t):
     return out.select("pattern", F.col("_pos").alias("pos"), F.coalesce("spacing", F.lit(-1)).alias("spacing"))
 
 
-@query(
-    "m5_periodic_patterns",
-    sql=f"""WITH {US}, t0 AS (SELECT user_id, event, us, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY user_id, event) AS c,
+_M5 = """t0 AS (SELECT user_id, event, us, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY user_id, event) AS c,
       (us - lag(us) OVER w) / 1e6 AS iv FROM s WINDOW w AS (PARTITION BY user_id, event ORDER BY pos)),
     l AS (SELECT a.user_id, a.event, a.c, k, a.p, a.iv, b.iv AS lv FROM t0 a CROSS JOIN (SELECT unnest(range(2, 10)) AS k) LEFT JOIN t0 b
       ON a.user_id = b.user_id AND a.event = b.event AND b.p = a.p - k),
     g AS (SELECT user_id, event AS event_type, any_value(c) AS count, k AS period_multiplier,
       CASE WHEN stddev_pop(iv) FILTER (lv IS NOT NULL) > 0 AND stddev_pop(lv) FILTER (iv IS NOT NULL) > 0 THEN corr(lv, iv) END AS correlation,
-      avg(iv) FILTER (p <= k) AS period_seconds FROM l GROUP BY 1, 2, 4)
-    SELECT user_id, event_type, count, period_multiplier, correlation, period_seconds FROM g
-    WHERE count >= 3 AND period_multiplier < count - 1 AND correlation > 0.7""",
+      avg(iv) FILTER (p <= k) AS period_seconds FROM l GROUP BY 1, 2, 4),
+    pe AS (SELECT user_id, event_type, count, period_multiplier, correlation, period_seconds FROM g
+    WHERE count >= 3 AND period_multiplier < count - 1 AND correlation > 0.7)"""
+
+
+@query(
+    "m5_periodic_patterns",
+    sql=f"WITH {US}, {_M5} SELECT * FROM pe",
     rnd=["correlation", "period_seconds"],
     digits=4,
 )
@@ -108,15 +134,18 @@ def _(t):
     return out.select("user_id", "event_type", "count", F.col("period_multiplier").cast("long"), "correlation", "period_seconds")
 
 
-@query(
-    "m6_conditional_patterns",
-    sql=f"""WITH {US}, h AS (SELECT a.user_id, a.pos, a.event AS condition, b.event AS consequence, min(b.pos - a.pos) AS d FROM s a JOIN s b
+_M6 = """h AS (SELECT a.user_id, a.pos, a.event AS condition, b.event AS consequence, min(b.pos - a.pos) AS d FROM s a JOIN s b
       ON a.user_id = b.user_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 5 AND a.event <> b.event GROUP BY ALL),
     c AS (SELECT user_id, condition, consequence, d, count(*) AS c FROM h GROUP BY ALL),
-    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, condition, consequence ORDER BY c DESC, d) = 1),
-    n AS (SELECT user_id, event AS condition, count(*) AS total_conditions FROM s GROUP BY 1, 2)
-    SELECT user_id, condition, consequence, c AS count, d AS best_distance, total_conditions, c / total_conditions::DOUBLE AS conditional_probability
-    FROM b JOIN n USING (user_id, condition) WHERE total_conditions >= 2 AND c / total_conditions::DOUBLE > 0.3""",
+    bd AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, condition, consequence ORDER BY c DESC, d) = 1),
+    nc AS (SELECT user_id, event AS condition, count(*) AS total_conditions FROM s GROUP BY 1, 2),
+    co AS (SELECT user_id, condition, consequence, c AS count, d AS best_distance, total_conditions, c / total_conditions::DOUBLE AS conditional_probability
+    FROM bd JOIN nc USING (user_id, condition) WHERE total_conditions >= 2 AND c / total_conditions::DOUBLE > 0.3)"""
+
+
+@query(
+    "m6_conditional_patterns",
+    sql=f"WITH {US}, {_M6} SELECT * FROM co",
     rnd=["conditional_probability"],
 )
 def _(t):
@@ -290,13 +319,19 @@ def _(t):
     return out.select("total_patterns", "mean_quality", "f1_score")
 
 
-@query(
-    "x2_detect_patterns",
-    sql=f"""WITH {_M1} SELECT 'frequent' AS family, count(*) AS patterns FROM fp GROUP BY 1
-    UNION ALL SELECT 'temporal', count(*) FROM (SELECT hour(ts) FROM s GROUP BY 1 HAVING count(*) >= 5 UNION ALL SELECT isodow(ts) FROM s GROUP BY 1 HAVING count(*) >= 5)
-    UNION ALL SELECT 'conditional', 0 WHERE false""",
-)
+_X2 = f"""{_gapped_sql(US, 'user_id', (2, 3), 0.05)}, {_grams('user_id', (2, 3))},
+  fp AS (SELECT user_id, pattern FROM gr WHERE n > length GROUP BY user_id, pattern, length, n HAVING count(*) >= floor(0.05 * (n - length + 1))),
+  mo AS (SELECT user_id, pattern FROM gr WHERE length = 3 GROUP BY user_id, pattern, n HAVING count(*) >= greatest(2, floor(0.02 * n))), {_M5}, {_M6},
+  tm AS (SELECT user_id, 'hourly', hour(ts) FROM s GROUP BY ALL HAVING count(*) >= 5 UNION ALL SELECT user_id, 'daily', isodow(ts) FROM s GROUP BY ALL HAVING count(*) >= 5)"""
+_FAMILIES = {"frequent": "fp", "sequential": "gp", "motifs": "mo", "periodic": "pe", "conditional": "co", "temporal": "tm"}
+
+
+@query("x2_detect_patterns", sql=f"WITH {_X2} " + " UNION ALL ".join(f"SELECT '{n}' AS family, user_id, count(*) AS patterns FROM {c} GROUP BY user_id" for n, c in _FAMILIES.items()))
 def _(t):
-    found = pm.detect_patterns(t.log(GLOBAL), GLOBAL, min_support=0.005, min_length=2, max_length=4)
-    parts = [found[n].agg(F.count("*").alias("patterns")).withColumn("family", F.lit(n)) for n in ("frequent", "temporal")]
-    return parts[0].unionByName(parts[1])
+    """How many patterns of each of the six families a user has."""
+    found = pm.detect_patterns(t.log(), USER, min_support=0.05, min_length=2, max_length=3)
+    out = None
+    for name, df in found.items():
+        rows = df.groupBy("user_id").agg(F.count("*").alias("patterns")).withColumn("family", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out

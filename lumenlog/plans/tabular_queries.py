@@ -73,7 +73,7 @@ def _(t):
 
 @query(
     "s15_run_log",
-    sql="SELECT 'orders_' || o_orderstatus AS name, o_orderstatus AS param_status, count(*)::VARCHAR AS result_rows FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL",
+    sql="SELECT 'orders_' || o_orderstatus AS name, o_orderstatus AS param_status, count(*)::VARCHAR AS result_rows FROM orders GROUP BY ALL",
 )
 def _(t):
     path = _dir(t, "runs")
@@ -83,7 +83,7 @@ def _(t):
         F.create_map(F.lit("rows"), F.col("n").cast("string")).alias("results"), F.lit("").alias("notes"), F.current_timestamp().alias("timestamp"),
     ).write.mode("append").parquet(path)
     log = t.spark.read.parquet(path)
-    return ts.flatten_runs(ts.find_runs(log, "orders_").filter(F.col("name") != "orders_P"), ["name"], ["status"], ["rows"])
+    return ts.flatten_runs(ts.find_runs(log, "orders_"), ["name"], ["status"], ["rows"])
 
 
 @query(
@@ -283,12 +283,12 @@ def _(t):
 @query(
     "f15_group_price_rank",
     sql="""WITH r AS (SELECT p_brand, row_number() OVER (ORDER BY avg(p_retailprice) DESC, p_brand) - 1 AS p_brand_price_rank FROM part WHERE p_size < 25 GROUP BY 1)
-    SELECT p_partkey, p_brand_price_rank FROM part JOIN r USING (p_brand)""",
+    SELECT p_partkey, coalesce(p_brand_price_rank, -1) AS p_brand_price_rank FROM part LEFT JOIN r USING (p_brand)""",
 )
 def _(t):
     part = t.table("part")
     ranks = tb.group_rank(part.filter(F.col("p_size") < 25), "p_brand", "p_retailprice")
-    return tb.add_group_rank(part, ranks, "p_brand").filter(F.col("p_brand_price_rank").isNotNull()).select("p_partkey", "p_brand_price_rank")
+    return tb.add_group_rank(part, ranks, "p_brand").select("p_partkey", F.coalesce("p_brand_price_rank", F.lit(-1)).alias("p_brand_price_rank"))
 
 
 @query(
@@ -676,14 +676,14 @@ def _(t):
 def _(t):
     from lumenlog.plans.composite import run_tabular
 
-    return run_tabular(t.table("part").drop("p_name"), "p_retailprice", ["p_partkey"], ["linear", "ridge", "lasso", "elastic_net"], folds=5).metrics
+    return run_tabular(t.table("part"), "p_retailprice", ["p_partkey"], list(mo.IMPROVED_MODELS), folds=5).metrics
 
 
 @query("x13_best_model_predictions")
 def _(t):
     from lumenlog.plans.composite import run_tabular
 
-    run = run_tabular(t.table("part").drop("p_name"), "p_retailprice", ["p_partkey"], ["linear", "ridge", "lasso", "elastic_net"], folds=5)
+    run = run_tabular(t.table("part"), "p_retailprice", ["p_partkey"], list(mo.IMPROVED_MODELS), folds=5)
     return run.predict(t.table("part")).select("p_partkey", "prediction")
 
 

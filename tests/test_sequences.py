@@ -186,6 +186,73 @@ def test_gapped_patterns(log):
     assert got == dict(want)
 
 
+@pytest.mark.parametrize("support", [0.0, 0.3, 1.5])
+def test_gapped_patterns_of_all_lengths(log, support):
+    rows = random_rows(40, "ab", 33) + [("c", 1, "x"), ("c", 2, "y")]
+    df, spec = log(rows, chunk_rows=5)
+    want, sizes = Counter(), Counter(r[0] for r in rows)
+    for k in sizes:
+        events = [r[2] for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])]
+        paths = [(i,) for i in range(len(events))]
+        for length in (2, 3, 4):
+            paths = [(*p, j) for p in paths for j in range(p[-1] + 1, min(p[-1] + 4, len(events)))]
+            if length < len(events):
+                want.update((k, tuple(events[i] for i in p)) for p in paths)
+    want = {k: n for k, n in want.items() if n >= int(support * sizes[k[0]])}
+    got = pm.gapped_patterns(df, spec, 2, 3, support, 4).collect()
+    assert {(r["k"], tuple(r["pattern"])): r["count"] for r in got} == want
+    assert all(r["length"] == len(r["pattern"]) and r["support"] == r["count"] / sizes[r["k"]] for r in got)
+
+
+def test_rule_based_reconstruction_corrects_the_filled_log(log):
+    """Swap, one row per (time, event), spread by priority, impossible transitions: in this order, after filling."""
+    rows = random_rows(60, "ab", 61)
+    names = ["start", "process", "complete", "end", "logout", "login", " ", "heartbeat"]
+    rows = [(k, s // 3 * 20, names[(i * 5 + ord(e)) % 8]) for i, (k, s, e, *_) in enumerate(rows)]
+    df, spec = log(rows, chunk_rows=4)
+    filled = rc.fill(df, rc.fill_sequence_events(df, spec), rc.fill_pair_events(df, spec), rc.fill_periodic_events(df, spec))
+    filled = rc.with_insert_order(filled, spec).withColumn("us", F.unix_micros("ts")).collect()
+    want = []
+    for k in "ab":
+        seq = sorted(((r.us, r.event_id, r.event, r[rc.METHOD]) for r in filled if r.k == k), key=lambda r: r[:2])
+        moved = [list(r) for r in seq]
+        for i in range(len(seq) - 1):
+            if seq[i][2] in ("end", "complete", "finish") and seq[i + 1][2] in ("start", "begin", "init"):
+                moved[i][2:], moved[i + 1][2:] = seq[i + 1][2:], seq[i][2:]
+        once = {}
+        for r in moved:
+            once.setdefault((r[0], r[2]), r)
+        at = {}
+        for us, i, e, m in sorted(once.values(), key=lambda r: (r[0], rc.EVENT_PRIORITY.get(r[2], 5), r[1])):
+            at[us] = at.get(us, -1) + 1
+            want.append((k, us + at[us] * 1000, i, e, m))
+    for k in "ab":
+        seq = sorted((w for w in want if w[0] == k), key=lambda w: w[1:3])
+        for a, b in zip(seq, seq[1:]):
+            for x, y, new in rc.IMPOSSIBLE_TRANSITIONS:
+                if (a[3], b[3]) == (x, y):
+                    want.append((k, a[1] + (b[1] - a[1]) // 2, None, new, "impossible_transition"))
+    want = sorted((k, us, e, m) for k, us, _, e, m in want if e.strip())
+    out = rc.reconstruct_rule_based(df, spec).withColumn("us", F.unix_micros("ts")).collect()
+    assert sorted((r.k, r.us, r.event, r[rc.METHOD]) for r in out) == want
+    assert any(m == "impossible_transition" for *_, m in want) and any(m == "rule_based_sequence" for *_, m in want)
+
+
+def test_hybrid_reconstruction_goes_on_from_the_rules(log):
+    rows = [("a", i * 10 + (i > 20) * 500 + (i > 31) * 700, "xyz"[i % 3]) for i in range(40)] + [("a", 3000, "start"), ("a", 3010, "complete"), ("a", 3020, "x")]
+    df, spec = log(rows, chunk_rows=8)
+    out = rc.reconstruct_hybrid(df, spec, mode="argmax").collect()
+    kinds = Counter(r[rc.METHOD] for r in out)
+    assert kinds["original"] == len(rows) and kinds["rule_based"] >= 1 and kinds["probabilistic"] >= 1
+    places = Counter((r.k, r.ts, r.event) for r in out)
+    assert max(places.values()) == 1
+    alone = rc.reconstruct_probabilistic(index_sequence(rc.reconstruct_rule_based(df, spec), spec), spec, mode="argmax")
+    added = {(r.ts, r.event) for r in out if r[rc.METHOD] == "probabilistic"}
+    assert added <= {(r.ts, r.event) for r in alone.collect()}
+    plain = rc.reconstruct_probabilistic(df, spec, mode="argmax", optimize=False).filter(F.col(rc.METHOD) == "original").count()
+    assert plain == len(rows)
+
+
 def test_lempel_ziv(log):
     rows = random_rows(80, "a", 41)
     df, spec = log(rows, chunk_rows=10)
