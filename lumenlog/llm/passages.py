@@ -19,6 +19,7 @@ repeated rows are documents of their own; other columns pass through ``drop_repe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,7 +73,7 @@ def tokens(text: str | None, width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    h = np.array([_WORDS[w] for w in words], np.uint64)
+    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     out = np.zeros(n, np.uint64)
     for i in range(width):
         out = out * np.uint64(0x100000001B3) + h[i : i + n]
@@ -205,34 +206,38 @@ def run_keys(t: np.ndarray, size: int) -> np.ndarray:
     return mix(out, 5).view(np.int64)
 
 
-def runs(members: DataFrame, size: int, how: Passages) -> DataFrame:
-    """(key, t, c, open): runs of ``size`` tokens around the places of each text; open ones lie in none of its spans."""
-    back = np.array(offsets(size, how.least))
+def runs(members: DataFrame, sizes: Sequence[int], how: Passages) -> DataFrame:
+    """(key, t, c, size): runs of each number of tokens around the places of each text (t, text, places)."""
+    back = {size: np.array(offsets(size, how.least)) for size in sizes}
 
     def run(batches):
         for batch in slices(batches, "text", 256):
             out = [[], [], [], []]
             for r in batch.to_pylist():
-                key = run_keys(tokens(r["text"], how.width), size)
-                c = np.unique(np.array(r["places"], np.int64)[:, None] - back)
-                c = c[(c >= 0) & (c < len(key))]
-                # The furthest end of the spans that begin no later than a run.
-                spans = np.array(sorted((x["start"], x["end"]) for x in r["spans"] or ()) or [(-1, -1)], np.int64)
-                at = np.searchsorted(spans[:, 0], c, side="right") - 1
-                end = np.where(at >= 0, np.maximum.accumulate(spans[:, 1])[np.maximum(at, 0)], -1)
-                for x, y in zip(out, (key[c], np.full(len(c), r["t"], np.int64), c.astype(np.int32), end < c + size + how.width - 1)):
-                    x.append(y)
+                found, places = tokens(r["text"], how.width), np.array(r["places"], np.int64)[:, None]
+                for size in sizes:
+                    key = run_keys(found, size)
+                    c = np.unique(places - back[size])
+                    c = c[(c >= 0) & (c < len(key))]
+                    for x, y in zip(out, (key[c], np.full(len(c), r["t"], np.int64), c.astype(np.int32), np.full(len(c), size, np.int32))):
+                        x.append(y)
             cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["key", "t", "c", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "t", "c", "size"])
 
-    return members.mapInArrow(run, "key long, t long, c int, open boolean")
+    return members.mapInArrow(run, "key long, t long, c int, size int")
 
 
-def run_links(rows: DataFrame, size: int) -> DataFrame:
-    """(t, c, l, r, ht, hl, hr, j): each open run linked to the first equal one of all texts."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct("t", "c")).alias("_hub"), F.max("t").alias("_other"), F.max("open").alias("_any"))
-    hubs = hubs.filter(F.col("_any") & (F.col("_other") != F.col("_hub.t"))).select("key", F.col("_hub.t").alias("ht"), F.col("_hub.c").alias("hl"))
-    linked = rows.filter("open").join(hubs, "key").filter("ht <> t")
+def run_links(rows: DataFrame, spans: DataFrame, size: int, how: Passages) -> DataFrame:
+    """(t, c, l, r, ht, hl, hr, j): each run that lies in no span of its text, linked to the first equal one of all texts.
+
+    ``rows`` has the runs of ``size`` tokens, ``spans`` (t, spans) the texts' passages so far.
+    """
+    hubs = rows.groupBy("key").agg(F.min(F.struct("t", "c")).alias("_hub"), F.max("t").alias("_other"))
+    hubs = hubs.filter(F.col("_other") != F.col("_hub.t")).select("key", F.col("_hub.t").alias("ht"), F.col("_hub.c").alias("hl"))
+    linked = rows.select("key", "t", "c").join(hubs, "key").filter("ht <> t").drop("key")
+    end = F.col("c") + F.lit(size + how.width - 1)
+    held = F.exists("spans", lambda x: (x["start"] <= F.col("c")) & (x["end"] >= end))
+    linked = linked.join(spans, "t", "left").filter(~F.coalesce(held, F.lit(False)))
     far = F.lit(size - 1)
     return linked.select("t", "c", F.col("c").alias("l"), (F.col("c") + far).alias("r"), "ht", "hl", (F.col("hl") + far).alias("hr"), F.lit(0).alias("j"))
 
@@ -368,21 +373,32 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def compared(found: DataFrame, texts: DataFrame, how: Passages) -> DataFrame:
     """(t, start, end, ht, h_start, h_end, similarity): what of the candidates is verified; texts are (_t, text)."""
-    mine = found.join(texts, found["t"] == texts["_t"]).drop("_t")
+    # An island may end inside a passage that a neighbouring window goes on with: one passage more on each side.
+    wide = {c: F.greatest(F.col(c) - how.least, F.lit(0)) for c in ("l", "hl")} | {c: F.col(c) + how.least + 1 for c in ("r", "hr")}
+    found = found.withColumns(wide)
+    mine = found.join(texts, found["t"] == texts["_t"]).select("t", "ht", "l", "r", "hl", "hr", "text")
+    names = ["t", "ht", "l", "hl", "hr"]
+
+    def sliced(batches):
+        """The tokens of a candidate's own region in place of its text."""
+        kept = Kept(lambda x: tokens(x, how.width), 64)
+        for batch in slices(batches, "text", 256):
+            places = zip(batch.column("text").to_pylist(), batch.column("l").to_pylist(), batch.column("r").to_pylist())
+            parts = [kept[text][l:r].tobytes() for text, l, r in places]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(parts, pa.binary())], [*names, "part"])
+
+    mine = mine.mapInArrow(sliced, ", ".join(f"{c} {mine.schema[c].dataType.simpleString()}" for c in names) + ", part binary")
     other = texts.select(F.col("_t").alias("_h"), F.col("text").alias("h_text"))
     both = mine.join(other, F.col("ht") == F.col("_h")).drop("_h")
-    none = {"t": [], "start": [], "end": [], "ht": [], "h_start": [], "h_end": [], "similarity": []}
+    none = ("t", "start", "end", "ht", "h_start", "h_end", "similarity")
 
     def run(batches):
         hubs = Kept(lambda x: tokens(x, how.width), 64)
-        for batch in slices(batches, "text", 256):
+        for batch in slices(batches, "h_text", 256):
             out = {k: [] for k in none}
             for r in batch.to_pylist():
-                # An island may end inside a passage that a neighbouring window goes on with: one passage more on each side.
-                l, r2 = max(0, r["l"] - how.least), r["r"] + how.least + 1
-                hl, hr = max(0, r["hl"] - how.least), r["hr"] + how.least + 1
-                for a, b, x, y, score in verified(tokens(r["text"], how.width)[l:r2], hubs[r["h_text"]][hl:hr], how):
-                    for k, v in zip(none, (r["t"], l + a, l + b + how.width, r["ht"], hl + x, hl + y + how.width, score)):
+                for a, b, x, y, score in verified(np.frombuffer(r["part"], np.uint64), hubs[r["h_text"]][r["hl"] : r["hr"]], how):
+                    for k, v in zip(none, (r["t"], r["l"] + a, r["l"] + b + how.width, r["ht"], r["hl"] + x, r["hl"] + y + how.width, score)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.float64() if k == "similarity" else pa.int64()) for k in none], list(none))
 
@@ -413,10 +429,11 @@ def passages(texts: DataFrame, how: Passages = Passages()) -> DataFrame:
     places = materialise(places, "places")
     own = texts.join(few(places.select(F.col("t").alias("_t"))), "_t", "left_semi").groupBy("_t").agg(F.max("text").alias("text"))
     own = materialise(own.join(places, F.col("_t") == F.col("t")).select("_t", "text", "places"), "unverified")
-    for size in sorted({how.least // 3 + 1, how.least * 5 // 6, how.least}):
+    sizes = sorted({how.least // 3 + 1, how.least * 5 // 6, how.least})
+    every = materialise(runs(own.withColumnRenamed("_t", "t"), sizes, how), "runs")
+    for size in sizes:
         spans = done.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-        members = own.join(spans, F.col("_t") == F.col("t"), "left").select(F.col("_t").alias("t"), "text", "places", "spans")
-        found = materialise(candidates(run_links(runs(members, size, how), size), 1), "candidates")
+        found = materialise(candidates(run_links(every.filter(F.col("size") == size), spans, size, how), 1), "candidates")
         more = materialise(compared(found, own.select("_t", "text"), how), "verified")
         done = done.union(more).distinct()
     return done
