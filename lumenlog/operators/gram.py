@@ -41,7 +41,7 @@ class Moments:
     def squared_error(self, intercept: float, slopes: np.ndarray) -> float:
         """Mean squared error of a linear prediction over these rows."""
         w = np.append(-slopes, 1.0)
-        return float(w @ self.products @ w) / self.n + float(self.mean @ w - intercept) ** 2
+        return max(float(w @ self.products @ w), 0.0) / self.n + float(self.mean @ w - intercept) ** 2
 
 
 def moments_by(data: DataFrame, width: int, by: Sequence[str], features: str = "features", label: str = "label") -> dict[tuple, Moments]:

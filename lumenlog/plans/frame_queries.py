@@ -243,6 +243,34 @@ def _window_sql(r, border):
     JOIN px b ON b.frame_id = a.frame_id AND b.y = {pos('a.y + dy')} AND b.x = {pos('a.x + dx')})"""
 
 
+def _csv_folder(t, header: bool) -> str:
+    """A CSV matrix for each label: a line of components per vector, in the order of the ids."""
+    path = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    rows = t.table("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(H * W)])
+    rows = rows.repartition("label").sortWithinPartitions("label", "vec_id").drop("vec_id")
+    rows.write.partitionBy("label").option("header", header).csv(path)
+    return path
+
+
+_CSV = "(SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS y, embedding FROM embeddings), (SELECT unnest(range(64)) AS i)"
+
+
+@query("s10_csv_frames", sql=f"SELECT y, i::INT AS x, embedding[i + 1]::DOUBLE AS value FROM {_CSV}")
+def _(t):
+    return fs.read_csv_frames(t.spark, _csv_folder(t, False), H * W).select("y", "x", "value")
+
+
+@query("s10_csv_frames_with_header", sql=f"SELECT y, i::INT AS x, embedding[i + 1]::DOUBLE AS value FROM {_CSV}")
+def _(t):
+    return fs.read_csv_frames(t.spark, _csv_folder(t, True), header=True).select("y", "x", "value")
+
+
+@query("s10_rejected_csv_rows", sql=f"SELECT count(*) AS rejected FROM {_CSV} WHERE i = 0")
+def _(t):
+    """All rows have another width than the one asked for."""
+    return fs.rejected_csv_rows(t.spark, _csv_folder(t, False), H * W - 1).agg(F.count("*").alias("rejected"))
+
+
 @value_query("n6_gaussian_filter", f"WITH {PX}, {_gauss_sql(1.0)} SELECT frame_id, y::INT AS y, x::INT AS x, value FROM ga")
 def _(t):
     return fr.gaussian_filter(px(t), H, W, 1.0)

@@ -485,7 +485,7 @@ def _(t):
     return mo.train_all(materialise(_parts(t), "parts"), rest, 3, 5)[1].select("model", "fold", "rmse", "mae", "r2")
 
 
-@query("l18_grid_search", sql=f"WITH RECURSIVE {_linear_sql([(i, 0, c['alpha'], 'true') for i, c in enumerate(mo.grid('ridge'))])}, {_SEARCH.format(_ERROR, 'ridge')}", rnd=["mse_mean", "rmse_mean"], digits=4)
+@query("l18_grid_search", sql=f"WITH RECURSIVE {_linear_sql([(i, 0, c['alpha'], 'true') for i, c in enumerate(mo.grid('ridge'))])}, {_SEARCH.format(_ERROR, 'ridge')}", rnd=["mse_mean", "rmse_mean"], digits=2)
 def _(t):
     return mo.search(_parts(t), "ridge", mo.grid("ridge"), 3, 5).drop("params")
 
@@ -493,7 +493,7 @@ def _(t):
 _DRAWN = [(i, c["alpha"] * c["l1_ratio"], c["alpha"] * (1 - c["l1_ratio"]), "false") for i, c in enumerate(mo.random_candidates("elastic_net", 20))]
 
 
-@query("l19_random_search", sql=f"WITH RECURSIVE {_linear_sql(_DRAWN)}, {_SEARCH.format(_ERROR, 'elastic_net')}", rnd=["mse_mean", "rmse_mean"], digits=4)
+@query("l19_random_search", sql=f"WITH RECURSIVE {_linear_sql(_DRAWN)}, {_SEARCH.format(_ERROR, 'elastic_net')}", rnd=["mse_mean", "rmse_mean"], digits=2)
 def _(t):
     return mo.search(_parts(t), "elastic_net", mo.random_candidates("elastic_net", 20), 3, 5).drop("params")
 

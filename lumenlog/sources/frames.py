@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenlog.functions.storage import materialise
+
 PIXEL_SCHEMA = "frame_id string, y int, x int, value double"
 
 
@@ -53,16 +55,42 @@ def read_array_frames(spark: SparkSession, path: str, suffix: str = "*.np[yz]")
     return files.mapInPandas(decode, PIXEL_SCHEMA)
 
 
-def read_csv_frames(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Pixels of headerless CSV matrices, one file per frame; rows keep their file order.
+def _csv_rows(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """(frame_id, y, cells) of CSV matrices; large files are split by byte ranges.
+
+    A row's number is its place in its range of bytes, behind the rows of the file's earlier ranges. Blank lines do not
+    count, nor does the first line with ``header``.
+    """
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), name.alias("frame_id"), "value")
+    lines = materialise(lines.filter(F.trim("value") != "").withColumn("_id", F.monotonically_increasing_id()), "lines")
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    ranges = ranges.select("_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") - int(header)).alias("_shift"))
+    rows = lines.join(ranges, ["_file", "_block"]).withColumn("y", (F.col("_id") + F.col("_shift")).cast("int")).filter("y >= 0")
+    return rows.select("frame_id", "y", F.transform(F.split("value", ","), lambda c: F.trim(c)).alias("cells"), "value")
+
+
+def _sound(width: int | None) -> Column:
+    numbers = F.forall("cells", lambda c: (c == "") | c.try_cast("double").isNotNull())
+    return numbers if width is None else numbers & (F.size("cells") == width)
+
 
-    The row number inside a file is not a column of the CSV, so files are read whole, one per task row.
+def read_csv_frames(spark: SparkSession, path: str, width: int | None = None, header: bool = False) -> DataFrame:
+    """Pixels of CSV matrices, one file per frame; an empty cell is a pixel without a value.
+
+    ``header`` skips the first line of each file. Rows that hold something else than numbers, or not ``width`` of them
+    where it is given, are left to ``rejected_csv_rows``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    lines = files.select(name.alias("frame_id"), F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\s+$", ""), "\r?\n")).alias("y", "_line"))
-    cells = lines.select("frame_id", "y", F.posexplode(F.split("_line", ",")).alias("x", "_v"))
-    return cells.filter(F.col("x") < width).select("frame_id", "y", "x", F.col("_v").cast("double").alias("value"))
+    rows = _csv_rows(spark, path, header).filter(_sound(width))
+    cells = rows.select("frame_id", "y", F.posexplode("cells").alias("x", "_v"))
+    return cells.select("frame_id", "y", "x", F.col("_v").try_cast("double").alias("value"))
+
+
+def rejected_csv_rows(spark: SparkSession, path: str, width: int | None = None, header: bool = False) -> DataFrame:
+    """(frame_id, y, line) of the rows that ``read_csv_frames`` does not take."""
+    return _csv_rows(spark, path, header).filter(~_sound(width)).select("frame_id", "y", F.col("value").alias("line"))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -72,19 +100,31 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("frame_id"), F.from_json("value", "map<string,string>").alias("metadata"))
 
 
+def _images(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").load(path).select("image.*").withColumn("frame_id", F.element_at(F.split("origin", "/"), -1))
+
+
 def read_image_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of PNG/JPEG files, channels averaged."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """Pixels of image files of the formats that the Java runtime reads (PNG, JPEG, BMP, TIFF), channels averaged.
+
+    Grey TIFF levels pass the runtime's colour space and may differ from the file's. Files that cannot be decoded are left to ``rejected_images``.
+    """
+    images = _images(spark, path).filter("nChannels > 0").select("frame_id", "height", "width", "nChannels", "data")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 raw = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels)
-                yield from _pixels(r.origin.rsplit("/", 1)[-1], raw.astype("float64").mean(axis=2))
+                yield from _pixels(r.frame_id, raw.astype("float64").mean(axis=2))
 
     return images.mapInPandas(decode, PIXEL_SCHEMA)
 
 
+def rejected_images(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_id, origin) of files under ``path`` that are no image of a known format."""
+    return _images(spark, path).filter("nChannels <= 0").select("frame_id", "origin")
+
+
 def write_frames(pixels: DataFrame, path: str, dataset: str, run: str, metadata: dict[str, str] | None = None) -> None:
     """Pixels partitioned by dataset and run, with the metadata as a side table."""
     out = pixels.withColumns({"dataset": F.lit(dataset), "run_ts": F.lit(run)})

@@ -73,6 +73,49 @@ def test_image_frames(spark, tmp_path):
     assert {(r.y, r.x): r.value for r in got.itertuples()}[(2, 3)] == 23.0
 
 
+def test_csv_frames_split_over_tasks(spark, tmp_path):
+    """Row numbers hold when a file is read in several byte ranges, with header, blank lines and CRLF."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        for k in range(2):
+            lines = [f"{k * 1000 + y},{y / 8},, {-y} " for y in range(150)]
+            lines[40:40] = ["", "  "]
+            (tmp_path / f"m{k}.csv").write_text("\r\n".join(["a,b,c,d", *lines, ""]))
+        got = fs.read_csv_frames(spark, str(tmp_path), header=True)
+        rows = {(r.frame_id, r.y, r.x): r.value for r in got.collect()}
+        want = {}
+        for k in range(2):
+            for y in range(150):
+                want |= {(f"m{k}.csv", y, x): v for x, v in enumerate((k * 1000.0 + y, y / 8, None, float(-y)))}
+        assert rows == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_rejected_csv_rows(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("x,y\n1,2\n3,4,5\n6\n7,eight\n1e3,-2.5E-1\n")
+    assert {(r.y, r.x): r.value for r in fs.read_csv_frames(spark, str(tmp_path), 2).collect()} == {(1, 0): 1.0, (1, 1): 2.0, (5, 0): 1000.0, (5, 1): -0.25}
+    assert sorted((r.y, r.line) for r in fs.rejected_csv_rows(spark, str(tmp_path), 2).collect()) == [(0, "x,y"), (2, "3,4,5"), (3, "6"), (4, "7,eight")]
+    wide = fs.read_csv_frames(spark, str(tmp_path), header=True)
+    assert wide.filter("x = 2").count() == 1 and wide.count() == 8
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("")
+    assert fs.read_csv_frames(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_broken_images_are_listed(spark, tmp_path):
+    pixels = b"".join(bytes([y * 10 + x] * 3) for y in (1, 0) for x in range(4))
+    (tmp_path / "ok.bmp").write_bytes(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(pixels), 0, 0, 54, 40, 4, 2, 1, 24, 0, len(pixels), 0, 0, 0, 0) + pixels)
+    tiff = [(256, 4), (257, 2), (258, 8), (259, 1), (262, 1), (273, 110), (278, 2), (279, 8)]
+    (tmp_path / "ok.tif").write_bytes(b"II*\x00" + struct.pack("<I", 8) + struct.pack("<H", 8) + b"".join(struct.pack("<HHII", k, 4, 1, v) for k, v in tiff) + b"\x00" * 4 + bytes(range(8)))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nno image")
+    got = {(r.frame_id, r.y, r.x): r.value for r in fs.read_image_frames(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "ok.bmp"} == {("ok.bmp", y, x): y * 10.0 + x for y in (0, 1) for x in range(4)}
+    assert {k for k in got if k[0] != "ok.bmp"} == {("ok.tif", y, x) for y in (0, 1) for x in range(4)}  # grey levels pass the runtime's colour space
+    assert [r.frame_id for r in fs.rejected_images(spark, str(tmp_path)).collect()] == ["broken.png"]
+
+
 def test_frame_sink_and_pack(spark, tmp_path):
     px = spark.createDataFrame([("f", y, x, float(10 * y + x)) for y in range(2) for x in range(3)], fs.PIXEL_SCHEMA)
     fs.write_frames(px, str(tmp_path / "s"), "d", "r", {"kind": "flat"})
