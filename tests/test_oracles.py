@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Model searches repeat whole fits; one smoke run of each family is enough here.
-SLOW = {"l17_cross_validation", "x12_tabular_run", "r25_compare_reconstruction_methods"}
+SLOW = {"l17_cross_validation", "x12_tabular_run", "x13_best_model_predictions", "r25_compare_reconstruction_methods"}
 
 
 @pytest.fixture(scope="module")
