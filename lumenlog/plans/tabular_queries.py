@@ -566,7 +566,21 @@ def _(t):
     return ranked.withColumn("place", F.row_number().over(Window.orderBy("rmse", "model")).cast("long"))
 
 
-@query("l23_model_importance")
+# Least squares of price on three nearly uncorrelated columns, by coordinate descent on their co-moments.
+_LS = """m AS MATERIALIZED (SELECT avg(l_quantity) AS mx, avg(l_discount) AS mz, avg(l_tax) AS mu, avg(l_extendedprice) AS my, var_pop(l_quantity) AS xx, var_pop(l_discount) AS zz,
+    var_pop(l_tax) AS uu, covar_pop(l_quantity, l_discount) AS xz, covar_pop(l_quantity, l_tax) AS xu, covar_pop(l_discount, l_tax) AS zu, covar_pop(l_quantity, l_extendedprice) AS xy,
+    covar_pop(l_discount, l_extendedprice) AS zy, covar_pop(l_tax, l_extendedprice) AS uy FROM lineitem),
+  cd AS (SELECT *, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM m UNION ALL SELECT * REPLACE ((uy - xu * a - zu * b) / uu AS c) FROM (
+    SELECT * REPLACE ((zy - xz * a - zu * c) / zz AS b) FROM (SELECT * REPLACE (step + 1 AS step, (xy - xz * b - xu * c) / xx AS a) FROM cd WHERE step < 60))),
+  f AS MATERIALIZED (SELECT a, b, c, my - a * mx - b * mz - c * mu AS i FROM cd WHERE step = 60)"""
+
+
+@query(
+    "l23_model_importance",
+    sql=f"""WITH RECURSIVE {_LS} SELECT feature, importance FROM (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([abs(a), abs(b), abs(c)]) AS importance FROM f)""",
+    rnd=["importance"],
+    digits=2,
+)
 def _(t):
     rows = mo.assemble(t.table("lineitem"), _R, "l_extendedprice")
     return mo.model_importance(t.spark, mo.train("linear", rows), _R)
@@ -696,7 +710,12 @@ def _(t):
     return _tabular_run(t).predict(t.table("part")).select("p_partkey", "prediction")
 
 
-@query("l22_predict")
+@query(
+    "l22_predict",
+    sql=f"WITH RECURSIVE {_LS} SELECT l_orderkey, l_linenumber, i + a * l_quantity + b * l_discount + c * l_tax AS prediction FROM lineitem, f",
+    rnd=["prediction"],
+    digits=2,
+)
 def _(t):
     rows = mo.assemble(t.table("lineitem"), _R, "l_extendedprice")
     return mo.train("linear", rows).transform(rows).select(*_KEYS, "prediction")
