@@ -4,17 +4,23 @@ A text is its lower-cased words, each ended by one separator, written in bits: e
 tree made from the corpus' byte counts. Each bit is predicted in several hashed contexts (the bytes before it in its
 word, and the whole word so far) from how often it was 0 or 1 there in the training documents. The predictions'
 log odds are mixed by weights; which weights, a gate decides by how well the word context is known. The gated weights
-start from fixed values and are refined while a text is read: after every ``SEGMENT`` words the text's own
-corrections to the weights and to the sharpness of the mix take a gradient step. The bits of a word multiply to its
-probability. What the text itself has shown, its words and pairs of words so far, refines that: the three are averaged
-by shares that follow, again after every segment, how well each has done. A score adds what all words cost.
+are fitted on all training words, each without one occurrence of its own. ``LEANS`` makes further mixes of them:
+sharper, flatter, for the short and for the long contexts. Under each the bits of a word multiply to its probability.
 
-Contexts do not reach over words, so counting needs each distinct word once, with its frequency, and the fixed part of
-the mix is worked out once for each distinct word of a block. Word frequencies are exact sums over all training
-documents and also give the base score; the count tables have fixed sizes (some 15 MB), whatever the corpus.
+Four more chances of a word refine that: its share of the corpus, its share of what followed the word before in the
+corpus (exact counts of all words and pairs of words, so what is gathered grows with the corpus; a training document
+does not count for itself), and both shares within the text so far. All are averaged by shares of the document's own,
+gated by how often the corpus knows the word before; after every ``SEGMENT`` words the shares move to what did well.
+Every chance is a distribution over words and uses only what stands before, so the average is one too. A score adds
+what all words cost.
+
+Bit contexts do not reach over words, so they are counted once for each distinct word, with its frequency, and worked
+out once for each distinct word of a block. Pairs of words travel as packed, sorted 56-bit hashes, a piece for each
+block and hash range, to where ranges are summed; the counts return in the same order. The bit tables have fixed sizes
+(some 15 MB), whatever the corpus.
 
 Defined cases: a null text has no words; without training documents all counts are zero; null ids are held in; repeated
-rows are documents of their own; other columns are not read.
+rows are documents of their own; a text without words has no bits per byte (null); other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +30,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +42,24 @@ from lumenlog.llm.texts import WORD
 
 #: Bits of the table sizes: contexts of two, three and five bytes, and the word so far.
 TABLES = (19, 20, 21, 22)
-#: Weights that every text starts from, by gate: how often the word so far was seen (never, once or twice, up to 15
+#: Weights that the fit starts from, by gate: how often the word so far was seen (never, once or twice, up to 15
 #: times, more), inside a word and in its first byte.
 WEIGHTS = np.array(
     [(0.36, 0.42, 0.40, 0.42), (0.25, 0.41, 0.44, 0.55), (0.13, 0.36, 0.46, 0.46), (0.03, 0.12, 0.41, 0.49)] + [(0.25, 0.25, 0.25, 0.25)] * 4,
     np.float32,
 )
+#: What the fitted weights of the four contexts are multiplied by in each mix.
+LEANS = np.array([(1, 1, 1, 1), (1.3, 1.3, 1.3, 1.3), (0.7, 0.7, 0.7, 0.7), (1.5, 1.2, 0.8, 0.5), (0.5, 0.8, 1.2, 1.4)], np.float32)
 #: Documents read side by side, and words whose bits are held at once: few enough for a processor's caches.
 TOGETHER = 128
 CHUNK = 1 << 12
 SEGMENT = 32
-RATE = 1e-3
-#: What the spelling, the text's words and the text's pairs of words start with, in words that each has got right.
-SHARES = (12.0, 1.0, 1.0)
+#: From how many training occurrences of the word before each gate of the shares begins.
+KNOWN = np.array([1, 4, 32])
+#: What the mixes, the text's words and pairs, the corpus' words and pairs start with, in words that each got right.
+SHARES = np.array([2.0] + [0.5] * (len(LEANS) - 1) + [1.0, 1.0, 6.0, 6.0])
+#: Pairs of words in a hash range, counted once for each block.
+RANGE = 1 << 21
 #: What an unseen bit counts for on either side.
 PRIOR = 0.4
 PART = 1 << 16
@@ -149,17 +163,90 @@ def earlier(key: np.ndarray) -> np.ndarray:
     return count
 
 
-def history(sequence: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Share of each word among the words before it in its text, and among those that followed the same word before."""
-    n = len(sequence)
+def totals(key: np.ndarray) -> np.ndarray:
+    """How often each key stands anywhere."""
+    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[which]
+
+
+def keys(sequence: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in its document, key of document and word, key of document, word before and word) of each word."""
     doc = np.repeat(np.arange(len(per)), per)
-    place = np.arange(n) - np.repeat(np.cumsum(per) - per, per)
+    place = np.arange(len(sequence)) - np.repeat(np.cumsum(per) - per, per)
     key = doc * (int(sequence.max(initial=0)) + 1) + sequence
+    before = np.roll(key, 1)
+    return place, key, (before * 0x2545F4914F6CDD1D + key) ^ (before >> 7)
+
+
+def history(sequence: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each word among the words before it in its text, and among those that followed the same word before."""
+    place, key, pair = keys(sequence, per)
     words = earlier(key)
-    again = words / np.maximum(place, 1)
-    before, contexts = np.roll(key, 1), np.roll(words, 1)
-    pairs = earlier((before * 0x2545F4914F6CDD1D + key) ^ (before >> 7))
-    return again, np.where((place > 0) & (contexts > 0), pairs / np.maximum(contexts, 1), 0)
+    contexts = np.roll(words, 1)
+    return words / np.maximum(place, 1), np.where((place > 0) & (contexts > 0), earlier(pair) / np.maximum(contexts, 1), 0)
+
+
+def pairs_of(words: list[bytes], sequence: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct 56-bit hashes of neighbouring words, ascending; places of words with one before; which pair each is)."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    at = np.flatnonzero(np.arange(len(sequence)) != np.repeat(np.cumsum(per) - per, per))
+    left, right = h[sequence[at - 1]], h[sequence[at]]
+    k = (left ^ left >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + right
+    k = (k ^ k >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    found, which = np.unique(k >> np.uint64(8), return_inverse=True)
+    return found, at, which
+
+
+def cuts(found: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each hash range begins in ascending hashes, and the end."""
+    first = -(-(np.arange(ranges + 1, dtype=object) << 56) // ranges)
+    return np.searchsorted(found, np.array(first, np.uint64))
+
+
+def pack_hashes(found: np.ndarray) -> bytes:
+    steps = np.diff(found, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_hashes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pair_counts(table: DataFrame, ranges: int) -> DataFrame:
+    """(block, place, data): for each block and hash range, the corpus' training counts of the block's pairs."""
+
+    def emit(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                sequence, per = blocks.numbers(row, "terms"), blocks.numbers(row, "per")
+                found, at, which = pairs_of([w.encode() for w in row.column("words")[0].as_py()], sequence, per)
+                learn = np.repeat(~np.array(row.column("held_out")[0].as_py(), bool), per)
+                taught = np.bincount(which, learn[at], len(found))
+                edges = cuts(found, ranges)
+                some = np.flatnonzero(np.diff(edges))
+                parts = [slice(edges[r], edges[r + 1]) for r in some]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "range": pa.array(some),
+                        "block": pa.array([batch.column("block")[i].as_py()] * len(some), pa.int64()),
+                        "hashes": pa.array([pack_hashes(found[p]) for p in parts], pa.binary()),
+                        "taught": pa.array([blocks.pack(taught[p]) for p in parts], pa.binary()),
+                    }
+                )
+
+    def add(of: pa.Table) -> pa.Table:
+        hashes = [unpack_hashes(x.as_py()) for x in of.column("hashes")]
+        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(which, np.concatenate([blocks.unpack(x.as_py()) for x in of.column("taught")]))
+        total = np.minimum(total, (1 << 32) - 1)[which]
+        edges = np.cumsum([0] + [len(h) for h in hashes])
+        data = [blocks.pack(total[a:b]) for a, b in zip(edges, edges[1:])]
+        return pa.Table.from_pydict({"block": of.column("block"), "place": of.column("range"), "data": pa.array(data, pa.binary())})
+
+    pieces = table.select("block", "words", "terms", "per", "held_out").mapInArrow(emit, "range long, block long, hashes binary, taught binary")
+    return pieces.groupBy("range").applyInArrow(add, "block long, place long, data binary")
 
 
 @dataclass
@@ -172,6 +259,7 @@ class Model:
     weights: np.ndarray = field(default_factory=WEIGHTS.copy)
     empty: float = 0.5
     end: float = 0.5
+    n_words: int = 0
 
     def pairs(self, w: Walks, others: bool = False) -> list[np.ndarray]:
         """The pair of counts that each bit finds in each table, if asked for without its own occurrence."""
@@ -186,62 +274,81 @@ class Model:
         gate = CONFIDENCE[pairs[-1]] + 4 * w.first.astype(np.int8)
         return signs, gate
 
-    def scores(self, words: list[bytes], sequence: np.ndarray, per: np.ndarray) -> np.ndarray:
-        """Log10 probability of each document: ``per`` words each of ``sequence``, places in ``words``."""
-        parts, sizes = [], []
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """Log probability of each word under each of the mixes."""
+        parts = [np.zeros((0, len(LEANS)))]
         for i in range(0, len(words), CHUNK):
             w = walks(words[i : i + CHUNK], self.tree)
             signs, gate = self.signals(w)
-            mix = np.einsum("ij,ij->i", signs, self.weights[gate])
-            row = np.empty(len(mix), [("mix", np.float32), ("signs", np.int8, 4)])
-            row["mix"], row["signs"] = mix, np.clip(np.round(signs * 10), -127, 127)
-            parts.append(row.view(np.uint64).ravel())
-            sizes.append(np.diff(w.starts))
-        known = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        start = np.cumsum(size) - size
+            z = np.clip((signs * self.weights[gate]) @ LEANS.T, -30, 30)
+            parts.append(-np.add.reduceat(np.log1p(np.exp(-z)), w.starts[:-1], axis=0, dtype=np.float64))
+        return np.concatenate(parts)
+
+    def shared(self, sequence: np.ndarray, per: np.ndarray, learn: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chances of each word by the text's words and pairs so far, the corpus' words and pairs; gate of the shares)."""
+        place, key, pair = keys(sequence, per)
+        words = earlier(key)
+        contexts = np.roll(words, 1)
+        taught = np.repeat(learn, per)
+        other = count[sequence] - np.where(taught, totals(key), 0)
+        rest = np.maximum(np.repeat(self.n_words - np.where(learn, per, 0), per), 1)
+        before = np.where(place > 0, np.roll(other, 1), 0)
+        both = pairs - np.where(taught, totals(pair), 0)
+        inside = (place > 0) & (contexts > 0)
+        chances = np.stack(
+            [
+                words / np.maximum(place, 1),
+                np.where(inside, earlier(pair) / np.maximum(contexts, 1), 0),
+                other / rest,
+                np.where(before > 0, both / np.maximum(before, 1), 0),
+            ],
+            1,
+        )
+        return chances, np.searchsorted(KNOWN, before, side="right")
+
+    def scores(self, words: list[bytes], sequence: np.ndarray, per: np.ndarray, learn: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Log10 probability of each document: ``per`` words each of ``sequence``, places in ``words``.
+
+        ``count`` has the training occurrences of each of ``words``, ``pairs`` those of each word of ``sequence``
+        with the word before it; ``learn`` says which documents are among them.
+        """
+        spelled = self.spelled(words)
+        # Words too long for a probability of their own in a float are held relative to their best mix.
+        best = spelled.max(axis=1, initial=-np.inf)
+        offset = np.where(best < -600, best, 0.0)
+        spelled = np.exp(spelled - offset[:, None])
         ends = np.cumsum(per)
         begins = ends - per
-        again, follows = np.empty(len(sequence), np.float32), np.empty(len(sequence), np.float32)
+        chances, gate = np.empty((len(sequence), 4)), np.empty(len(sequence), np.int64)
         for i in range(0, len(per), 256):
             a, b = int(begins[i]), int(ends[min(i + 256, len(per)) - 1])
-            again[a:b], follows[a:b] = history(sequence[a:b], per[i : i + 256])
+            chances[a:b], gate[a:b] = self.shared(sequence[a:b], per[i : i + 256], learn[i : i + 256], count, pairs[a:b])
+        gates = len(KNOWN) + 1
         order = np.argsort(-per, kind="stable")
         cost = np.zeros(len(per))
         for i in range(0, len(per), TOGETHER):
             docs = order[i : i + TOGETHER]
-            own = np.zeros((len(docs), 5), np.float32)
-            shares = np.tile(SHARES, (len(docs), 1))
+            shares = np.tile(SHARES, (len(docs) * gates, 1))
             for at in range(0, int(per[docs].max(initial=0)), SEGMENT):
                 docs = docs[per[docs] > at]
                 n = np.minimum(per[docs] - at, SEGMENT)
                 lead = np.cumsum(n) - n
                 where = np.repeat(begins[docs] + at - lead, n) + np.arange(n.sum())
                 tokens = sequence[where]
-                m = size[tokens]
-                heads = np.cumsum(m) - m
-                cells = known[np.repeat(start[tokens] - heads, m) + np.arange(m.sum())].view([("mix", np.float32), ("signs", np.int8, 4)])
-                x = np.empty((len(cells), 5), np.float32)
-                x[:, 0] = cells["mix"]
-                np.multiply(cells["signs"], np.float32(0.1), out=x[:, 1:])
-                now = own[: len(docs)]
-                cuts = [*heads[lead].tolist(), len(x)]
-                z = np.empty(len(x), np.float32)
-                for d, weights in enumerate(now + np.float32([1, 0, 0, 0, 0])):
-                    np.dot(x[cuts[d] : cuts[d + 1]], weights, out=z[cuts[d] : cuts[d + 1]])
-                np.clip(z, -30, 30, out=z)
-                wrong = np.exp(-z)
-                spelled = np.exp(-np.add.reduceat(np.log1p(wrong), heads, dtype=np.float64))
-                wrong /= 1 + wrong
-                step = np.empty_like(now)
-                for d in range(len(docs)):
-                    np.dot(wrong[cuts[d] : cuts[d + 1]], x[cuts[d] : cuts[d + 1]], out=step[d])
-                own[: len(docs)] = np.clip(now + RATE * step, -0.5, 0.5)
-                mine = shares[: len(docs)]
-                each = np.stack([spelled, again[where], follows[where]], 1) * np.repeat(mine / mine.sum(axis=1, keepdims=True), n, axis=0)
-                total = np.maximum(each.sum(axis=1), 1e-300)
-                cost[docs] -= np.add.reduceat(np.log(total), lead)
-                shares[: len(docs)] = mine + np.add.reduceat(each / total[:, None], lead, axis=0)
+                row = np.repeat(np.arange(len(docs)) * gates, n) + gate[where]
+                each = np.concatenate([spelled[tokens], chances[where]], 1)
+                far = offset[tokens]
+                if far.any():
+                    known = (far < 0) & each[:, len(LEANS) :].any(axis=1)
+                    each[known, : len(LEANS)] = 0
+                    far[known] = 0
+                mine = shares[: len(docs) * gates]
+                each *= (mine / mine.sum(axis=1, keepdims=True))[row]
+                total = each.sum(axis=1)
+                cost[docs] -= np.add.reduceat(np.log(total) + far, lead)
+                each /= total[:, None]
+                for e in range(each.shape[1]):
+                    mine[:, e] += np.bincount(row, each[:, e], len(mine))
         some = per > 0
         cost += np.where(some, -np.log1p(-self.empty) - np.maximum(per - 1, 0) * np.log1p(-self.end) - np.log(self.end), -np.log(self.empty))
         return -cost / np.log(10)
@@ -372,8 +479,40 @@ def fit_odds(words: DataFrame, model: Model) -> np.ndarray:
     return np.log(ones / zeros).astype(np.float32)
 
 
+def fit_weights(words: DataFrame, model: Model, rounds: int = 2) -> np.ndarray:
+    """Gated weights by Newton steps on all training words, each bit predicted without its own occurrence.
+
+    A step needs, for each gate, the sums of the gradient and of the curvature; they merge over tasks.
+    """
+    k, gates = len(TABLES), len(WEIGHTS)
+    wide = k + k * k
+    weights = model.weights.astype(float)
+    shared = words.sparkSession.sparkContext.broadcast(model)
+    for _ in range(rounds):
+
+        def add(total, some, counts, weights=weights.astype(np.float32)):
+            w = walks(some, shared.value.tree)
+            signs, gate = shared.value.signals(w, others=True)
+            wrong = 0.5 - 0.5 * np.tanh(0.5 * np.einsum("ij,ij->i", signs, weights[gate]))
+            weight = np.repeat(counts, np.diff(w.starts))
+            sums = total.reshape(gates, wide)
+            for g in range(gates):
+                of = np.flatnonzero(gate == g)
+                s, e, c = signs[of], wrong[of], weight[of]
+                sums[g, :k] += (c * e) @ s
+                sums[g, k:] += (s.T @ (s * (c * e * (1 - e))[:, None])).ravel()
+
+        seen = summed(words, gates * wide, add).reshape(gates, wide)
+        for g in range(gates):
+            bend = seen[g, k:].reshape(k, k)
+            pull = 1.0 + 1e-6 * np.trace(bend)
+            move = np.linalg.solve(bend + pull * np.eye(k), seen[g, :k] - pull * (weights[g] - WEIGHTS[g]))
+            weights[g] = np.clip(weights[g] + np.clip(move, -0.3, 0.3), -1, 2)
+    return weights.astype(np.float32)
+
+
 def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs``.
 
     Learns from the documents outside fold 1; ``score`` is the model's log10 probability of the text.
     """
@@ -393,15 +532,20 @@ def score(docs: DataFrame) -> DataFrame:
     tree = code_tree(byte_counts(words) + 1)
     model = Model(tree, count_tables(words, tree), np.stack([PLAIN] * len(TABLES)))
     model.odds = fit_odds(words, model)
+    model.weights = fit_weights(words, model)
+    model.n_words = n_words
     model.empty = (learned.empty + 0.5) / (learned.docs + 1)
     model.end = min(0.5, (learned.docs - learned.empty + 0.5) / (n_words + 1))
     shared = spark.sparkContext.broadcast(model)
     below, ends = train + 0.5 * (kinds + 1), learned.docs
+    ranges = 1 + n_words // RANGE
+    counted = values.select("block", "place", "c", F.lit(None).cast("binary").alias("data"))
+    counted = counted.unionByName(pair_counts(table, ranges).withColumn("c", F.lit(None).cast("long")))
 
     def run(of: pa.Table, block: pa.Table) -> pa.Table:
-        place = of.column("place").to_numpy()
-        count = np.zeros(len(place), np.int64)
-        count[place] = of.column("c").to_numpy()
+        of = of.sort_by("place")
+        count = of.filter(pc.is_valid(of["c"])).column("c").to_numpy().astype(np.int64)
+        both = of.filter(pc.is_valid(of["data"])).column("data").to_pylist()
         sequence, per = blocks.numbers(block, "terms"), blocks.numbers(block, "per")
         stops = np.cumsum(per)
         starts = stops - per
@@ -412,10 +556,18 @@ def score(docs: DataFrame) -> DataFrame:
             base[some] += np.add.reduceat(cost, starts[some])
         known = np.concatenate([[0], np.cumsum(count[sequence] > 0)])
         words = [w.encode() for w in block.column("words")[0].as_py()]
+        _, at, which = pairs_of(words, sequence, per)
+        pairs = np.zeros(len(sequence), np.int64)
+        if len(at):
+            pairs[at] = np.concatenate([blocks.unpack(x) for x in both]).astype(np.int64)[which]
+        learn = ~np.array(block.column("held_out")[0].as_py(), bool)
+        score = shared.value.scores(words, sequence, per, learn, count, pairs)
+        size = np.concatenate([[0], np.cumsum(np.array([len(w) + 1 for w in words], np.int64)[sequence])])
+        size = size[stops] - size[starts]
         cols = blocks.carried(block, ["doc_id", "held_out"])
         cols |= {"n_tokens": pa.array(per + 1), "n_known": pa.array(known[stops] - known[starts] + (ends > 0)), "train_tokens": pa.array(np.full(len(per), train))}
-        return pa.Table.from_pydict(cols | {"base_score": pa.array(base), "score": pa.array(shared.value.scores(words, sequence, per))})
+        return pa.Table.from_pydict(cols | {"base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / np.maximum(size, 1), mask=size == 0)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.joined(table, values.select("block", "place", "c"), run, ["doc_id", "held_out"], ddl, "words")
+    ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return blocks.joined(table, counted, run, ["doc_id", "held_out"], ddl, "words")

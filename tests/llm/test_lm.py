@@ -79,3 +79,87 @@ def test_history_and_packing():
     assert np.allclose(follows, [0, 0, 0, 0, 1 / 2, 0])
     x = np.array([0, 1, 255, 256, 70000, (1 << 32) - 1])
     assert (blocks.unpack(blocks.pack(x)) == x).all()
+
+
+def plain_score(model, texts, learn, counts, pairs, n_words):
+    """Word by word as the definition says, with dictionaries."""
+    out = []
+    for text, mine in zip(texts, learn):
+        own, both = Counter(text), Counter(zip(text, text[1:]))
+        shares = [list(lm.SHARES) for _ in range(len(lm.KNOWN) + 1)]
+        seen, follows, total, waiting = Counter(), Counter(), 0.0, []
+        for i, w in enumerate(text):
+            v = text[i - 1] if i else None
+            known = counts[v] - mine * own[v] if i else 0
+            gate = sum(known >= k for k in lm.KNOWN)
+            chances = [
+                seen[w] / i if i else 0,
+                follows[v, w] / (seen[v] - 1) if i and seen[v] > 1 else 0,  # places of the word before, but the last
+                (counts[w] - mine * own[w]) / max(n_words - mine * len(text), 1),
+                (pairs[v, w] - mine * both[v, w]) / known if known else 0,
+            ]
+            logs = [*model.spelled([w])[0], *(math.log(c) if c else -math.inf for c in chances)]
+            logs = [math.log(s / sum(shares[gate])) + x for s, x in zip(shares[gate], logs)]
+            all_of = np.logaddexp.reduce(logs)
+            total += all_of
+            waiting.append((gate, np.exp(np.array(logs) - all_of)))
+            seen[w] += 1
+            if i:
+                follows[v, w] += 1
+            if len(waiting) == lm.SEGMENT:
+                for g, ps in waiting:
+                    shares[g] = [s + p for s, p in zip(shares[g], ps)]
+                waiting = []
+        total += math.log1p(-model.empty) + (len(text) - 1) * math.log1p(-model.end) + math.log(model.end) if text else math.log(model.empty)
+        out.append(total / math.log(10))
+    return out
+
+
+def test_scores_against_plain_python():
+    r = np.random.default_rng(5)
+    vocabulary = [b"w%d" % i for i in range(30)] + [b"x" * 900]
+    texts = [[vocabulary[i] for i in r.integers(0, 20 + 5 * (d % 3), n)] for d, n in enumerate([0, 1, 40, 150, 33, 70])]
+    texts.append([vocabulary[-1], *texts[3][:40], vocabulary[-1]])
+    learn = np.array([True, False, True, True, False, True, False])
+    counts, pairs = Counter(), Counter()
+    for t, x in zip(texts, learn):
+        if x:
+            counts.update(t)
+            pairs.update(zip(t, t[1:]))
+    tree = lm.code_tree(r.integers(1, 1000, 256))
+    tables = [r.integers(0, 40, 1 << t).astype(np.uint16) | r.integers(0, 40, 1 << t).astype(np.uint16) << 8 for t in lm.TABLES]
+    model = lm.Model(tree, tables, np.stack([lm.PLAIN] * len(tables)), n_words=sum(counts.values()), end=0.01)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    sequence = np.array([number[w] for t in texts for w in t])
+    per = np.array([len(t) for t in texts])
+    before = np.array([pairs[t[i - 1], w] if i else 0 for t in texts for i, w in enumerate(t)])
+    got = model.scores(vocabulary, sequence, per, learn, np.array([counts[w] for w in vocabulary]), before)
+    assert np.allclose(got, plain_score(model, texts, learn, counts, pairs, model.n_words), rtol=1e-9)
+
+
+def test_pair_counts_and_copies(spark):
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in r.zipf(1.4, 300) % 500) for _ in range(40)]
+    copied = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(copied, texts[next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = docs.selectExpr("*", "crc32(cast(doc_id as string)) % 5 = 1 held_out").selectExpr("*", "not held_out _learns")
+    table = blocks.build(held, lm.Words, ["doc_id", "held_out"], "_learns", rows=7, ordered=True)
+    counts = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(zip(t.split(), t.split()[1:]))
+    data = {}
+    for x in lm.pair_counts(table, 5).collect():
+        data[x.block, x.place] = blocks.unpack(x.data)
+    n = 0
+    for b in table.collect():
+        sequence, per = blocks.unpack(b.terms).astype(int), blocks.unpack(b.per).astype(int)
+        found, at, which = lm.pairs_of([w.encode() for w in b.words], sequence, per)
+        got = np.concatenate([data[b.block, k] for k in sorted(k for x, k in data if x == b.block)])[which]
+        assert [counts[b.words[sequence[i - 1]], b.words[sequence[i]]] for i in at] == got.tolist()
+        n += len(at)
+    assert n == sum(len(t.split()) - 1 for _, t in rows)
+    # A copy of a training document stands apart from the other held-out ones.
+    scores = {x.doc_id: x.bits_per_byte for x in lm.score(docs).collect() if x.held_out}
+    assert scores.pop(copied) < 0.7 * min(scores.values())
