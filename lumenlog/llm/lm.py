@@ -276,13 +276,21 @@ class Model:
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """Log probability of each word under each of the mixes."""
-        parts = [np.zeros((0, len(LEANS)))]
+        out = np.zeros((len(words), len(LEANS)))
         for i in range(0, len(words), CHUNK):
             w = walks(words[i : i + CHUNK], self.tree)
-            signs, gate = self.signals(w)
-            z = np.clip((signs * self.weights[gate]) @ LEANS.T, -30, 30)
-            parts.append(-np.add.reduceat(np.log1p(np.exp(-z)), w.starts[:-1], axis=0, dtype=np.float64))
-        return np.concatenate(parts)
+            of = self.pairs(w)
+            sign = (2 * w.bits - 1).astype(np.float32)
+            gate = CONFIDENCE[of[-1]] + 4 * w.first.astype(np.int8)
+            pulls = [odds[p] * sign * weight[gate] for odds, p, weight in zip(self.odds, of, np.ascontiguousarray(self.weights.T))]
+            for mix, lean in enumerate(LEANS):  # one row of bits at a time: sums along rows are the fast ones
+                z = pulls[0] * lean[0]
+                for pull, times in zip(pulls[1:], lean[1:]):
+                    z += pull * times
+                np.clip(z, -30, 30, out=z)
+                wrong = np.exp(np.negative(z, out=z), out=z)
+                out[i : i + CHUNK, mix] = -np.add.reduceat(np.log1p(wrong, out=wrong), w.starts[:-1], dtype=np.float64)
+        return out
 
     def shared(self, sequence: np.ndarray, per: np.ndarray, learn: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(chances of each word by the text's words and pairs so far, the corpus' words and pairs; gate of the shares)."""
