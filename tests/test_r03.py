@@ -22,3 +22,31 @@ def test_accuracy_of_crowded_events(spark, tmp_path):
     pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
     ok, message, _, _ = compare("r20_accuracy_metrics", spark, str(tmp_path), duck(str(tmp_path)), entry.queries(), entry.oracle_sql())
     assert ok, message
+
+
+@pytest.fixture(scope="module")
+def one_file(spark):
+    rows = spark.range(60_000, numPartitions=1).withColumns({"a": F.col("id") % 97, "b": F.col("id") % 31, "y": F.col("id") % 97 * 3.0 + 50})
+    return mo.add_folds(mo.assemble(rows, ["a", "b"], "y"), ["id"], 3).persist()
+
+
+def test_fits_are_dealt_evenly(spark, one_file, monkeypatch):
+    """A single small file must not leave a fit to one task."""
+    seen = []
+    fit = mo.RandomForestRegressor.fit
+    monkeypatch.setattr(mo.RandomForestRegressor, "fit", lambda self, df: seen.append(df.rdd.glom().map(len).collect()) or fit(self, df))
+    mo.train("random_forest", one_file, n_estimators=2, max_depth=2)
+    assert len(seen[0]) >= 4 and sum(seen[0]) == 60_000 and max(seen[0]) < 20_000
+
+
+def test_fits_at_once_keep_rows_in_place(one_file):
+    params = {"random_forest": [{"n_estimators": 2, "max_depth": 3}], "svr": [{"steps": 4}]}
+    models, table = mo.train_all(one_file, ["ridge", "random_forest", "svr"], 2, 3, params)
+    assert list(models) == ["ridge", "random_forest", "svr"]
+    got = {(r["model"], r["fold"]): r for r in table.collect()}
+    assert sorted(got) == [(m, k) for m in ("random_forest", "ridge", "svr") for k in range(3)]
+    for (name, fold), r in got.items():
+        assert r["error"] is None and r["n"] == one_file.filter(F.col("fold") == fold).count()
+        if name == "random_forest":
+            model = mo.train(name, one_file.filter(F.col("fold") != fold), **params[name][0])
+            assert r["rmse"] == pytest.approx(mo.metrics(model.transform(one_file.filter(F.col("fold") == fold)), 2).first()["rmse"], rel=0.05)
