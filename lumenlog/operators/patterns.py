@@ -56,10 +56,11 @@ def gapped_patterns(
 ) -> DataFrame:
     """Ordered subsequences of ``length`` to ``max_length`` events, successive ones 1..max_gap positions apart, counted by occurrence.
 
-    A dynamic programme over (pattern, end position): path counts move forward, so paths are never listed. A row carries
-    the events that follow it, so the log is not joined with itself. An occurrence has at most ``max_gap`` longer ones
-    by one event; a prefix too rare to reach the least count at any length left is not grown. Sequences no longer than a
-    pattern do not count for it.
+    A dynamic programme over (pattern, events ahead of its end): path counts move forward, and ends with the same events
+    ahead are one row wherever they are, so rows become fewer as patterns grow. The second event is merged only where
+    few events are left ahead; else hardly two rows are equal, and a shuffle would carry them all. The log is not joined
+    with itself. An occurrence has at most ``max_gap`` longer ones by one event; a prefix too rare to reach the least
+    count at any length left is not grown. Sequences no longer than a pattern do not count for it.
     """
     keys, top = list(spec.keys), max_length or length
     if not 1 <= length <= top:
@@ -68,19 +69,19 @@ def gapped_patterns(
     spec = replace(spec, chunk_rows=max(spec.chunk_rows, reach))
     state = df.select(*keys, POS, SIZE, spec.event).withColumn("_e", F.struct(spec.event))
     state = over_rows(state, spec, lambda s: {"_ahead": F.collect_list("_e").over(s.rows(1, max(reach, 1)))}, before=0, after=max(reach, 1))
-    state = state.select(*keys, POS, SIZE, F.array(spec.event).alias("pattern"), F.lit(1).cast("long").alias("_paths"), "_ahead")
+    state = state.select(*keys, SIZE, F.array(spec.event).alias("pattern"), F.lit(1).cast("long").alias("_paths"), "_ahead")
     least, found = F.floor(F.lit(min_support) * F.col("_n")), None
     for level in range(1, top + 1):
         if level > 1:
             steps = F.posexplode(F.slice("_ahead", 1, max_gap)).alias("_d", "_next")
-            state = state.select(*keys, POS, SIZE, "pattern", "_paths", "_ahead", steps)
-            left = F.slice("_ahead", F.col("_d") + 2, max((top - level) * max_gap, 1))
-            state = state.select(
-                *keys, (F.col(POS) + F.col("_d") + 1).alias(POS), SIZE, F.array_append("pattern", F.col("_next")[spec.event]).alias("pattern"), "_paths", left.alias("_ahead")
-            )
-            state = state.groupBy(*keys, POS, SIZE, "pattern").agg(F.sum("_paths").alias("_paths"), F.any_value("_ahead").alias("_ahead"))
-            state = materialise(state, "gapped") if level < top else state
+            state = state.select(*keys, SIZE, "pattern", "_paths", "_ahead", steps)
+            left = F.slice("_ahead", F.col("_d") + 2, (top - level) * max_gap)
+            state = state.select(*keys, SIZE, F.array_append("pattern", F.col("_next")[spec.event]).alias("pattern"), "_paths", left.alias("_ahead"))
+            if level < top and (level > 2 or top - level == 1):
+                state = materialise(state.groupBy(*keys, SIZE, "pattern", "_ahead").agg(F.sum("_paths").alias("_paths")), "gapped")
         counts = state.groupBy(*keys, "pattern").agg(F.sum("_paths").alias("count"), F.max(SIZE).alias("_n"))
+        if 1 < level < top:
+            counts = materialise(counts, "counts")
         if level >= length:
             here = counts.filter((F.col("count") >= least) & (F.col("_n") > level))
             found = here if found is None else found.unionByName(here)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lumenlog.operators import models as mo
+from lumenlog.operators import patterns as pm
 
 
 def test_accuracy_of_crowded_events(spark, tmp_path):
@@ -50,3 +51,17 @@ def test_fits_at_once_keep_rows_in_place(one_file):
         if name == "random_forest":
             model = mo.train(name, one_file.filter(F.col("fold") != fold), **params[name][0])
             assert r["rmse"] == pytest.approx(mo.metrics(model.transform(one_file.filter(F.col("fold") == fold)), 2).first()["rmse"], rel=0.05)
+
+
+def test_gapped_states_do_not_grow_with_the_log(log, monkeypatch):
+    """Ends with the same events ahead are one row, so what is stored between lengths stays as it is on a longer log."""
+    stored = []
+    keep = pm.materialise
+    monkeypatch.setattr(pm, "materialise", lambda df, name="table": stored.append((name, (out := keep(df, name)).count())) or out)
+    sizes = []
+    for n in (40, 120):
+        stored.clear()
+        rows, spec = log([("k", i, "abc"[i % 3]) for i in range(n)], keys=(), chunk_rows=8)
+        assert pm.gapped_patterns(rows, spec, 2, 2, 0.0, 4).count() > 0
+        sizes.append(sum(rows for name, rows in stored if name == "gapped"))
+    assert sizes[0] == sizes[1] > 0
