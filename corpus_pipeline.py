@@ -2,7 +2,7 @@
 
 Quality by the line field, fitted on the labels (rejected documents go); one document of each group of SimHash near
 duplicates; repeated passages cut out; sources mixed to their target weights (a document read several times has several
-rows); token ids. All stages but the last return the columns of ``documents``.
+rows); token ids and the text they decode to. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) of every document row."""
-    coded = bpe.transcode(docs.select("doc_id", "source", "text"), decoded=False)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, source, n_tokens, ids, decoded) of every document row; ``decoded`` is the text that the ids stand for."""
+    coded = bpe.transcode(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("quality", classify), ("near_duplicates", deduplicate), ("passages", cut_passages), ("mix", mix), ("encode", encode)]
