@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -12,8 +14,9 @@ from pyspark.sql import types as T
 
 from lumenlog.functions.seq import POS, SeqSpec, attach_row, index_sequence, null_safe_join, over_rows, running, with_gap
 from lumenlog.functions.stats import exact_percentiles, ratio
+from lumenlog.functions.storage import materialise
 from lumenlog.operators.reconstruct import CONFIDENCE, IMPOSSIBLE_TRANSITIONS
-from lumenlog.operators.scans import scan
+from lumenlog.operators.scans import map_cells, scan
 
 
 def reconstruction_counts(original: DataFrame, reconstructed: DataFrame, method: str) -> DataFrame:
@@ -87,12 +90,77 @@ def basic_metrics(original: DataFrame, reconstructed: DataFrame, spec: SeqSpec)
 
 def match_events(left: DataFrame, right: DataFrame, spec: SeqSpec, tolerance: float = 5.0) -> DataFrame:
     """One-to-one matches per (keys, event): each left row, in time order, takes the earliest unused
-    right row within the tolerance.
+    right row within the tolerance.  Returns the left rows' keys, event, ts, tiebreak and ``matched``.
+
+    Groups of at most ``chunk_rows`` rows are matched many at a time in one sorted pass; longer ones
+    are cut into chunks.
+    """
+    typed = spec.by(spec.event)
+    base = [*typed.keys]
+    us = F.unix_micros(spec.ts)
+
+    def side(df: DataFrame, right: int) -> DataFrame:
+        return df.select(*base, us.alias("_us"), F.col(spec.tiebreak).alias("_id"), F.lit(right).alias("_right"))
+
+    sizes = side(left, 0).unionByName(side(right, 1)).groupBy(*base).agg(F.count("*").alias("_rows"))
+    # At most one group per ``chunk_rows`` rows of the input.
+    long = materialise(sizes.filter(F.col("_rows") > spec.chunk_rows).select(*base), "long")
+    if long.isEmpty():
+        return _match_short(side(left, 0), side(right, 1), typed, spec, tolerance)
+    same = lambda df: reduce(and_, [df[c].eqNullSafe(long[c]) for c in base])
+    parts = {how: [df.join(long, same(df), how) for df in (left, right)] for how in ("left_semi", "left_anti")}
+    short = _match_short(side(parts["left_anti"][0], 0), side(parts["left_anti"][1], 1), typed, spec, tolerance)
+    return short.unionByName(_match_long(*parts["left_semi"], spec, tolerance))
+
+
+def _match_short(left: DataFrame, right: DataFrame, typed: SeqSpec, spec: SeqSpec, tolerance: float) -> DataFrame:
+    """Greedy matches of groups that fit into memory; a left row without a time is unmatched."""
+    base = [*typed.keys]
+    tol = int(round(tolerance * 1e6))
+    out_schema = T.StructType([*[left.schema[c] for c in (*base, "_us", "_id")], T.StructField("matched", T.BooleanType())])
+
+    def match(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        from_right = pdf["_right"].to_numpy() == 1
+        times = pdf["_us"].fillna(0).astype("int64").tolist()
+        first = np.zeros(len(pdf), dtype=bool)
+        first[starts] = True
+        # Rows of a group are sorted with its right rows in front.
+        rights, p, keep, hits, none = [], 0, [], [], pdf["_us"].isna().tolist()
+        ids, before = pdf["_id"].tolist(), None
+        for i, (new, is_right) in enumerate(zip(first.tolist(), from_right.tolist())):
+            if new:
+                rights, p, before = [], 0, None
+            if is_right:
+                if not none[i]:
+                    rights.append(times[i])
+                continue
+            at = (none[i], times[i], ids[i])
+            if at == before:
+                continue
+            before = at
+            keep.append(i)
+            if none[i]:
+                hits.append(False)
+                continue
+            while p < len(rights) and rights[p] < times[i] - tol:
+                p += 1
+            hit = p < len(rights) and rights[p] <= times[i] + tol
+            p += hit
+            hits.append(hit)
+        out = pdf.iloc[keep][[*base, "_us", "_id"]].copy()
+        out["matched"] = hits
+        return out
+
+    done = map_cells(left.unionByName(right), base, match, out_schema, order=[F.desc("_right"), "_us", "_id"])
+    return done.select(*base, F.timestamp_micros("_us").alias(spec.ts), F.col("_id").alias(spec.tiebreak), "matched")
+
+
+def _match_long(left: DataFrame, right: DataFrame, spec: SeqSpec, tolerance: float) -> DataFrame:
+    """The same matches for groups of any length.
 
     Right rows before and inside each left row's tolerance are counted in one merged order.  The
     number of used right rows then follows P <- min(max(P, f) + 1, g), a clamp; clamps compose, so
-    the greedy scan runs per chunk without ever holding a whole sequence.  Returns the left rows'
-    keys, event, ts, tiebreak and ``matched``.
+    the greedy scan runs per chunk without ever holding a whole sequence.
     """
     typed = spec.by(spec.event)
     tol = int(round(tolerance * 1e6))
@@ -206,20 +274,20 @@ def lcs_length(first: DataFrame, second: DataFrame, spec: SeqSpec) -> DataFrame:
     fields = [first.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("lcs", T.LongType()), T.StructField("n1", T.LongType()), T.StructField("n2", T.LongType())])
 
-    # Distinct column names per side keep a comparison of a log with itself resolvable.
-    def side(df: DataFrame, p: str) -> DataFrame:
-        named = {c: f"{p}{c}" for c in keys} | {spec.ts: f"{p}ts", spec.tiebreak: f"{p}id", spec.event: f"{p}ev"}
-        return df.select(*[F.col(c).alias(n) for c, n in named.items()]).groupBy(*[f"{p}{c}" for c in keys])
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        p, some = ("a_", a) if len(a) else ("b_", b)
-        out = some.iloc[:1][[f"{p}{c}" for c in keys]].copy()
-        out.columns = keys
-        ea, eb = a.sort_values(["a_ts", "a_id"])["a_ev"], b.sort_values(["b_ts", "b_id"])["b_ev"]
-        out["lcs"], out["n1"], out["n2"] = lcs_of(list(ea), list(eb)), len(ea), len(eb)
+    def side(df: DataFrame, second: int) -> DataFrame:
+        return df.select(*keys, F.lit(second).alias("_side"), F.col(spec.ts).alias("_ts"), F.col(spec.tiebreak).alias("_id"), F.col(spec.event).alias("_event"))
+
+    def compare(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        codes, sides = pd.factorize(pdf["_event"])[0].tolist(), np.append(0, np.cumsum(pdf["_side"].to_numpy()))
+        out, found = pdf.iloc[starts][keys].copy(), []
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)]):
+            cut = z - int(sides[z] - sides[a])
+            found.append((lcs_of(codes[a:cut], codes[cut:z]), cut - a, z - cut))
+        out["lcs"], out["n1"], out["n2"] = map(list, zip(*found))
         return out
 
-    return side(first, "a_").cogroup(side(second, "b_")).applyInPandas(compare, schema)
+    both = side(first, 0).unionByName(side(second, 1))
+    return map_cells(both, keys, compare, schema, order=["_side", "_ts", "_id"], drop=["_ts", "_id"])
 
 
 def completeness_metrics(original: DataFrame, reconstructed: DataFrame, spec: SeqSpec) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,16 @@ STOP = -1
 
 
 def map_cells(
-    df: DataFrame, cells: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: T.StructType
+    df: DataFrame,
+    cells: Sequence[str],
+    fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
+    schema: T.StructType,
+    order: Sequence[str | Column] = (POS,),
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """Apply ``fn(rows, starts)`` to whole cells in position order, many cells per call.
+    """Apply ``fn(rows, starts)`` to whole cells in the given order, many cells per call.
+
+    ``drop`` names columns that are only sorted by.
 
     Rows are hash-partitioned and sorted by Spark; ``starts`` are the first rows of the cells.  Only
     a cell cut by a batch border is carried over, so memory is one batch plus one cell.
@@ -57,7 +64,7 @@ def map_cells(
             new[1:] |= ((a != b) & ~(a.isna() & b.isna())).to_numpy(dtype=bool)
         return np.flatnonzero(new)
 
-    return df.repartition(*cells).sortWithinPartitions(*cells, POS).mapInPandas(batches, schema)
+    return df.repartition(*cells).sortWithinPartitions(*cells, *order).drop(*drop).mapInPandas(batches, schema)
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:

@@ -65,3 +65,49 @@ def test_gapped_states_do_not_grow_with_the_log(log, monkeypatch):
         assert pm.gapped_patterns(rows, spec, 2, 2, 0.0, 4).count() > 0
         sizes.append(sum(rows for name, rows in stored if name == "gapped"))
     assert sizes[0] == sizes[1] > 0
+
+
+def _plain_matches(left, right, tol):
+    found, used = {}, set()
+    for t, i in sorted(left):
+        j = next((j for j, r in enumerate(right) if j not in used and abs(r - t) <= tol), None)
+        used.add(j)
+        found[i] = j is not None
+    return found
+
+
+def test_short_groups_are_matched_without_an_index(spark, log, monkeypatch):
+    """Long and short groups side by side, and short ones alone: those store no positions."""
+    import random
+
+    from lumenlog.operators import evaluate as ev
+
+    r = random.Random(3)
+    rows = [(k, r.randrange(n), "ab"[r.randrange(2)]) for k, n in (("long", 40), ("short", 9), (None, 9)) for _ in range(n if k == "long" else 4)]
+    left, spec = log(rows, chunk_rows=8)
+    right = left.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 3 * 1_000_000))
+    all_rows = left.collect(), right.collect()
+    want = {}
+    for k, e in {(x.k, x.event) for x in all_rows[0]}:
+        a, b = ([(x.ts.timestamp(), x.event_id) for x in side if (x.k, x.event) == (k, e)] for side in all_rows)
+        want |= _plain_matches(a, sorted(t for t, _ in b), 1.0)
+    got = ev.match_events(left, right, spec, 1.0).collect()
+    assert {x.event_id: x.matched for x in got} == want and len(got) == len(rows)
+
+    def no_index(*_):
+        raise AssertionError("an index for short groups")
+
+    monkeypatch.setattr(ev, "index_sequence", no_index)
+    got = ev.match_events(left.filter("k = 'short' or k is null"), right, spec.__class__(keys=("k",), chunk_rows=1000), 1.0).collect()
+    assert {x.event_id: x.matched for x in got} == {x.event_id: want[x.event_id] for x in all_rows[0] if x.k != "long"}
+
+
+def test_common_subsequences_of_many_groups_in_a_call(log):
+    """Groups on one side only and null keys included; no call per group."""
+    from lumenlog.operators import evaluate as ev
+
+    a, spec = log([("x", 0, "a"), ("x", 1, "b"), ("x", 2, "c"), ("y", 0, "a"), (None, 0, "a"), (None, 1, "b")])
+    b, _ = log([("x", 0, "b"), ("x", 1, "a"), ("x", 2, "c"), ("z", 0, "a"), (None, 1, "b")])
+    out = ev.lcs_length(a, b, spec)
+    assert {(r.k, r.lcs, r.n1, r.n2) for r in out.collect()} == {("x", 2, 3, 3), ("y", 0, 1, 0), ("z", 0, 0, 1), (None, 1, 2, 1)}
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
