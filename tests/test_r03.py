@@ -111,3 +111,16 @@ def test_common_subsequences_of_many_groups_in_a_call(log):
     out = ev.lcs_length(a, b, spec)
     assert {(r.k, r.lcs, r.n1, r.n2) for r in out.collect()} == {("x", 2, 3, 3), ("y", 0, 1, 0), ("z", 0, 0, 1), (None, 1, 2, 1)}
     assert "CoGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_feature_families_carry_no_columns_of_others(log, monkeypatch):
+    """Every stored family is as wide as what it adds; all columns are there at the end, one row per event."""
+    from lumenlog.plans import composite
+
+    widths, keep = [], composite.materialise
+    monkeypatch.setattr(composite, "materialise", lambda df, name="table": widths.append(set(df.columns)) or keep(df, name))
+    rows, spec = log([(k, i, "abc"[i * i % 3]) for k in ("x", None) for i in range(15)], chunk_rows=64)
+    out = composite.extract_all_features(rows, spec, F.current_timestamp(), ["a", "b"])
+    assert out.count() == 30
+    assert {"time_since_previous", "window_entropy_10", "cumulative_freq_a", "prev_transition_prob", "transition_diversity", "consecutive_count", "hour"} <= set(out.columns)
+    assert all("hour" not in w and len({"prev_transition_prob", "window_entropy_10", "cumulative_freq_a"} & w) <= 1 for w in widths)
