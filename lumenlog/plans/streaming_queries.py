@@ -19,14 +19,16 @@ def _folder(t, name):
 
 
 FILES = 6
+# Rows of a batch's file while the batch has several, and the fewest rows for which dealing leaves none empty.
+PIECE_ROWS, FEWEST_ROWS = 100_000, 1_000
 
 
 def replay(t, files: int = FILES):
-    """The whole events table as a stream of ``files`` micro-batches, in order of arrival.
+    """The whole events table as a stream of ``files`` micro-batches, in order of arrival, of one or more files each.
 
     A row arrives up to twelve hours after its time (by a checksum of its id), so batches overlap in time: rows come out
-    of order, and behind others by less than the day that the operators allow. Files are written one after the other,
-    as the source takes them by age.
+    of order, and behind others by less than the day that the operators allow. Batches are written one after the other,
+    as the source takes files by age; a large one is written, and read, by several tasks.
     """
     key = (t.spark.sparkContext.applicationId, t.dir)
     if key not in _FOLDERS:
@@ -35,12 +37,18 @@ def replay(t, files: int = FILES):
         arrival = F.unix_micros("ts") + F.crc32(F.col("event_id").cast("string").cast("binary")) % 43200 * 1_000_000
         e = e.withColumn("_at", arrival)
         low, high = e.agg(F.min("_at"), F.max("_at")).first()
+        e = e.withColumn("_batch", F.least(F.floor((F.col("_at") - low) * files / (high - low + 1)), F.lit(files - 1)).cast("int"))
+        counts = {r["_batch"]: r["count"] for r in e.groupBy("_batch").count().collect()}
+        sizes = [counts.get(i, 0) for i in range(files)]
+        # Every batch has the same number of files, none of them empty: the source takes so many at a time.
+        pieces = max(1, min(sum(sizes) // files // PIECE_ROWS, min(sizes) // FEWEST_ROWS))
         for i in range(files):
-            part = e.filter(F.least(F.floor((F.col("_at") - low) * files / (high - low + 1)), F.lit(files - 1)) == i)
-            part.drop("_at").coalesce(1).write.mode("append").parquet(path)
-        _FOLDERS[key] = (path, t.events().select("event_id", "user_id", "event", "ts", "value").schema)
-    path, schema = _FOLDERS[key]
-    return st.read_event_stream(t.spark, path, schema, 1)
+            part = e.filter(F.col("_batch") == i).drop("_at", "_batch")
+            dealt = part.coalesce(1) if pieces == 1 else part.repartition(pieces)
+            dealt.write.mode("append").parquet(path)
+        _FOLDERS[key] = (path, t.events().select("event_id", "user_id", "event", "ts", "value").schema, pieces)
+    path, schema, pieces = _FOLDERS[key]
+    return st.read_event_stream(t.spark, path, schema, pieces)
 
 
 _FOLDERS: dict = {}

@@ -124,3 +124,23 @@ def test_feature_families_carry_no_columns_of_others(log, monkeypatch):
     assert out.count() == 30
     assert {"time_since_previous", "window_entropy_10", "cumulative_freq_a", "prev_transition_prob", "transition_diversity", "consecutive_count", "hour"} <= set(out.columns)
     assert all("hour" not in w and len({"prev_transition_prob", "window_entropy_10", "cumulative_freq_a"} & w) <= 1 for w in widths)
+
+
+def test_large_batches_of_the_replay_have_several_files(spark, monkeypatch):
+    """As many in every batch, none empty, and the ordered stream still gives the SQL's rows."""
+    import glob
+
+    from lumenlog.plans import streaming_queries as sq
+    from lumenlog.plans.registry import Tables
+
+    monkeypatch.setattr(sq, "PIECE_ROWS", 50)
+    monkeypatch.setattr(sq, "FEWEST_ROWS", 10)
+    monkeypatch.setattr(sq, "_FOLDERS", {})
+    sf = "/root/testdata/sf0.001"
+    sq.replay(Tables(spark, sf))
+    (path, _, pieces), = sq._FOLDERS.values()
+    written = glob.glob(f"{path}/*.parquet")
+    assert pieces > 1 and len(written) == sq.FILES * pieces
+    assert all(spark.read.parquet(f).count() for f in written)
+    ok, message, _, _ = compare("t6_stream_metadata", spark, sf, duck(sf), entry.queries(), entry.oracle_sql())
+    assert ok, message
