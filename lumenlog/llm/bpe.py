@@ -4,8 +4,7 @@ A short word is held as an array of part boundaries and an array of the ranks of
 is found by a scan, its boundary is deleted and the two ranks beside it are refreshed. A scan of a few dozen entries
 beats any queue; words beyond ``SHORT`` symbols take a heap, so a text without spaces is no quadratic trap.
 
-Words repeat, so every Python worker keeps the ids of the pieces and of the space-free chunks it met, up to a fixed
-number of each. Tasks are independent and stateless: nothing is shuffled, and a lost one is run again.
+Words repeat, so a task keeps the ids of the pieces and of the space-free chunks it met, up to a fixed number of each. Tasks are independent and stateless: nothing is shuffled, and a lost one is run again.
 
 Defined cases: a null text is an empty one and has no ids; special tokens inside a text are single ids; the columns
 ``ids`` and ``decoded`` replace columns of those names, all others pass through.
@@ -25,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lumenlog.llm.arrow import mapped, with_columns
+from lumenlog.llm.arrow import Kept, mapped, with_columns
 
 TOKENIZER = "word_bpe_49k.json"
 SHORT = 64
@@ -40,19 +39,6 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class Kept(dict):
-    """Results of a function, kept until there are ``most`` of them."""
-
-    def __init__(self, fn, most: int):
-        self.fn, self.most = fn, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        found = self[key] = self.fn(key)
-        return found
-
-
 class Bpe:
     """Encoder and decoder of one tokenizer file."""
 
