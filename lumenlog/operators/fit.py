@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,20 +96,20 @@ def energy_calibration(points: DataFrame) -> DataFrame:
 def _gaussian(p, x):
     a, c, s, o = p
     g = np.exp(-((x - c) ** 2) / (2 * s * s))
-    return a * g + o, np.column_stack([g, a * g * (x - c) / (s * s), a * g * (x - c) ** 2 / s**3, np.ones_like(x)])
+    return a * g + o, np.stack([g, a * g * (x - c) / (s * s), a * g * (x - c) ** 2 / s**3, np.ones_like(x)], axis=-1)
 
 
 def _exponential(p, x):
     a, k, o = p
     g = np.exp(-k * x)
-    return a * g + o, np.column_stack([g, -a * x * g, np.ones_like(x)])
+    return a * g + o, np.stack([g, -a * x * g, np.ones_like(x)], axis=-1)
 
 
 def _sigmoid(p, x):
     a, c, w, o = p
     g = 1 / (1 + np.exp(np.clip(-(x - c) / w, -500, 500)))
     d = a * g * (1 - g)
-    return a * g + o, np.column_stack([g, -d / w, -d * (x - c) / (w * w), np.ones_like(x)])
+    return a * g + o, np.stack([g, -d / w, -d * (x - c) / (w * w), np.ones_like(x)], axis=-1)
 
 
 def _start_gaussian(x, y, n):
@@ -132,67 +132,128 @@ CURVES = {
     "sigmoid": (_sigmoid, _start_sigmoid, ["amplitude", "center", "width", "offset"]),
 }
 
+# Fixed value: so many points of channels are fitted in one pass (a longer channel alone).
+FIT_CELLS = 1 << 14
 
-def _levenberg(fn: Callable, p: Sequence[float], x, y, n, steps: int = 500):
-    """Weighted least squares by damped Gauss-Newton steps."""
-    p, damp = np.asarray(p, dtype=float), 1e-3
-    value, jac = fn(p, x)
-    cost = np.sum(n * (y - value) ** 2)
+
+def _solved(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of many small systems, and which have one."""
+    try:
+        return np.linalg.solve(h, g[..., None])[..., 0], np.ones(len(h), bool)
+    except np.linalg.LinAlgError:
+        out, ok = np.zeros_like(g), np.ones(len(h), bool)
+        for i in range(len(h)):
+            try:
+                out[i] = np.linalg.solve(h[i], g[i])
+            except np.linalg.LinAlgError:
+                ok[i] = False
+        return out, ok
+
+
+def _levenberg(fn: Callable, p: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 500):
+    """Weighted least squares by damped Gauss-Newton steps, for a channel per line of all arrays (weight 0 fills up)."""
+    p, damp = np.array(p, dtype=float), np.full(len(p), 1e-3)
+    value, jac = fn(p.T[:, :, None], x)
+    cost = np.sum(n * (y - value) ** 2, axis=1)
+    at = np.arange(len(p))  # channels still moving
     for _ in range(steps):
-        h, g = jac.T @ (jac * n[:, None]), jac.T @ (n * (y - value))
+        if not len(at):
+            break
+        j, w = jac[at], n[at]
+        jt = j.swapaxes(1, 2)
+        h, g = jt @ (j * w[..., None]), (jt @ (w * (y[at] - value[at]))[..., None])[..., 0]
+        diagonal = np.einsum("ijj->ij", h).copy()
+        np.einsum("ijj->ij", h)[...] += damp[at, None] * np.maximum(diagonal, 1e-12)
+        step, ok = _solved(h, g)
+        tried = p[at] + step
+        trial_value, trial_jac = fn(tried.T[:, :, None], x[at])
+        trial = np.sum(w * (y[at] - trial_value) ** 2, axis=1)
+        better = ok & np.isfinite(trial) & (trial <= cost[at])
+        flat = cost[at] - trial <= 1e-15 * np.maximum(cost[at], 1e-300)
+        still = np.max(np.abs(step), axis=1) <= 1e-10 * np.maximum(np.max(np.abs(p[at]), axis=1), 1.0)
+        done = better & flat & still
+        up = at[better]
+        p[up], value[up], jac[up], cost[up] = tried[better], trial_value[better], trial_jac[better], trial[better]
+        damp[up] = np.maximum(damp[up] / 10, 1e-12)
+        damp[at[~better]] *= 10
+        at = at[~(done | (ok & ~better & (damp[at] > 1e12)))]
+    return p, cost
+
+
+def _lots(sizes: np.ndarray) -> list[np.ndarray]:
+    """Channels in lots of similar size with at most ``FIT_CELLS`` points when filled up."""
+    out, now, longest = [], [], 0
+    for i in np.argsort(sizes, kind="stable"):
+        longest = max(int(sizes[i]), 1)
+        if now and longest * (len(now) + 1) > FIT_CELLS:
+            out.append(np.array(now))
+            now = []
+        now.append(i)
+    return [*out, np.array(now)] if now else out
+
+
+def _fit_lot(curve: str, cells: list[tuple[np.ndarray, ...]]) -> list[dict]:
+    """Parameters, R2, RMSE and error of each channel (x, y, n, v)."""
+    fn, start, names = CURVES[curve]
+    blank = {**{c: float("nan") for c in names}, "r_squared": 0.0, "rmse": float("inf"), "error": None}
+    out = [dict(blank) for _ in cells]
+    begun = []
+    for i, (x, y, n, _) in enumerate(cells):
         try:
-            step = np.linalg.solve(h + damp * np.diag(np.maximum(np.diag(h), 1e-12)), g)
-        except np.linalg.LinAlgError:
-            damp *= 10
+            if len(x) < len(names):
+                raise ValueError("fewer points than parameters")
+            begun.append((i, start(x, y, n)))
+        except (ValueError, FloatingPointError) as exc:
+            out[i]["error"] = str(exc)
+    if not begun:
+        return out
+    longest = max(len(cells[i][0]) for i, _ in begun)
+    # Lines are filled up with copies of their last point at weight 0.
+    fill = lambda k: np.array([np.pad(cells[i][k], (0, longest - len(cells[i][k])), "edge") for i, _ in begun])
+    weights = np.array([np.pad(cells[i][2], (0, longest - len(cells[i][2]))) for i, _ in begun])
+    with np.errstate(all="ignore"):
+        solved, costs = _levenberg(fn, np.array([p for _, p in begun]), fill(0), fill(1), weights)
+    for (i, _), p, cost in zip(begun, solved, costs):
+        _, y, n, v = cells[i]
+        if not np.all(np.isfinite(p)):
+            out[i]["error"] = "no finite solution"
             continue
-        trial_value, trial_jac = fn(p + step, x)
-        trial = np.sum(n * (y - trial_value) ** 2)
-        if np.isfinite(trial) and trial <= cost:
-            done = cost - trial <= 1e-15 * max(cost, 1e-300) and np.max(np.abs(step)) <= 1e-10 * max(np.max(np.abs(p)), 1.0)
-            p, value, jac, cost, damp = p + step, trial_value, trial_jac, trial, max(damp / 10, 1e-12)
-            if done:
-                break
-        else:
-            damp *= 10
-            if damp > 1e12:
-                break
-    return p, cost
+        if curve == "gaussian":
+            p[2] = abs(p[2])
+        inner = float(np.sum(n * v))
+        total = float(np.sum(n * (y - np.average(y, weights=n)) ** 2)) + inner
+        left = float(cost) + inner
+        out[i].update(zip(names, map(float, p)))
+        out[i]["r_squared"] = 1 - left / total if total > 0 else 0.0
+        out[i]["rmse"] = float(np.sqrt(left / n.sum()))
+    return out
 
 
 def curve_fit(points: DataFrame, curve: str) -> DataFrame:
     """Gaussian, exponential or sigmoid parameters, R2 and RMSE per channel; a failed fit has ``error``.
 
     Points of one x are combined first (count, mean and scatter of y give the same least-squares
-    solution), so a channel's group is as long as its distinct x values.
+    solution), so a channel is a row as long as its distinct x values; many rows are fitted at a time.
     """
-    fn, start, names = CURVES[curve]
+    names = CURVES[curve][2]
     cells = points.groupBy(*CHANNEL, "x").agg(F.count("*").alias("n"), F.avg("y").alias("y"), F.var_pop("y").alias("v"))
+    packed = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "n", "v")])))
+    rows = cells.groupBy(*CHANNEL).agg(packed.alias("_c")).select(*CHANNEL, *[F.col("_c")[c].alias(c) for c in ("x", "y", "n", "v")])
     fields = [T.StructField(c, T.DoubleType()) for c in (*names, "r_squared", "rmse")]
     schema = T.StructType([points.schema["channel_id"], *fields, T.StructField("error", T.StringType())])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        x, y, n = (pdf[c].to_numpy(dtype=float) for c in ("x", "y", "n"))
-        out = {"channel_id": pdf["channel_id"].iloc[0], **{c: float("nan") for c in names}, "r_squared": 0.0, "rmse": float("inf"), "error": None}
-        inner = float(np.sum(n * pdf["v"].to_numpy(dtype=float)))
-        try:
-            if len(x) < len(names):
-                raise ValueError("fewer points than parameters")
-            p, cost = _levenberg(fn, start(x, y, n), x, y, n)
-            if not np.all(np.isfinite(p)):
-                raise ValueError("no finite solution")
-            if curve == "gaussian":
-                p[2] = abs(p[2])
-            total = float(np.sum(n * (y - np.average(y, weights=n)) ** 2)) + inner
-            left = float(cost) + inner
-            out.update(zip(names, map(float, p)))
-            out["r_squared"] = 1 - left / total if total > 0 else 0.0
-            out["rmse"] = float(np.sqrt(left / n.sum()))
-        except (ValueError, FloatingPointError) as exc:
-            out["error"] = str(exc)
-        return pd.DataFrame([out])
-
-    fits = cells.groupBy(*CHANNEL).applyInPandas(fit, schema)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = [tuple(np.asarray(a, dtype=float) for a in row) for row in zip(*(pdf[c] for c in ("x", "y", "n", "v")))]
+            found: list[dict] = [{}] * len(known)
+            for lot in _lots(np.array([len(c[0]) for c in known], dtype=np.int64)):
+                for i, row in zip(lot, _fit_lot(curve, [known[i] for i in lot])):
+                    found[i] = row
+            out = pd.DataFrame(found, columns=[*schema.names[1:]])
+            out.insert(0, "channel_id", pdf["channel_id"].to_numpy())
+            yield out
+
+    fits = rows.mapInPandas(fit, schema)
     if curve == "gaussian":
         return fits.withColumn("fwhm", F.col("sigma") * (2 * math.sqrt(2 * math.log(2))))
     if curve == "exponential":

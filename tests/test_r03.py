@@ -144,3 +144,28 @@ def test_large_batches_of_the_replay_have_several_files(spark, monkeypatch):
     assert all(spark.read.parquet(f).count() for f in written)
     ok, message, _, _ = compare("t6_stream_metadata", spark, sf, duck(sf), entry.queries(), entry.oracle_sql())
     assert ok, message
+
+
+def test_curves_of_many_channels_are_fitted_together(spark):
+    """A pass serves many channels of unlike lengths, and gives each what a pass of its own gives."""
+    import numpy as np
+
+    from lumenlog.operators import fit
+
+    rows = []
+    for c in range(30):
+        for x in range(3 + c):  # the first channel has too few points
+            rows.append((c, float(x), float(5 + c / (1 + np.exp(-(x - c / 2) / 1.5)) + 0.01 * ((x * 7 + c) % 3))))
+    points = spark.createDataFrame(rows, "channel_id int, x double, y double").coalesce(1)
+    lot = fit._fit_lot
+    cells = [tuple(np.array(a, dtype=float) for a in zip(*[(x, y, 1, 0) for k, x, y in rows if k == c])) for c in range(30)]
+    together, apart = lot("sigmoid", cells), [lot("sigmoid", [c])[0] for c in cells]
+    assert "fewer points" in together[0]["error"] and all(r["error"] is None for r in together[1:])
+    for a, b in zip(together[1:], apart[1:]):
+        assert a["rmse"] == pytest.approx(b["rmse"], rel=1e-6, abs=1e-9) and a["r_squared"] == pytest.approx(b["r_squared"], abs=1e-9)
+    out = fit.curve_fit(points, "sigmoid")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = {r.channel_id: r for r in out.collect()}
+    assert sorted(got) == list(range(30)) and got[0].error
+    for c in range(1, 30):
+        assert got[c].rmse == pytest.approx(together[c]["rmse"], rel=1e-6, abs=1e-9)
