@@ -62,6 +62,8 @@ def zscore_anomalies(df: DataFrame, columns: Sequence[str], threshold: float = 3
 
 
 SAMPLE_ROWS = 256
+# Fixed value: rows that walk down the trees together.
+SCORE_ROWS = 4096
 
 
 def _path_constant(n: float) -> float:
@@ -84,13 +86,12 @@ def isolation_forest(
     )
     scaled = attach_row(df, row)
     unit = [F.coalesce(F.try_divide(x - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c, x in v.items()]
-    scaled = scaled.withColumn("_x", F.array(*unit))
     # Twice the wanted share, so that nearly every tree can fill its sample; the smallest hashes are kept.
     share = F.least(F.lit(2.0 * SAMPLE_ROWS) / F.col("_rows"), F.lit(1.0))
     draw = lambda t: F.pmod(F.xxhash64(F.col(row_id), t, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
-    sample = scaled.select("_x", row_id, "_rows", F.explode(picked).alias("tree"))
-    sample = sample.select("tree", "_x", F.xxhash64(row_id, "tree", F.lit(seed)).alias("_h"))
+    # Trees are rows and not elements of a lambda, so that the many draws are compiled; few rows are left to scale.
+    each = scaled.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).filter(draw(F.col("tree")) < share)
+    sample = each.select("tree", F.array(*unit).alias("_x"), F.xxhash64(row_id, "tree", F.lit(seed)).alias("_h"))
     schema = "tree int, feature array<int>, split array<double>, lower array<int>, upper array<int>, depth array<double>, size int"
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,34 +124,45 @@ def isolation_forest(
         )
 
     # Bounded by trees x (2 x SAMPLE_ROWS - 1) nodes whatever the input size.
-    forest = [
-        tuple(np.asarray(r[c]) for c in ("feature", "split", "lower", "upper", "depth")) + (r["size"],)
-        for r in sample.groupBy("tree").applyInPandas(grow, schema).collect()
-    ]
+    grown = sample.groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()
+    starts = np.cumsum([0, *[len(r["feature"]) for r in grown]])
+    whole = lambda c, kind=np.intp: np.concatenate([np.asarray(r[c], kind) for r in grown]) if grown else np.zeros(0, kind)
+    # All trees in one set of arrays; a leaf leads to itself, so that rows walk down without a test for the end.
+    feature, split, depth = whole("feature"), whole("split", float), whole("depth", float)
+    own = np.arange(len(feature))
+    shift = np.repeat(starts[:-1], np.diff(starts))
+    child = np.where(feature < 0, own, np.stack([whole("upper"), whole("lower")]) + shift).T.ravel()
+    forest = (starts[:-1], np.maximum(feature, 0), split, child, depth)
+    norm = sum(_path_constant(r["size"]) for r in grown)
+    levels = math.ceil(math.log2(SAMPLE_ROWS))
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
+    def depths(x: np.ndarray) -> np.ndarray:
+        """Sum over trees of the depth of each row's leaf; few rows at a time, so that all arrays stay in the cache."""
+        roots, feature, split, child, depth = shared.value
+        flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * n
+        total = np.zeros(len(x))
+        for root in roots:
+            at = np.full(len(x), root)
+            for _ in range(levels):
+                below = flat.take(base + feature.take(at)) <= split.take(at)
+                at = child.take(2 * at + below)
+            total += depth.take(at)
+        return total
+
     @F.pandas_udf("double")
-    def score(xs: pd.Series) -> pd.Series:
-        x = np.vstack(xs.to_numpy()) if len(xs) else np.empty((0, n))
-        total, norm = np.zeros(len(x)), 0.0
-        for feature, split, lower, upper, depth, size in shared.value:
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                inner = np.flatnonzero(feature[at] >= 0)
-                if not len(inner):
-                    break
-                here = at[inner]
-                below = x[inner, feature[here]] <= split[here]
-                at[inner] = np.where(below, lower[here], upper[here])
-            total += depth[at]
-            norm += _path_constant(size)
-        return pd.Series(np.power(2.0, -total / norm) if norm > 0 else np.full(len(x), 0.5))
+    def score(*xs: pd.Series) -> pd.Series:
+        x = np.column_stack(xs)
+        if norm <= 0 or not len(x):
+            return pd.Series(np.full(len(x), 0.5))
+        return pd.Series(np.power(2.0, -np.concatenate([depths(x[i : i + SCORE_ROWS]) for i in range(0, len(x), SCORE_ROWS)]) / norm))
 
     # The percentile needs the scores again: keep them instead of scoring three times.
-    out = materialise(scaled.withColumn("isolation_score", score("_x")), "scores")
+    out = scaled.withColumn("isolation_score", score(*unit)).select(*df.columns, "isolation_score")
+    out = materialise(out, "scores")
     limit = exact_percentiles(out, [], "isolation_score", {"_limit": 1 - contamination})
     out = attach_row(out, limit).withColumn("isolation_forest_anomaly", F.col("isolation_score") > F.col("_limit"))
-    return out.drop("_x", "_rows", "_limit", *[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
+    return out.drop("_limit")
 
 
 def detect_anomalies(df: DataFrame, spec: SeqSpec, columns: Sequence[str], method: str = "isolation_forest") -> DataFrame:

@@ -169,3 +169,52 @@ def test_curves_of_many_channels_are_fitted_together(spark):
     assert sorted(got) == list(range(30)) and got[0].error
     for c in range(1, 30):
         assert got[c].rmse == pytest.approx(together[c]["rmse"], rel=1e-6, abs=1e-9)
+
+
+def test_forest_draws_are_compiled_and_scores_are_those_of_single_walks(spark):
+    """No draw in a lambda (those are interpreted), nothing but the score and the label added, and each score by hand."""
+    import math
+
+    import numpy as np
+
+    from lumenlog.operators import anomaly as an
+
+    rows = spark.range(3000).withColumns({"a": (F.col("id") * 37 % 101).cast("double"), "b": F.when(F.col("id") % 50 != 0, F.sqrt("id"))})
+    grown, plans = [], []
+    group = type(rows).groupBy
+
+    def seen(self, *by):
+        if by == ("tree",):
+            plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+            grown.extend(self.collect())
+        return group(self, *by)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(rows), "groupBy", seen)
+        out = an.isolation_forest(rows, ["a", "b"], "id", trees=5)
+    assert "lambda" not in plans[0]
+    assert set(out.columns) == {"id", "a", "b", "isolation_score", "isolation_forest_anomaly"} and out.count() == 3000
+    pdf = out.toPandas().sort_values("id")
+    x = np.column_stack([pdf[c].fillna(0.0) for c in "ab"])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+
+    def walk(tree, rows_in, at, level, rng, total):
+        lo, hi = tree[rows_in].min(axis=0), tree[rows_in].max(axis=0)
+        usable = np.flatnonzero(hi > lo)
+        if level >= 8 or len(rows_in) <= 1 or not len(usable):
+            total[at] += level + an._path_constant(len(rows_in))
+            return
+        f = int(rng.choice(usable))
+        s = float(rng.uniform(lo[f], hi[f]))
+        below = tree[rows_in, f] <= s
+        walk(tree, rows_in[below], at[x[at, f] <= s], level + 1, rng, total)
+        walk(tree, rows_in[~below], at[x[at, f] > s], level + 1, rng, total)
+
+    total, norm = np.zeros(3000), 0.0
+    for t in range(5):
+        sample = np.array([r["_x"] for r in sorted((r for r in grown if r["tree"] == t), key=lambda r: r["_h"])])[: an.SAMPLE_ROWS]
+        assert len(sample) == an.SAMPLE_ROWS and math.ceil(math.log2(len(sample))) == 8
+        walk(sample, np.arange(len(sample)), np.arange(3000), 0, np.random.default_rng([42, t]), total)
+        norm += an._path_constant(len(sample))
+    # A value within rounding of a split may fall on either side.
+    assert np.mean(np.abs(pdf["isolation_score"] - np.power(2.0, -total / norm)) < 1e-9) > 0.99
