@@ -218,3 +218,11 @@ def test_forest_draws_are_compiled_and_scores_are_those_of_single_walks(spark):
         norm += an._path_constant(len(sample))
     # A value within rounding of a split may fall on either side.
     assert np.mean(np.abs(pdf["isolation_score"] - np.power(2.0, -total / norm)) < 1e-9) > 0.99
+
+
+def test_large_fits_fill_whole_rounds_of_tasks(one_file, monkeypatch):
+    """Beyond a task per core no partition is left for a round of its own, and none holds more than the most."""
+    monkeypatch.setattr(mo, "FIT_ROWS_MOST", 6_600)
+    sizes = mo.spread(one_file, 60_000).rdd.glom().map(len).collect()
+    cores = one_file.sparkSession.sparkContext.defaultParallelism
+    assert len(sizes) > cores and len(sizes) % cores == 0 and sum(sizes) == 60_000 and max(sizes) <= 6_600
