@@ -48,17 +48,17 @@ def same_type_gaps(df: DataFrame, spec: SeqSpec) -> DataFrame:
     return last.withColumn("type_gap", seconds(F.col(spec.ts), F.col("_prev_ts"))).drop("_prev_ts")
 
 
-def gap_model(df: DataFrame, spec: SeqSpec) -> DataFrame:
-    """Mean, sample sd and median of same-type gaps per event type."""
+def gap_model(df: DataFrame, spec: SeqSpec, median: bool = True) -> DataFrame:
+    """Mean, sample sd and (``median``) median of same-type gaps per event type."""
     by = [*spec.keys, spec.event]
     gaps = same_type_gaps(df, spec)
     base = gaps.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("type_gap").alias("mean"), F.stddev_samp("type_gap").alias("std")
     )
-    median = exact_percentiles(gaps, by, "type_gap", {"median": 0.5})
-    out = null_safe_join(base, median, by, "left")
+    if median:
+        base = null_safe_join(base, exact_percentiles(gaps, by, "type_gap", {"median": 0.5}), by, "left")
     once = F.col("n") == 1
-    return out.withColumns({c: F.when(once, F.lit(d)).otherwise(F.col(c)) for c, d in DEFAULT_GAP.items()})
+    return base.withColumns({c: F.when(once, F.lit(d)).otherwise(F.col(c)) for c, d in DEFAULT_GAP.items() if c in base.columns})
 
 
 def markov_statistics(model: DataFrame, probabilities: DataFrame) -> DataFrame:

@@ -78,6 +78,11 @@ def fill(df: DataFrame, *insertions: DataFrame) -> DataFrame:
     return out
 
 
+def index_stored(df: DataFrame, spec: SeqSpec) -> DataFrame:
+    """``index_sequence`` of rows that take work to make: a range exchange reads its input twice, so they are stored first."""
+    return index_sequence(materialise(df, "filled"), spec)
+
+
 def missing_sequence_events(df: DataFrame, spec: SeqSpec, rules: Sequence[Sequence[str]] = SEQUENCE_RULES) -> DataFrame:
     """Rule events absent after a rule's first event, with estimated times, one row per missing event.
 
@@ -229,6 +234,10 @@ def significant_gaps(df: DataFrame, spec: SeqSpec, model: DataFrame, threshold:
     ).drop("_mean", "_std")
 
 
+#: Transitions of a key up to which its model is joined to the rows as a whole.
+MAX_TOGETHER = 256
+
+
 def markov_fill(
     df: DataFrame,
     spec: SeqSpec,
@@ -254,6 +263,14 @@ def markov_fill(
     prior_keys = [k for k in spec.keys if k in probabilities.columns]
     prior_item = F.struct(F.col(spec.event).alias("e"), F.col("prob").alias("p"))
     prior = probabilities.groupBy(*prior_keys).agg(F.array_sort(F.collect_list(prior_item)).alias("_prior"))
+    # Small models travel with the rows in one join for all steps; larger ones are joined step by step.
+    together = bool(keyed) and keyed == prior_keys
+    if together:
+        sizes = successors.groupBy(*keyed).agg(F.sum(F.size("_succ")).alias("n"))
+        together = (sizes.agg(F.max("n")).first()[0] or 0) <= MAX_TOGETHER
+    if together:
+        table = successors.groupBy(*keyed).agg(F.map_from_entries(F.collect_list(F.struct("_state", "_succ"))).alias("_table"))
+        prior = null_safe_join(prior, table, keyed, "left")
     rows = gaps.filter(F.col("is_significant") & (F.col("num_events") > 0))
     rows = rows.withColumn("_state", F.array_repeat(F.col("prev_event"), order))
     if prior_keys:
@@ -262,38 +279,53 @@ def markov_fill(
         from lumenlog.functions.seq import attach_row
 
         rows = attach_row(rows, prior)
-    rows = rows.withColumn("_picks", F.array().cast("array<struct<i:int,event:string,conf:double>>"))
     true_next = F.col(spec.event)
-    for i in range(1, max_events + 1):
-        rows = null_safe_join(rows, successors, [*keyed, "_state"], "left")
+
+    def picked(succ: Column, i: Column) -> Column:
         # Weight used for the pick next to the model probability that becomes the confidence.
         weigh = lambda x: F.struct(F.when(x["e"] == true_next, F.least(x["p"] * 2, F.lit(1.0))).otherwise(x["p"]).alias("w"), x["e"].alias("e"), x["p"].alias("p"))
         plain = lambda x: F.struct(x["p"].alias("w"), x["e"].alias("e"), x["p"].alias("p"))
-        options = F.coalesce(F.transform("_succ", weigh), F.transform("_prior", plain))
+        options = F.coalesce(F.transform(succ, weigh), F.transform("_prior", plain))
         if mode == "argmax":
-            pick = F.array_min(F.transform(options, lambda x: F.struct((-x["w"]).alias("neg"), x["e"].alias("e"), x["p"].alias("p"))))
-        else:
-            h = F.xxhash64(*[F.col(k) for k in spec.keys], F.col(POS), F.lit(i), F.lit(seed))
-            u = F.pmod(h, F.lit(1 << 53)) / F.lit(float(1 << 53))
-            total = F.aggregate(options, F.lit(0.0), lambda a, x: a + x["w"])
-            names = "struct<left:double,e:string,p:double>"
-
-            def draw(acc: Column, x: Column) -> Column:
-                # The first event whose cumulative weight passes the draw is kept; the last one closes the range.
-                step = F.struct(acc["left"] - x["w"], x["e"], x["p"]).cast(names)
-                return F.when(acc["e"].isNotNull() & (acc["left"] < 0), acc).otherwise(step)
-
-            start = F.struct(u * total, F.lit(None).cast("string"), F.lit(None).cast("double")).cast(names)
-            pick = F.aggregate(options, start, draw)
-        rows = rows.withColumn("_pick", pick)
-        chosen = F.struct(F.lit(i).alias("i"), F.col("_pick")["e"].alias("event"), F.coalesce(F.col("_pick")["p"], F.lit(0.1)).alias("conf"))
-        kept = F.slice("_state", 2, order - 1) if order > 1 else F.array().cast("array<string>")
-        rows = rows.withColumns(
-            {
-                "_picks": F.when(F.col("num_events") >= i, F.array_append("_picks", chosen)).otherwise(F.col("_picks")),
-                "_state": F.array_append(kept, F.col("_pick")["e"]),
-            }
-        ).drop("_succ", "_pick")
+            return F.array_min(F.transform(options, lambda x: F.struct((-x["w"]).alias("neg"), x["e"].alias("e"), x["p"].alias("p"))))
+        h = F.xxhash64(*[F.col(k) for k in spec.keys], F.col(POS), i, F.lit(seed))
+        u = F.pmod(h, F.lit(1 << 53)) / F.lit(float(1 << 53))
+        total = F.aggregate(options, F.lit(0.0), lambda a, x: a + x["w"])
+        names = "struct<left:double,e:string,p:double>"
+
+        def draw(acc: Column, x: Column) -> Column:
+            # The first event whose cumulative weight passes the draw is kept; the last one closes the range.
+            step = F.struct(acc["left"] - x["w"], x["e"], x["p"]).cast(names)
+            return F.when(acc["e"].isNotNull() & (acc["left"] < 0), acc).otherwise(step)
+
+        start = F.struct(u * total, F.lit(None).cast("string"), F.lit(None).cast("double")).cast(names)
+        return F.aggregate(options, start, draw)
+
+    kind = "array<struct<i:int,event:string,conf:double>>"
+    if together:
+        one = lambda i, pick: F.transform(F.array(pick), lambda x: F.struct(i.alias("i"), x["e"].alias("event"), x["p"].alias("conf")))
+
+        def step(picks: Column, i: Column) -> Column:
+            state = F.slice(F.concat(F.col("_state"), F.transform(picks, lambda x: x["event"])), -order, order)
+            return F.concat(picks, one(i, picked(F.try_element_at("_table", state), i)).cast(kind))
+
+        steps = F.sequence(F.lit(1), F.least("num_events", F.lit(max_events)))
+        picks = F.aggregate(steps, F.array().cast(kind), step)
+        sure = lambda x: F.struct(x["i"].alias("i"), x["event"].alias("event"), F.coalesce(x["conf"], F.lit(0.1)).alias("conf"))
+        rows = rows.withColumn("_picks", F.transform(picks, sure))
+    else:
+        rows = rows.withColumn("_picks", F.array().cast(kind))
+        for i in range(1, max_events + 1):
+            rows = null_safe_join(rows, successors, [*keyed, "_state"], "left")
+            rows = rows.withColumn("_pick", picked(F.col("_succ"), F.lit(i)))
+            chosen = F.struct(F.lit(i).alias("i"), F.col("_pick")["e"].alias("event"), F.coalesce(F.col("_pick")["p"], F.lit(0.1)).alias("conf"))
+            kept = F.slice("_state", 2, order - 1) if order > 1 else F.array().cast("array<string>")
+            rows = rows.withColumns(
+                {
+                    "_picks": F.when(F.col("num_events") >= i, F.array_append("_picks", chosen)).otherwise(F.col("_picks")),
+                    "_state": F.array_append(kept, F.col("_pick")["e"]),
+                }
+            ).drop("_succ", "_pick")
     rows = rows.select(*spec.keys, POS, "prev_us", "gap_size", "num_events", F.unix_micros(spec.ts).alias("_t1"), F.inline("_picks"))
     ts = F.expr("prev_us + (_t1 - prev_us) * i div (num_events + 1)")
     out = rows.withColumnRenamed("event", "_event")
@@ -360,27 +392,22 @@ def optimize_sequence(
     """Left-to-right version: a replaced event is the left neighbour of the next triple.
 
     The scan is a transducer over event types, so each chunk is a map from the event before it to its
-    last event; maps are composed and each chunk replayed.  The transition matrix (types x types,
-    checked against ``MAX_TYPES``) is the only thing sent to the tasks.
+    last event; maps are composed and each chunk replayed.  A model without keys serves all sequences:
+    its transition matrix (types x types, checked against ``MAX_TYPES``) is sent to the tasks.  A model
+    with keys serves each key by itself: it joins the first row of each of the key's chunks, and only
+    the key's own types are alternatives.
     """
     names = [r[0] for r in probabilities.select(spec.event).distinct().orderBy(spec.event).limit(MAX_TYPES + 1).collect()]
     if len(names) > MAX_TYPES:
         raise ValueError(f"more than {MAX_TYPES} event types: use optimize_sequence_once")
     code = {e: i for i, e in enumerate(names)}
     k = len(names)
-    matrix = np.full((k, k), smoothing)
-    # At most MAX_TYPES squared rows, checked above.
-    for r in model.select(F.element_at("state", -1).alias("a"), "next_event", "prob").toLocalIterator():
-        matrix[code[r["a"]], code[r["next_event"]]] = r["prob"]
-    best = np.empty((k, k), dtype=np.int64)
-    top = np.empty((k, k))
-    for a in range(k):
-        score = matrix[a][:, None] * matrix
-        best[a], top[a] = score.argmax(axis=0), score.max(axis=0)
     keys = list(spec.keys)
+    keyed = bool(keys) and all(c in model.columns for c in keys)
     pairs = [F.lit(x) for e, i in code.items() for x in (e, i)]
+    number = lambda c: F.element_at(F.create_map(*pairs), c)
     halo = over_rows(
-        df.withColumn("_code", F.element_at(F.create_map(*pairs), F.col(spec.event))),
+        df.withColumn("_code", number(F.col(spec.event))),
         spec,
         lambda s: {"_right": F.lead("_code").over(s.window)},
         before=0,
@@ -388,33 +415,67 @@ def optimize_sequence(
     )
     slim = halo.select(*keys, POS, SIZE, "_code", F.coalesce("_right", F.lit(-1)).alias("_right"))
 
-    def choose(a, b, c):
-        window = matrix[a, b] * matrix[b, c]
-        return np.where(top[a, c] > window * factor, best[a, c], b)
-
-    def columns(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        return tuple(pdf[c].to_numpy(dtype=np.int64) for c in ("_code", "_right", POS))
+    def choices(matrix: np.ndarray) -> np.ndarray:
+        """The middle event chosen for every (left, current, right)."""
+        through = matrix[:, :, None] * matrix[None]
+        best, top = through.argmax(axis=1), through.max(axis=1)
+        return np.where(top[:, None] > through * factor, best[:, None], np.arange(len(matrix))[None, :, None])
+
+    if keyed:
+        step = F.struct(number(F.element_at("state", -1)).alias("a"), number(F.col("next_event")).alias("b"), F.col("prob").alias("p"))
+        steps = model.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+        own = probabilities.groupBy(*keys).agg(F.array_sort(F.collect_set(number(F.col(spec.event)))).alias("_own"))
+        starts = slim.filter(F.col(POS) % spec.chunk_rows == 0).select(*keys, POS)
+        models = null_safe_join(null_safe_join(starts, own, keys), steps, keys, "left")
+        models = models.select(
+            *keys, POS, "_own", *[F.col("_steps")[f].alias(f"_{f}") for f in ("a", "b", "p")]
+        )
+        slim = null_safe_join(slim, models, [*keys, POS], "left")
+    else:
+        shared = np.full((k, k), smoothing)
+        # At most MAX_TYPES squared rows, checked above.
+        for r in model.select(F.element_at("state", -1).alias("a"), "next_event", "prob").toLocalIterator():
+            shared[code[r["a"]], code[r["next_event"]]] = r["prob"]
+        everything = np.arange(k), choices(shared)
+
+    def of(pdf: pd.DataFrame, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(types, choices among them) of the chunk that starts at a row."""
+        if not keyed:
+            return everything
+        types = np.asarray(pdf["_own"].iat[at], dtype=np.int64)
+        matrix = np.full((len(types), len(types)), smoothing)
+        if pdf["_a"].iat[at] is not None:
+            a, b = (np.searchsorted(types, np.asarray(pdf[c].iat[at], dtype=np.int64)) for c in ("_a", "_b"))
+            matrix[a, b] = np.asarray(pdf["_p"].iat[at], dtype=float)
+        return types, choices(matrix)
 
     def to_map(pdf: pd.DataFrame) -> np.ndarray:
-        left = np.arange(k)
-        for b, c, p in zip(*columns(pdf)):
-            left = np.full(k, b) if p == 0 or c < 0 else choose(left, b, c)
-        return left
-
-    # One row of choices per (left, current, right), so a replay step is a lookup.
-    grid = np.arange(k)
-    choice = choose(grid[:, None, None], grid[None, :, None], grid[None, None, :])
+        types, choice = of(pdf, 0)
+        codes, right, pos = (pdf[c].to_numpy(dtype=np.int64) for c in ("_code", "_right", POS))
+        here, ahead = np.searchsorted(types, codes), np.searchsorted(types, right)
+        left = np.arange(len(types))
+        for b, c, p, r in zip(here, ahead, pos, right):
+            left = np.full(len(types), b) if p == 0 or r < 0 else choice[left, b, c]
+        if pos[0] == 0:  # nothing stands before
+            return np.full(k, types[left[0]])
+        out = np.arange(k)
+        out[types] = types[left]
+        return out
 
     def replay(pdf: pd.DataFrame, starts: np.ndarray, entry: np.ndarray) -> pd.DataFrame:
-        codes, right, pos = columns(pdf)
-        begin = dict(zip(starts.tolist(), entry.tolist()))
-        out, left = [], 0
-        for i in range(len(codes)):
-            left = begin.get(i, left)
-            left = codes[i] if pos[i] == 0 or right[i] < 0 else choice[left, codes[i], right[i]]
-            out.append(names[left])
+        all_codes, all_right, all_pos = (pdf[c].to_numpy(dtype=np.int64) for c in ("_code", "_right", POS))
+        out = np.empty(len(pdf), dtype=np.int64)
+        for first, end, begin in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], entry.tolist()):
+            types, choice = of(pdf, first)
+            here = np.searchsorted(types, all_codes[first:end]).tolist()
+            ahead = np.searchsorted(types, all_right[first:end]).tolist()
+            left, done = int(np.searchsorted(types, begin)), []
+            for b, c, r, p in zip(here, ahead, all_right[first:end].tolist(), all_pos[first:end].tolist()):
+                left = b if p == 0 or r < 0 else int(choice[left, b, c])
+                done.append(left)
+            out[first:end] = types[done]
         done = pdf[[*keys, POS]].copy()
-        done["optimized_event"] = out
+        done["optimized_event"] = np.array(names, dtype=object)[out]
         return done
 
     out_schema = T.StructType(
@@ -444,7 +505,7 @@ def reconstruct_rule_based(
         fill_pair_events(df, spec, pairs),
         fill_periodic_events(df, spec, periodic),
     )
-    ordered = index_sequence(with_insert_order(filled, spec), spec)
+    ordered = index_stored(with_insert_order(filled, spec), spec)
     out = correct_rule_errors(ordered, spec, transitions, priority)
     return out.filter(F.length(F.trim(spec.event)) > 0)
 
@@ -458,29 +519,34 @@ def with_insert_order(df: DataFrame, spec: SeqSpec) -> DataFrame:
 def reconstruct_probabilistic(df: DataFrame, spec: SeqSpec, order: int = 1, mode: str = "sample", seed: int = 42, optimize: bool = True) -> DataFrame:
     """Markov insertions into improbable gaps, then (``optimize``) likelier middle events on the filled log."""
     models = train_models(df, spec, order)
-    gaps = significant_gaps(df, spec, models["gaps"])
+    gaps = significant_gaps(df, spec, gap_model(df, spec, median=False))
     rows = markov_fill(df, spec, models["markov"], models["probabilities"], gaps, order, mode, seed)
     out = with_insert_order(fill(df, rows), spec)
     if not optimize:
         return out
     first = models if order == 1 else train_models(df, spec, 1)
-    best = optimize_sequence(index_sequence(out, spec), spec, first["markov"], first["probabilities"])
+    best = optimize_sequence(index_stored(out, spec), spec, first["markov"], first["probabilities"])
     return best.withColumn(spec.event, F.col("optimized_event")).drop("optimized_event", POS, SIZE)
 
 
 def reconstruct_hybrid(df: DataFrame, spec: SeqSpec, mode: str = "sample", seed: int = 42, **rules) -> DataFrame:
     """Originals, the rule rows, and the Markov rows of the log that the rules filled.
 
-    Neither kind repeats an earlier row at (keys, ts, event).
+    Neither kind repeats an earlier row at (keys, ts, event).  Inserted rows have no other columns, so
+    the rules and the models read those of the sequence alone.
     """
     on = [*spec.keys, spec.ts, spec.event]
-    out = as_original(df.drop(POS, SIZE))
-    ruled = index_sequence(reconstruct_rule_based(df, spec, **rules), spec)
+    slim = df.select(*[c for c in df.columns if c in (*on, spec.tiebreak, POS, SIZE, METHOD, CONFIDENCE)])
+    ruled = index_stored(reconstruct_rule_based(slim, spec, **rules), spec)
     likely = reconstruct_probabilistic(ruled, spec, mode=mode, seed=seed)
-    for method, rows in (("rule_based", ruled.filter(F.col(METHOD) != "original").drop(POS, SIZE)), ("probabilistic", likely.filter(F.col(METHOD) == "probabilistic"))):
-        seen = out.select(*[F.col(c).alias(f"_s_{c}") for c in on]).distinct()
+    out = as_original(df.drop(POS, SIZE))
+    added = ruled.filter(F.col(METHOD) != "original").drop(POS, SIZE)
+    seen = df.select(*on)
+    for method, rows in (("rule_based", added), ("probabilistic", likely.filter(F.col(METHOD) == "probabilistic"))):
+        before = seen.select(*[F.col(c).alias(f"_s_{c}") for c in on])
         cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in on]
-        out = out.unionByName(rows.join(seen, cond, "left_anti").withColumn(METHOD, F.lit(method)), allowMissingColumns=True)
+        out = out.unionByName(rows.join(before, cond, "left_anti").withColumn(METHOD, F.lit(method)), allowMissingColumns=True)
+        seen = seen.unionByName(rows.select(*on))  # rule rows left out stand among the originals
     return out
 
 
@@ -500,8 +566,12 @@ def correct_sequence_errors(df: DataFrame, spec: SeqSpec, jumps=DIRECT_JUMPS, pr
 
 
 def correct_rule_errors(df: DataFrame, spec: SeqSpec, transitions=IMPOSSIBLE_TRANSITIONS, priority=EVENT_PRIORITY) -> DataFrame:
-    """Swap end-before-start neighbours, spread equal timestamps by priority, fill impossible transitions."""
-    swapped = swap_end_before_start(df, spec)
-    spread = spread_same_timestamp(swapped.drop(POS, SIZE), spec, priority)
-    ordered = index_sequence(spread.withColumn(spec.ts, F.col("spread_ts")).drop("spread_ts"), spec)
+    """Swap end-before-start neighbours, spread equal timestamps by priority, fill impossible transitions.
+
+    A row whose time no neighbour has is neither a copy nor moved, so only the others are grouped by time.
+    """
+    swapped = materialise(swap_end_before_start(df, spec, shared="_shared").drop(POS, SIZE), "swapped")
+    spread = spread_same_timestamp(swapped.filter("_shared").drop("_shared"), spec, priority)
+    spread = spread.withColumn(spec.ts, F.col("spread_ts")).drop("spread_ts")
+    ordered = index_sequence(swapped.filter("not _shared").drop("_shared").unionByName(spread), spec)
     return with_insert_order(fill(ordered, insert_impossible_transitions(ordered, spec, transitions)), spec)

@@ -447,9 +447,12 @@ def spread_same_timestamp(
 
 
 def swap_end_before_start(
-    df: DataFrame, spec: SeqSpec, starts: Sequence[str] = START_EVENTS, ends: Sequence[str] = END_EVENTS
+    df: DataFrame, spec: SeqSpec, starts: Sequence[str] = START_EVENTS, ends: Sequence[str] = END_EVENTS, shared: str | None = None
 ) -> DataFrame:
-    """Adjacent (end, start) rows exchange their content other than key, time and order columns."""
+    """Adjacent (end, start) rows exchange their content other than key, time and order columns.
+
+    ``shared`` names a column to add: whether the row before or behind has the same time.
+    """
     fixed = {*spec.keys, spec.ts, spec.tiebreak, POS, SIZE}
     moved = [c for c in df.columns if c not in fixed]
 
@@ -461,10 +464,10 @@ def swap_end_before_start(
         return {
             f"_new_{c}": F.when(first, F.lead(c).over(s.window)).when(second, F.lag(c).over(s.window)).otherwise(F.col(c))
             for c in moved
-        }
+        } | ({shared: F.lag(s.ts).over(s.window).eqNullSafe(F.col(s.ts)) | F.lead(s.ts).over(s.window).eqNullSafe(F.col(s.ts))} if shared else {})
 
     out = over_rows(df, spec, step, before=1, after=1)
-    return out.select(*[F.col(f"_new_{c}").alias(c) if c in moved else F.col(c) for c in df.columns])
+    return out.select(*[F.col(f"_new_{c}").alias(c) if c in moved else F.col(c) for c in df.columns], *([shared] if shared else []))
 
 
 def local_maxima(
