@@ -87,7 +87,11 @@ def segment(fp: Column, at: int, bits: int) -> Column:
 
 
 def tables(nodes: DataFrame, segments: int, radius: int) -> DataFrame:
-    """A row (seg, val) for each fingerprint and segment, or for each value of the ball around it."""
+    """A row (seg, val) for each fingerprint and segment, or for each value of the ball around it.
+
+    Spark sizes these rows as the fingerprints before ``explode``, some 70 times too low, and would broadcast them: every
+    join of them is a merge join.
+    """
     entries = [
         F.struct(F.lit(i).alias("seg"), segment(F.col("fp"), at, bits).bitwiseXOR(F.lit(mask).cast("long")).alias("val"))
         for i, (at, bits) in enumerate(cuts(segments))
@@ -110,22 +114,22 @@ def components(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """(fp, component) for the distinct fingerprints ``fps`` (fp, n): those linked within ``radius`` bits share one."""
     exact = tables(fps, segments, 0)
     hub = exact.groupBy("seg", "val").agg(F.max(F.struct("n", "fp"))["fp"].alias("hub"), F.count("*").alias("_m")).filter("_m > 1").drop("_m")
-    star = exact.join(hub, ["seg", "val"]).filter(F.col("fp") != F.col("hub")).filter(near("fp", "hub", radius)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    star = exact.join(hub.hint("merge"), ["seg", "val"]).filter(F.col("fp") != F.col("hub")).filter(near("fp", "hub", radius)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     nodes = materialise(relabel(fps.select("fp"), "fp", connected_components(star), "one"), "nodes")
     table = tables(nodes, segments, 0).select("seg", "val", F.col("fp").alias("t"), F.col("one").alias("t_one"))
     most = table.groupBy("seg", "val", "t_one").count().groupBy("seg", "val").agg(F.max(F.struct("count", "t_one"))["t_one"].alias("main"))
-    table = materialise(table.join(most, ["seg", "val"]), "table")
+    table = materialise(table.join(most.hint("merge"), ["seg", "val"]), "table")
     probes = tables(nodes, segments, radius // segments)
     main = table.filter("t_one = main").select("seg", "val", "t", "main")
     mains = most.select(F.col("seg").alias("_seg"), F.col("val").alias("_val"), F.col("main").alias("_main"))
-    outside = probes.join(mains, (F.col("seg") == F.col("_seg")) & (F.col("val") == F.col("_val"))).filter("one <> _main").drop("_seg", "_val")
-    joins = outside.join(main, (outside["seg"] == main["seg"]) & (outside["val"] == main["val"]) & near("fp", "t", radius), "left_semi")
+    outside = probes.join(mains.hint("merge"), (F.col("seg") == F.col("_seg")) & (F.col("val") == F.col("_val"))).filter("one <> _main").drop("_seg", "_val")
+    joins = outside.join(main.hint("merge"), (outside["seg"] == main["seg"]) & (outside["val"] == main["val"]) & near("fp", "t", radius), "left_semi")
     second = connected_components(joins.select(F.col("one").alias("a"), F.col("_main").alias("b")))
     nodes = materialise(relabel(nodes, "one", second, "two"), "nodes")
     rest = relabel(table.filter("t_one <> main"), "t_one", second, "t_two").select(F.col("seg").alias("_seg"), F.col("val").alias("_val"), "t", "t_two")
     probes = tables(nodes, segments, radius // segments)
     met = (F.col("seg") == F.col("_seg")) & (F.col("val") == F.col("_val")) & (F.col("two") != F.col("t_two")) & near("fp", "t", radius)
-    third = connected_components(probes.join(rest, met).select(F.col("two").alias("a"), F.col("t_two").alias("b")))
+    third = connected_components(probes.join(rest.hint("merge"), met).select(F.col("two").alias("a"), F.col("t_two").alias("b")))
     return relabel(nodes, "two", third, "component").select("fp", "component")
 
 
