@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline as C
 from lumenlog.llm import simhash
 
 
@@ -42,3 +43,24 @@ def test_exploded_fingerprints_are_never_broadcast(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert sum("Generate explode" in p for p in plans) >= 4
     assert [b for p in plans for b in broadcasts(p) if "Generate explode" in b] == []
+
+
+def test_the_pipeline_never_broadcasts_exploded_fingerprints(spark, monkeypatch):
+    """The pipeline's second stage is the whole of ``deduplicate``: its joins of exploded rows are merge joins."""
+    plans, stored = [], simhash.materialise
+
+    def kept(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, *rest)
+
+    monkeypatch.setattr(simhash, "materialise", kept)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(8)], "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        stages = dict(C.STAGES)
+        assert stages["near_duplicates"](spark, docs, "").count() <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert exploded and not any("Generate explode" in b for p in exploded for b in broadcasts(p))
