@@ -2,9 +2,11 @@
 
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
-from lumenlog.plans.composite import extract_all_features
+from lumenlog.operators import models as mo
+from lumenlog.plans.composite import extract_all_features, run_tabular
 
 
 def test_stored_features_are_never_broadcast(spark, log):
@@ -20,3 +22,22 @@ def test_stored_features_are_never_broadcast(spark, log):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert plan.count("SortMergeJoin") == 8 and "Broadcast" not in plan
+
+
+def table(spark, n=400):
+    columns = {"a": (F.col("id") * 37 % 101).cast("double"), "b": (F.col("id") * 53 % 89).cast("double")}
+    return spark.range(n).withColumns(columns).withColumn("y", F.col("a") * 3 + F.sin("b") * 20)
+
+
+def test_a_model_that_cannot_be_fitted_is_no_result(spark, monkeypatch):
+    """A run must not give metrics of the other models, and predictions of their best, as if all had been fitted."""
+    fit = mo.train
+
+    def train(name, data, **params):
+        if name == "lasso":
+            raise RuntimeError("an executor was lost")
+        return fit(name, data, **params)
+
+    monkeypatch.setattr(mo, "train", train)
+    with pytest.raises(RuntimeError, match="an executor was lost"):
+        run_tabular(table(spark), "y", ["id"], ["linear", "lasso", "ridge"], folds=2)
