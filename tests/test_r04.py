@@ -5,7 +5,9 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lumenlog.operators import models as mo
+from lumenlog.plans import tabular_queries as tq
 from lumenlog.plans.composite import extract_all_features, run_tabular
 
 
@@ -41,3 +43,18 @@ def test_a_model_that_cannot_be_fitted_is_no_result(spark, monkeypatch):
     monkeypatch.setattr(mo, "train", train)
     with pytest.raises(RuntimeError, match="an executor was lost"):
         run_tabular(table(spark), "y", ["id"], ["linear", "lasso", "ridge"], folds=2)
+
+
+def test_predictions_need_every_model(spark, monkeypatch):
+    """The best of the models that are left is not the best model."""
+    fit = mo.train
+
+    def train(name, data, **params):
+        if name != "linear":
+            raise RuntimeError("an executor was lost")
+        return fit(name, data, **params)
+
+    monkeypatch.setattr(mo, "train", train)
+    monkeypatch.setattr(tq, "_RUNS", {})
+    with pytest.raises(RuntimeError, match="an executor was lost"):
+        entry.queries()["x13_best_model_predictions"](spark, "/root/testdata/sf0.001")
